@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fleetsight import constants as K
-from fleetsight.functions.text import col
+from fleetsight.functions.text import BLANK, col
 
 
 def _assignment(words: tuple[str, ...]) -> str:
-    return rf"(?i)\b({'|'.join(words)})\s*[:=]\s*\S+"
+    """A sensitive word, not inside a longer word, with something assigned to it."""
+    return rf"(?i)(?:^|[^\pL\pN_])(?:{'|'.join(words)})[{BLANK}]*[:=][{BLANK}]*[^{BLANK}]"
 
 
 SENSITIVE_ASSIGNMENT = _assignment(K.SENSITIVE_WORDS)
 MANUAL_SENSITIVE_ASSIGNMENT = _assignment(K.MANUAL_SENSITIVE_WORDS)
 
 
+ERROR_WORD = rf"(?i)(?:{'|'.join(K.ERROR_SENSITIVE_WORDS)})"
+ERROR_ASSIGNMENT = rf"{ERROR_WORD}[{BLANK}]*[:=][{BLANK}]*[^&{BLANK}]+"
+
+
 def looks_sensitive(value: Column | str) -> Column:
     return F.coalesce(col(value).rlike(SENSITIVE_ASSIGNMENT), F.lit(False))
 
@@ -71,13 +76,13 @@ def drop_internal(metadata: Column | str) -> Column:
 
 def sanitize_error(message: Column | str, length: int = 500) -> Column:
     """Assignments of credentials first, then the bare words, then the length limit."""
-    words = "|".join(K.ERROR_SENSITIVE_WORDS)
-    text = F.regexp_replace(col(message), rf"(?i)({words})\s*[:=]\s*[^&\s]+", "[redacted]=[redacted]")
-    return F.substring(F.regexp_replace(text, rf"(?i){words}", "[redacted]"), 1, length)
+    text = F.regexp_replace(col(message), ERROR_ASSIGNMENT, "[redacted]=[redacted]")
+    return F.substring(F.regexp_replace(text, ERROR_WORD, "[redacted]"), 1, length)
 
 
 def _tree_redactor():
-    pattern, parts, limit = re.compile(SENSITIVE_ASSIGNMENT), K.SENSITIVE_KEY_PARTS, K.METADATA_LIST_LIMIT
+    pattern = re.compile(rf"\b(?:{'|'.join(K.SENSITIVE_WORDS)})\s*[:=]\s*\S", re.IGNORECASE)
+    parts, limit = K.SENSITIVE_KEY_PARTS, K.METADATA_LIST_LIMIT
 
     def hides_name(name: str) -> bool:
         folded = name.lower().replace("-", "_")

@@ -14,9 +14,10 @@ from pyspark.sql.types import ArrayType, StringType
 from fleetsight import constants as K
 
 # Unicode white space, spelled out so that every regex engine agrees on it.
-BLANKS = (
-    r"[\t\n\x0b\f\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+BLANK = (
+    r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+BLANKS = f"[{BLANK}]+"
 CVE_PATTERN = r"(?iU)\bCVE-\d{4}-\d{4,}\b"
 CWE_PATTERN = r"(?iU)\bCWE-\d+\b"
 

@@ -22,6 +22,7 @@ def local_session(cores: str = "8", app: str = "fleetsight", partitions: int = 8
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in SETTINGS.items():
