@@ -17,14 +17,14 @@ from fleetsight.functions.text import BLANK, col
 
 def _assignment(words: tuple[str, ...]) -> str:
     """A sensitive word, not inside a longer word, with something assigned to it."""
-    return rf"(?i)(?:^|[^\pL\pN_])(?:{'|'.join(words)})[{BLANK}]*[:=][{BLANK}]*[^{BLANK}]"
+    return rf"(?iU)(?:^|[^\pL\pN_])(?:{'|'.join(words)})[{BLANK}]*[:=][{BLANK}]*[^{BLANK}]"
 
 
 SENSITIVE_ASSIGNMENT = _assignment(K.SENSITIVE_WORDS)
 MANUAL_SENSITIVE_ASSIGNMENT = _assignment(K.MANUAL_SENSITIVE_WORDS)
 
 
-ERROR_WORD = rf"(?i)(?:{'|'.join(K.ERROR_SENSITIVE_WORDS)})"
+ERROR_WORD = rf"(?iU)(?:{'|'.join(K.ERROR_SENSITIVE_WORDS)})"
 ERROR_ASSIGNMENT = rf"{ERROR_WORD}[{BLANK}]*[:=][{BLANK}]*[^&{BLANK}]+"
 
 

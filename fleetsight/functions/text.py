@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import html
 
@@ -13,11 +13,10 @@ from pyspark.sql.types import ArrayType, StringType
 
 from fleetsight import constants as K
 
-# Unicode white space, spelled out so that every regex engine agrees on it.
-BLANK = (
-    r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-BLANKS = f"[{BLANK}]+"
+# Unicode white space and the four separators next to it.
+BLANK = r"\s\x1c-\x1f"
+BLANKS = f"(?U)[{BLANK}]+"
+EDGE_BLANKS = f"(?U)^[{BLANK}]+|[{BLANK}]+$"
 CVE_PATTERN = r"(?iU)\bCVE-\d{4}-\d{4,}\b"
 CWE_PATTERN = r"(?iU)\bCWE-\d+\b"
 
@@ -26,6 +25,15 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times.
+
+    Conditional branches are not shared by the optimizer, so an expression that is tested
+    against many terms would otherwise be computed once per term.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def none_if_blank(value: Column | str) -> Column:
     return F.nullif(col(value), F.lit(""))
 
@@ -79,33 +87,59 @@ def extract_cwe_from_list(values: Column | str) -> Column:
     return F.get(hits, F.lit(0))
 
 
+def literal_list(values: Iterable[str]) -> Column:
+    """Constant array; folded to a literal when the query is optimized."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
-    """True when one of the terms occurs in already normalised text."""
-    result = F.lit(False)
-    for term in terms:
-        result = result | text.contains(term)
-    return result
+    """True when one of the terms occurs in already normalised text.
+
+    A loop over a constant list, not a chain of ORs: long chains make generated methods too
+    large for the JIT compiler.
+    """
+    return let(text, lambda held: F.exists(literal_list(terms), lambda term: F.contains(held, term)))
+
+
+def matching_parts(text: Column | str) -> Column:
+    """Vehicle parts with a term in the text, in component order. Each term is looked for once.
+
+    A blank on either side lets terms anchor on words.
+    """
+    table = F.array(
+        *[F.struct(F.lit(part).alias("part"), literal_list(K.HINT_TERMS[part]).alias("terms")) for part in K.COMPONENT_ORDER]
+    )
+
+    def hits(padded: Column) -> Column:
+        found = F.filter(table, lambda row: F.exists(row["terms"], lambda term: F.contains(padded, term)))
+        return F.transform(found, lambda row: row["part"])
+
+    return let(F.concat(F.lit(" "), normalize_text(text), F.lit(" ")), hits)
+
+
+def first_component(parts: Column) -> Column:
+    return F.get(parts, F.lit(0))
 
 
-def _first_hint(padded: Column, order: Iterable[str]) -> Column:
-    hits = [F.when(contains_any(padded, K.HINT_TERMS[part]), F.lit(part)) for part in order]
-    return F.coalesce(*hits)
+def first_surface(parts: Column) -> Column:
+    """The surface order differs from the component order."""
+    return F.get(F.array_intersect(literal_list(K.SURFACE_ORDER), parts), F.lit(0))
 
 
 def infer_component(*values: Column | str) -> Column:
-    return _first_hint(F.concat(F.lit(" "), normalize_text(join_text(*values)), F.lit(" ")), K.COMPONENT_ORDER)
+    return first_component(matching_parts(join_text(*values)))
 
 
 def infer_surface(*values: Column | str) -> Column:
-    return _first_hint(F.concat(F.lit(" "), normalize_text(join_text(*values)), F.lit(" ")), K.SURFACE_ORDER)
+    return first_surface(matching_parts(join_text(*values)))
 
 
 def exploit_status_from_text(*values: Column | str) -> Column:
-    text = normalize_text(join_text(*values))
-    return (
-        F.when(contains_any(text, K.EXPLOITED_TERMS), F.lit("exploited"))
+    return let(
+        normalize_text(join_text(*values)),
+        lambda text: F.when(contains_any(text, K.EXPLOITED_TERMS), F.lit("exploited"))
         .when(contains_any(text, K.PROOF_TERMS), F.lit("proof_of_concept"))
-        .otherwise(F.lit("unknown"))
+        .otherwise(F.lit("unknown")),
     )
 
 
@@ -126,15 +160,14 @@ def compact_tags(*values: Column | str, more: Iterable[Column] = ()) -> Column:
 
 
 def lookup(value: Column, table: Mapping[str, object], default: object = None) -> Column:
-    result = F.lit(default)
-    for key, mapped in reversed(list(table.items())):
-        result = F.when(value == key, F.lit(mapped)).otherwise(result)
-    return result
+    """Value of a small fixed table; the key is evaluated once."""
+    entries = [F.lit(cell) for pair in table.items() for cell in pair]
+    found = F.try_element_at(F.create_map(*entries), value)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def severity_value(value: Column | str) -> Column:
-    text = normalize_text(value)
-    return F.when(text.isin(*K.SEVERITIES), text).otherwise(F.lit("unknown"))
+    return lookup(normalize_text(value), {name: name for name in K.SEVERITIES}, "unknown")
 
 
 def risk_level_from_severity(severity: Column | str) -> Column:
@@ -155,7 +188,7 @@ def scoring_key(value: Column | str) -> Column:
 
 def alert_key(value: Column | str) -> Column:
     """Trim, lower and fold hyphens; inner white space is kept."""
-    trimmed = F.regexp_replace(F.coalesce(col(value).cast("string"), F.lit("")), f"^{BLANKS}|{BLANKS}$", "")
+    trimmed = F.regexp_replace(F.coalesce(col(value).cast("string"), F.lit("")), EDGE_BLANKS, "")
     return F.translate(F.lower(trimmed), "-", "_")
 
 

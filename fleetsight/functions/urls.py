@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetsight.functions.text import BLANKS, col, contains_any, none_if_blank
+from fleetsight.functions.text import EDGE_BLANKS, col, contains_any, let, none_if_blank
 from fleetsight.functions.redact import is_sensitive_name, looks_sensitive
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
-@dataclass(frozen=True)
-class UrlParts:
-    scheme: Column
-    authority: Column
-    path: Column
-    query: Column
-    fragment: Column
-
-
-def split_url(url: Column) -> UrlParts:
-    """The five parts of an address; a missing part is the empty string."""
-    scheme, authority, path, query, fragment = [F.regexp_extract(url, _SPLIT, group) for group in range(1, 6)]
-    return UrlParts(F.lower(scheme), authority, path, query, fragment)
+def split_url(url: Column) -> Column:
+    """Struct of the five parts of an address; a missing part is the empty string."""
+    names = ("scheme", "authority", "path", "query", "fragment")
+    parts = {name: F.regexp_extract(url, _SPLIT, group) for group, name in enumerate(names, start=1)}
+    parts["scheme"] = F.lower(parts["scheme"])
+    return F.struct(*[part.alias(name) for name, part in parts.items()])
 
 
 def _after(mark: str, value: Column) -> Column:
@@ -38,12 +29,18 @@ def _rooted(path: Column) -> Column:
 
 def canonical_url(value: Column | str) -> Column:
     """Fragment dropped, host lowered, empty path as ``/`` for http(s); other text only trimmed."""
-    text = none_if_blank(F.regexp_replace(col(value).cast("string"), f"^{BLANKS}|{BLANKS}$", ""))
-    parts = split_url(text)
-    web = F.concat(
-        parts.scheme, F.lit("://"), F.lower(parts.authority), _rooted(parts.path), _after("?", parts.query)
-    )
-    return F.when(parts.scheme.isin("http", "https"), web).otherwise(text)
+
+    def web(parts: Column) -> Column:
+        return F.concat(
+            parts["scheme"],
+            F.lit("://"),
+            F.lower(parts["authority"]),
+            _rooted(parts["path"]),
+            _after("?", parts["query"]),
+        )
+
+    text = none_if_blank(F.regexp_replace(col(value).cast("string"), EDGE_BLANKS, ""))
+    return F.when(text.rlike("(?i)^https?:"), let(split_url(text), web)).otherwise(text)
 
 
 def _without_dots(path: Column) -> Column:
@@ -62,33 +59,42 @@ def _without_dots(path: Column) -> Column:
 
 def absolute_url(base: Column | str, href: Column | str) -> Column:
     """Resolve a link against the address of the page it was found on."""
-    root, link = split_url(col(base)), split_url(F.trim(col(href)))
-    own_authority = link.authority != ""
-    same_scheme = (link.scheme == "") | (link.scheme == root.scheme)
-    scheme = F.when(link.scheme != "", link.scheme).otherwise(root.scheme)
-    authority = F.when(own_authority, link.authority).otherwise(root.authority)
-    folder = F.regexp_replace(root.path, "[^/]*$", "")
-    path = (
-        F.when(own_authority, link.path)
-        .when(link.path == "", root.path)
-        .when(link.path.startswith("/"), _without_dots(link.path))
-        .otherwise(_without_dots(_rooted(F.concat(folder, link.path))))
-    )
-    query = F.when((link.path == "") & (link.query == "") & ~own_authority, root.query).otherwise(link.query)
-    resolved = F.concat(
-        scheme,
-        F.lit("://"),
-        authority,
-        F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path),
-        _after("?", query),
-        _after("#", link.fragment),
-    )
-    hierarchical = root.scheme.isin("http", "https", "ftp", "file")
-    return (
-        F.when(F.trim(col(href)) == "", col(base))
-        .when(~same_scheme | ~hierarchical, F.trim(col(href)))
-        .otherwise(resolved)
+
+    def resolve(both: Column) -> Column:
+        root, link = both["root"], both["link"]
+        own_authority = link["authority"] != ""
+        same_scheme = (link["scheme"] == "") | (link["scheme"] == root["scheme"])
+        folder = F.regexp_replace(root["path"], "[^/]*$", "")
+        path = (
+            F.when(own_authority, link["path"])
+            .when(link["path"] == "", root["path"])
+            .when(link["path"].startswith("/"), _without_dots(link["path"]))
+            .otherwise(_without_dots(_rooted(F.concat(folder, link["path"]))))
+        )
+        inherits_query = (link["path"] == "") & (link["query"] == "") & ~own_authority
+        resolved = F.concat(
+            F.when(link["scheme"] != "", link["scheme"]).otherwise(root["scheme"]),
+            F.lit("://"),
+            F.when(own_authority, link["authority"]).otherwise(root["authority"]),
+            let(path, lambda found: F.when((found != "") & ~found.startswith("/"), F.concat(F.lit("/"), found)).otherwise(found)),
+            _after("?", F.when(inherits_query, root["query"]).otherwise(link["query"])),
+            _after("#", link["fragment"]),
+        )
+        hierarchical = root["scheme"].isin("http", "https", "ftp", "file")
+        return (
+            F.when(both["href"] == "", both["base"])
+            .when(~same_scheme | ~hierarchical, both["href"])
+            .otherwise(resolved)
+        )
+
+    trimmed = F.trim(col(href))
+    both = F.struct(
+        col(base).alias("base"),
+        trimmed.alias("href"),
+        split_url(col(base)).alias("root"),
+        split_url(trimmed).alias("link"),
     )
+    return let(both, resolve)
 
 
 def _decode(text: Column) -> Column:
@@ -127,34 +133,53 @@ def _safe_authority(authority: Column) -> Column:
     port = F.regexp_extract(host_port, r"^(?:\[[^\]]*\]|[^:]*):([0-9]+)$", 1)
     plain_port = F.when(port != "", F.concat(F.lit(":"), port.cast("int").cast("string"))).otherwise(F.lit(""))
     hidden = authority.contains("@") | looks_sensitive(authority)
-    return (
-        F.when(host != "", F.concat(host, plain_port)).when(hidden, F.lit("")).otherwise(authority)
+    return F.when(host != "", F.concat(host, plain_port)).when(hidden, F.lit("")).otherwise(authority)
+
+
+def _safe_query(query: Column) -> Column:
+    kept = F.filter(_query_pairs(query), lambda pair: ~_sensitive_pair(pair))
+    return F.array_join(
+        F.transform(kept, lambda pair: F.concat(_encode(pair["name"]), F.lit("="), _encode(pair["value"]))), "&"
     )
 
 
+def _safe_fragment(fragment: Column) -> Column:
+    hidden = looks_sensitive(fragment) | F.exists(_query_pairs(fragment), _sensitive_pair)
+    return F.when(hidden, F.lit("")).otherwise(fragment)
+
+
 def safe_url(value: Column | str) -> Column:
     """Drop credentials, sensitive query items and sensitive fragments; re-encode the query."""
+
+    def clean(parts: Column) -> Column:
+        located = let(
+            _safe_authority(parts["authority"]),
+            lambda authority: F.when(
+                authority != "",
+                F.concat(
+                    F.lit("//"), authority, F.when(parts["path"] != "", _rooted(parts["path"])).otherwise(F.lit(""))
+                ),
+            ).otherwise(parts["path"]),
+        )
+        scheme = F.when(parts["scheme"] != "", F.concat(parts["scheme"], F.lit(":"))).otherwise(F.lit(""))
+        query = F.when(parts["query"] != "", let(_safe_query(parts["query"]), lambda text: _after("?", text)))
+        fragment = F.when(parts["fragment"] != "", _after("#", _safe_fragment(parts["fragment"])))
+        return F.concat(scheme, located, F.coalesce(query, F.lit("")), F.coalesce(fragment, F.lit("")))
+
     url = col(value)
-    parts = split_url(url)
-    kept = F.filter(_query_pairs(parts.query), lambda pair: ~_sensitive_pair(pair))
-    query = F.array_join(
-        F.transform(kept, lambda pair: F.concat(_encode(pair["name"]), F.lit("="), _encode(pair["value"]))), "&"
-    )
-    fragment = F.when(
-        looks_sensitive(parts.fragment) | F.exists(_query_pairs(parts.fragment), _sensitive_pair), F.lit("")
-    ).otherwise(parts.fragment)
-    authority = _safe_authority(parts.authority)
-    location = F.when(
-        authority != "",
-        F.concat(F.lit("//"), authority, F.when(parts.path != "", _rooted(parts.path)).otherwise(F.lit(""))),
-    ).otherwise(parts.path)
-    scheme = F.when(parts.scheme != "", F.concat(parts.scheme, F.lit(":"))).otherwise(F.lit(""))
-    cleaned = F.concat(scheme, location, _after("?", query), _after("#", fragment))
-    return F.when(url.isNull() | (url == ""), url).otherwise(cleaned)
+    return F.when(url.isNull() | (url == ""), url).otherwise(let(split_url(url), clean))
 
 
 def looks_like_advisory(url: Column, label: Column, pdf_terms: tuple[str, ...], terms: tuple[str, ...]) -> Column:
+    def judge(seen: Column) -> Column:
+        haystack = F.concat_ws(" ", seen["path"], seen["query"], seen["label"])
+        is_named_pdf = seen["path"].endswith(".pdf") & contains_any(seen["label"], pdf_terms)
+        return is_named_pdf | let(haystack, lambda text: contains_any(text, terms))
+
     parts = split_url(url)
-    path, text = F.lower(parts.path), F.lower(label)
-    haystack = F.concat_ws(" ", path, F.lower(parts.query), text)
-    return (path.endswith(".pdf") & contains_any(text, pdf_terms)) | contains_any(haystack, terms)
+    return let(
+        F.struct(
+            F.lower(parts["path"]).alias("path"), F.lower(parts["query"]).alias("query"), F.lower(label).alias("label")
+        ),
+        judge,
+    )

@@ -87,7 +87,7 @@ def _base_signal(config: ScoringConfig) -> Column:
 
 
 def _remote_signal(config: ScoringConfig) -> Column:
-    access = T.cvss_metric("cvss_vector", "AV")
+    access = F.col("access")
     surface, component = F.col("surface_key"), F.col("component_key")
     remote_part = surface.isin(*config.remote_parts) | component.isin(*config.remote_parts)
     return (
@@ -99,7 +99,7 @@ def _remote_signal(config: ScoringConfig) -> Column:
 
 
 def _authentication_signal(config: ScoringConfig) -> Column:
-    privileges = T.cvss_metric("cvss_vector", "PR")
+    privileges = F.col("privileges")
     text = F.col("signal_text")
     return (
         F.when(privileges == "N", _fixed(8.0, "none_required"))
@@ -117,9 +117,8 @@ def _part_signal(config: ScoringConfig) -> Column:
 
 
 def _shared_by_many(config: ScoringConfig) -> Column:
-    vendor, product = T.normalize_text("affected_vendor"), T.normalize_text("affected_product")
-    text = F.concat_ws(" ", vendor, product, F.col("signal_text"))
-    return vendor.isin(*K.MULTI_VENDOR_NAMES) | T.contains_any(text, config.shared_terms)
+    """Looks at vendor, product and the searchable text, in that order, as one text."""
+    return F.col("vendor_text").isin(*K.MULTI_VENDOR_NAMES) | T.contains_any(F.col("maker_text"), config.shared_terms)
 
 
 def _confidence_key() -> Column:
@@ -160,11 +159,22 @@ def source_fingerprint(config: ScoringConfig = ScoringConfig()) -> Column:
     return sha256(escape_non_ascii(canonical_json(fields, encoded)))
 
 
+_SIGNALS = (
+    "base_signal", "exploit_signal", "poc_signal", "remote_signal", "authentication_signal", "part_signal",
+    "shared_signal", "confidence_signal",
+)
+
+
 def score_parts(records: DataFrame, config: ScoringConfig = ScoringConfig()) -> DataFrame:
     """Records with ``factors`` (array), ``new_score``, ``new_level`` and the signal columns. No shuffle."""
-    prepared = records.withColumns(
+    vendor, product = T.normalize_text("affected_vendor"), T.normalize_text("affected_product")
+    texted = records.withColumn("signal_text", searchable_text())
+    prepared = texted.withColumns(
         {
-            "signal_text": searchable_text(),
+            "access": T.cvss_metric("cvss_vector", "AV"),
+            "privileges": T.cvss_metric("cvss_vector", "PR"),
+            "vendor_text": vendor,
+            "maker_text": F.concat_ws(" ", T.none_if_blank(vendor), T.none_if_blank(product), "signal_text"),
             "surface_key": T.scoring_key("attack_surface"),
             "component_key": T.scoring_key("vehicle_component"),
             "tag_keys": folded_tags(),
@@ -205,18 +215,17 @@ def score_parts(records: DataFrame, config: ScoringConfig = ScoringConfig()) ->
             _factor("source_confidence", F.col("confidence_signal")),
         )
     )
-    total = F.aggregate("factors", F.lit(0.0), lambda done, item: done + item["contribution"])
-    return (
-        signals.withColumn("factors", factors)
-        .withColumn("new_score", bounded_score(total))
-        .withColumn("new_level", risk_level_for_score("new_score"))
+    total = F.lit(0.0)
+    for name in _SIGNALS:
+        total = total + F.coalesce(F.round(F.col(f"{name}.contribution"), 2), F.lit(0.0))
+    return signals.withColumns({"factors": factors, "new_score": bounded_score(total)}).withColumn(
+        "new_level", risk_level_for_score("new_score")
     )
 
 
 _WORK = (
-    "signal_text", "surface_key", "component_key", "tag_keys", "is_known_exploited", "base_signal", "exploit_signal",
-    "poc_signal", "remote_signal", "authentication_signal", "part_signal", "shared_signal", "confidence_signal",
-    "factors", "new_score", "new_level",
+    "access", "privileges", "vendor_text", "maker_text", "signal_text", "surface_key", "component_key", "tag_keys", "is_known_exploited", *_SIGNALS, "factors",
+    "new_score", "new_level",
 )
 
 

@@ -14,12 +14,16 @@ from fleetsight.functions import text as T
 from fleetsight.functions import urls as U
 from fleetsight.plans import fixtures as X
 from fleetsight.plans.queries import Queries
-from fleetsight.plans.queries.sqltext import any_term, cte, normalized, quoted, sensitive, squeeze
-from fleetsight.sources.tables import load
+from fleetsight.plans.queries.sqltext import any_term, cte, normalized, portable, quoted, sensitive, squeeze
+from fleetsight.sources.tables import load, spread
 
 QUERIES = Queries()
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(load(spark, folder, "documents"), "doc_id")
+
+
 def _hint_sql(text: str, order) -> str:
     whens = " ".join(f"WHEN {any_term(text, K.HINT_TERMS[part])} THEN {quoted(part)}" for part in order)
     return f"CASE {whens} END"
@@ -33,8 +37,11 @@ def _hint_sql(text: str, order) -> str:
     FROM padded""",
 )
 def hint_classification(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select(
-        "doc_id", T.infer_component("text").alias("vehicle_component"), T.infer_surface("text").alias("attack_surface")
+    parts = _documents(spark, folder).select("doc_id", T.matching_parts("text").alias("parts"))
+    return parts.select(
+        "doc_id",
+        T.first_component(F.col("parts")).alias("vehicle_component"),
+        T.first_surface(F.col("parts")).alias("attack_surface"),
     )
 
 
@@ -46,12 +53,12 @@ def hint_classification(spark: SparkSession, folder: str) -> DataFrame:
         THEN 'proof_of_concept' ELSE 'unknown' END AS exploit_status FROM n""",
 )
 def exploit_status(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select("doc_id", T.exploit_status_from_text("text").alias("exploit_status"))
+    return _documents(spark, folder).select("doc_id", T.exploit_status_from_text("text").alias("exploit_status"))
 
 
 @QUERIES.add("sensitive_documents", f"SELECT doc_id FROM documents WHERE {sensitive('text')}")
 def sensitive_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").filter(R.looks_sensitive("text")).select("doc_id")
+    return _documents(spark, folder).filter(R.looks_sensitive("text")).select("doc_id")
 
 
 @QUERIES.add(
@@ -59,17 +66,17 @@ def sensitive_documents(spark: SparkSession, folder: str) -> DataFrame:
     f"SELECT doc_id, CASE WHEN {sensitive('text')} THEN NULL ELSE sha256(text) END AS safe_hash FROM documents",
 )
 def safe_text_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select("doc_id", H.sha256(R.safe_text("text")).alias("safe_hash"))
+    return _documents(spark, folder).select("doc_id", H.sha256(R.safe_text("text")).alias("safe_hash"))
 
 
 @QUERIES.add(
     "redacted_errors",
     f"""
-    SELECT doc_id, substring(regexp_replace(regexp_replace(text, {quoted(R.ERROR_ASSIGNMENT)}, '[redacted]=[redacted]', 'g'),
-        {quoted(R.ERROR_WORD)}, '[redacted]', 'g'), 1, 500) AS message FROM documents""",
+    SELECT doc_id, substring(regexp_replace(regexp_replace(text, {quoted(portable(R.ERROR_ASSIGNMENT))}, '[redacted]=[redacted]', 'g'),
+        {quoted(portable(R.ERROR_WORD))}, '[redacted]', 'g'), 1, 500) AS message FROM documents""",
 )
 def redacted_errors(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select("doc_id", R.sanitize_error("text").alias("message"))
+    return _documents(spark, folder).select("doc_id", R.sanitize_error("text").alias("message"))
 
 
 @QUERIES.add(
@@ -79,7 +86,7 @@ def redacted_errors(spark: SparkSession, folder: str) -> DataFrame:
     FROM documents GROUP BY 1 HAVING count(*) > 1""",
 )
 def text_hash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    hashed = load(spark, folder, "documents").select("doc_id", H.text_hash("text").alias("text_hash"))
+    hashed = _documents(spark, folder).select("doc_id", H.text_hash("text").alias("text_hash"))
     grouped = hashed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
     return grouped.filter(F.col("copies") > 1)
 
@@ -104,7 +111,7 @@ def identifiers(spark: SparkSession, folder: str) -> DataFrame:
            sha256(substring(text, 1, 500)) AS snippet FROM documents""",
 )
 def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select(
+    return _documents(spark, folder).select(
         "doc_id",
         H.sha256(T.clean_optional("text")).alias("cleaned"),
         H.sha256(T.clean_title("text")).alias("title"),

@@ -50,7 +50,7 @@ SIGNALS_SQL = (
     + "SELECT id, base, exploit, poc, remote, authentication, part, shared, trust, new_score AS risk_score, new_level AS risk_level FROM levels",
 )
 def risk_score(spark: SparkSession, folder: str) -> DataFrame:
-    parts = S.score_parts(X.records(spark, folder))
+    parts = S.score_parts(X.records(spark, folder, wide=True))
 
     def points(signal: str):
         return F.coalesce(F.col(f"{signal}_signal.contribution"), F.lit(0.0))
@@ -83,7 +83,7 @@ def risk_score(spark: SparkSession, folder: str) -> DataFrame:
     FROM levels""",
 )
 def score_explanation(spark: SparkSession, folder: str) -> DataFrame:
-    scored = S.score(X.records(spark, folder))
+    scored = S.score(X.records(spark, folder, wide=True))
     return scored.select("id", "scoring.signals.*", F.size("scoring.factors").alias("n_factors"))
 
 
@@ -92,7 +92,7 @@ def score_explanation(spark: SparkSession, folder: str) -> DataFrame:
     SIGNALS_SQL + "SELECT new_level AS risk_level, count(*) AS n, round(sum(new_score), 2) AS total FROM levels GROUP BY new_level",
 )
 def score_level_counts(spark: SparkSession, folder: str) -> DataFrame:
-    scored = S.score(X.records(spark, folder))
+    scored = S.score(X.records(spark, folder, wide=True))
     return scored.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("risk_score"), 2).alias("total"))
 
 
@@ -125,7 +125,7 @@ def scoring_priority(spark: SparkSession, folder: str) -> DataFrame:
     FROM levels""",
 )
 def score_table_actions(spark: SparkSession, folder: str) -> DataFrame:
-    return S.score_table(X.records(spark, folder)).select("id", "score_action", "risk_score", "risk_level")
+    return S.score_table(X.records(spark, folder, wide=True)).select("id", "score_action", "risk_score", "risk_level")
 
 
 @QUERIES.add(
@@ -134,5 +134,5 @@ def score_table_actions(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rescore_unchanged(spark: SparkSession, folder: str) -> DataFrame:
     """Scoring everything twice: the second run finds nothing to change."""
-    once = S.score_table(X.records(spark, folder), force=True).drop("score_action")
+    once = S.score_table(X.records(spark, folder, wide=True), force=True).drop("score_action")
     return S.score_table(once, force=True).groupBy("score_action").agg(F.count(F.lit(1)).alias("n"))

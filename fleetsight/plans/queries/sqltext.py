@@ -5,7 +5,15 @@ from __future__ import annotations
 from fleetsight import constants as K
 from fleetsight.functions.redact import SENSITIVE_ASSIGNMENT
 from fleetsight.plans.fixtures import ARRAYS, select_list
-from fleetsight.functions.text import BLANKS
+
+
+# The blanks of the engine, for regular expressions without a Unicode switch.
+BLANK = r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def portable(pattern: str) -> str:
+    """A pattern of the engine without the Unicode switch."""
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace(r"\s\x1c-\x1f", BLANK)
 
 
 def cte(*views: str) -> str:
@@ -50,7 +58,7 @@ def any_term(text: str, terms) -> str:
 
 
 def squeeze(text: str) -> str:
-    return f"trim(regexp_replace({text}, {quoted(BLANKS)}, ' ', 'g'))"
+    return f"trim(regexp_replace({text}, {quoted(f'[{BLANK}]+')}, ' ', 'g'))"
 
 
 def normalized(text: str) -> str:
@@ -58,7 +66,7 @@ def normalized(text: str) -> str:
 
 
 def sensitive(text: str) -> str:
-    return f"coalesce(regexp_matches({text}, {quoted(SENSITIVE_ASSIGNMENT)}), FALSE)"
+    return f"coalesce(regexp_matches({text}, {quoted(portable(SENSITIVE_ASSIGNMENT))}), FALSE)"
 
 
 def safe(text: str) -> str:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from fleetsight import constants as K
 from fleetsight.functions.redact import MANUAL_SENSITIVE_ASSIGNMENT, SENSITIVE_ASSIGNMENT
-from fleetsight.functions.text import BLANKS, col, lookup, none_if_blank
+from fleetsight.functions.text import EDGE_BLANKS, col, lookup, none_if_blank
 
 ERRORS = "validation_errors"
 _CVE = r"^CVE-\d{4}-\d{4,}$"
 
 
 def strip_to_null(value: Column | str) -> Column:
-    return none_if_blank(F.regexp_replace(col(value), f"^{BLANKS}|{BLANKS}$", ""))
+    return none_if_blank(F.regexp_replace(col(value), EDGE_BLANKS, ""))
 
 
 def _when(condition: Column, code: str) -> Column:
