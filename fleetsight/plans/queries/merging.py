@@ -45,9 +45,9 @@ NORMALIZED_SQL = (
         ' ' || {normalized("CASE mapping WHEN 'cve' THEN cve_text WHEN 'kev' THEN kev_text WHEN 'vendor' THEN vendor_text WHEN 'recall' THEN concat_ws(' ', '', title, coalesce(nullif(" + squeeze('summary') + ", ''), '')) ELSE feed_text END")} || ' ' AS hint_text,
         {normalized("CASE mapping WHEN 'vendor' THEN vendor_text WHEN 'rss' THEN feed_text ELSE '' END")} AS exploit_text FROM texts),
     hashed AS (SELECT *, sha256({normalized("concat_ws(' ', clean_title, clean_summary, cve_id, cwe_id)")}) AS normalized_text_hash,
-        CASE WHEN mapping = 'cve' AND cve_id IS NULL THEN 'NVD raw record missing CVE ID' WHEN mapping = 'kev' AND cve_id IS NULL THEN 'CISA KEV raw record missing CVE ID' END AS error_message
+        CASE WHEN mapping = 'cve' AND cve_id IS NULL THEN 'NVD raw record missing CVE ID' WHEN mapping = 'kev' AND cve_id IS NULL THEN 'CISA KEV raw record missing CVE ID' END AS problem
         FROM found),
-    normal AS (SELECT *, CASE WHEN error_message IS NOT NULL THEN NULL WHEN mapping = 'recall' THEN 'recall:campaign:' || external_id WHEN cve_id IS NOT NULL THEN 'cve:' || cve_id
+    normal AS (SELECT *, CASE WHEN problem IS NOT NULL THEN NULL WHEN mapping = 'recall' THEN 'recall:campaign:' || external_id WHEN cve_id IS NOT NULL THEN 'cve:' || cve_id
              ELSE 'url:' || substring(sha256('{{"url":"' || url || '"}}'), 1, 48) END AS dedup_key,
         {_hint_sql('hint_text', K.COMPONENT_ORDER)} AS vehicle_component, {_hint_sql('hint_text', K.SURFACE_ORDER)} AS attack_surface,
         CASE WHEN mapping = 'kev' THEN 'exploited' WHEN {any_term('exploit_text', K.EXPLOITED_TERMS)} THEN 'exploited'
@@ -60,7 +60,7 @@ NORMALIZED_SQL = (
              WHEN 'rss' THEN ['rss', 'feed', 'feed_' || source_id, lower(cve_id)] WHEN 'vendor' THEN ['vendor_advisory', lower(cve_id)]
              WHEN 'recall' THEN ['recall', 'nhtsa'] ELSE ['raw_fallback', lower(cve_id)] END, lambda x: x IS NOT NULL)) AS tags
         FROM hashed),
-    good AS (SELECT * FROM normal WHERE error_message IS NULL)
+    good AS (SELECT * FROM normal WHERE problem IS NULL)
     """
 )
 
@@ -70,7 +70,7 @@ def _normal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _good(spark: SparkSession, folder: str) -> DataFrame:
-    return N.split_normalized(_normal(spark, folder))[0]
+    return N.normalize_stage(X.raw(spark, folder))[0]
 
 
 @QUERIES.add(
@@ -79,7 +79,7 @@ def _good(spark: SparkSession, folder: str) -> DataFrame:
     + """
     SELECT CAST(doc_id AS STRING) AS raw_id, mapping, clean_title AS title, sha256(clean_summary) AS summary_hash, intelligence_type, url, cve_id, cwe_id,
         affected_vendor, affected_product, vehicle_component, attack_surface, exploit_status, confidence, array_to_string(tags, '|') AS tag_text,
-        normalized_text_hash, dedup_key, error_message, epoch_us(first_at) AS first_us FROM normal""",
+        normalized_text_hash, dedup_key, problem AS error_message, epoch_us(first_at) AS first_us FROM normal""",
 )
 def normalized_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _normal(spark, folder).select(
@@ -105,17 +105,17 @@ def normalized_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@QUERIES.add("normalizer_dispatch", NORMALIZED_SQL + "SELECT mapping, count(*) AS n, count(error_message) AS failed FROM normal GROUP BY mapping")
+@QUERIES.add("normalizer_dispatch", NORMALIZED_SQL + "SELECT mapping, count(*) AS n, count(problem) AS failed FROM normal GROUP BY mapping")
 def normalizer_dispatch(spark: SparkSession, folder: str) -> DataFrame:
     return _normal(spark, folder).groupBy("mapping").agg(F.count(F.lit(1)).alias("n"), F.count("error_message").alias("failed"))
 
 
 @QUERIES.add(
     "normalize_failures",
-    NORMALIZED_SQL + "SELECT CAST(doc_id AS STRING) AS raw_id, error_message FROM normal WHERE error_message IS NOT NULL",
+    NORMALIZED_SQL + "SELECT CAST(doc_id AS STRING) AS raw_id, problem AS error_message FROM normal WHERE problem IS NOT NULL",
 )
 def normalize_failures(spark: SparkSession, folder: str) -> DataFrame:
-    failed = N.split_normalized(_normal(spark, folder))[1]
+    failed = N.normalize_stage(X.raw(spark, folder))[1]
     return failed.select(F.col("raw_intelligence_id").alias("raw_id"), "error_message")
 
 
@@ -136,7 +136,7 @@ def newest_pending(spark: SparkSession, folder: str) -> DataFrame:
     "processed_raw_status",
     NORMALIZED_SQL
     + """
-    SELECT CASE WHEN r.processing_status = 'failed' THEN 'failed' WHEN n.error_message IS NULL THEN 'normalized' ELSE 'failed' END AS processing_status, count(*) AS n
+    SELECT CASE WHEN r.processing_status = 'failed' THEN 'failed' WHEN n.problem IS NULL THEN 'normalized' ELSE 'failed' END AS processing_status, count(*) AS n
     FROM raw r JOIN normal n USING (doc_id) GROUP BY 1""",
 )
 def processed_raw_status(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,8 +235,10 @@ def merged_records(spark: SparkSession, folder: str) -> DataFrame:
 def upsert_actions(spark: SparkSession, folder: str) -> DataFrame:
     """English documents merged into records made from the other languages."""
     raw = X.raw(spark, folder)
-    old = M.merge_records(N.split_normalized(N.normalize(raw.filter(F.col("language") != "en")))[0])
-    batch = N.split_normalized(N.normalize(raw.filter(F.col("language") == "en")))[0]
+    language = raw.select(F.col("id").alias("raw_intelligence_id"), "language")
+    rows = N.normalize_stage(raw)[0].join(language, "raw_intelligence_id")
+    old = M.merge_records(rows.filter(F.col("language") != "en"))
+    batch = rows.filter(F.col("language") == "en")
     return M.upsert_records(old, batch, F.lit("2024-03-01").cast("timestamp")).select("dedup_key", "action")
 
 

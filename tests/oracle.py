@@ -82,6 +82,7 @@ if __name__ == "__main__":
     for name, run in runs.items():
         if wanted and not any(part in name for part in wanted):
             continue
+        print("..  ", name, flush=True)
         try:
             ok, message = compare(spark, connection, folder, name, run, sqls.get(name))
         except Exception as error:  # report and go on with the next query
