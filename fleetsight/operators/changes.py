@@ -12,6 +12,7 @@ from fleetsight.functions import text as T
 from fleetsight.functions.keys import manual_key, stable_hash
 from fleetsight.functions.redact import looks_sensitive, safe_text
 from fleetsight.functions.urls import safe_url
+from fleetsight.session import checkpointed
 from fleetsight.sources.batches import check_patch, split_valid, strip_to_null
 from fleetsight.sources.envelope import string_map
 
@@ -216,6 +217,7 @@ def apply_manual_patch(
             F.col("category"), F.col("cve_id"), F.col("title"), _first_or_default("source_names"), _first_or_default("source_urls")
         ),
     )
+    keyed = checkpointed(keyed)
     # A new key must be free in the table, and only the first patch of the batch may take it.
     holders = records.join(keyed.select("dedup_key").distinct(), "dedup_key", "left_semi").select(
         "dedup_key", F.col("id").alias("holder")

@@ -348,7 +348,10 @@ def external_batch(spark: SparkSession, folder: str) -> DataFrame:
     return frame.select(
         F.col("id").alias("arrival"),
         F.when(F.col("id") % 97 != 0, F.col("name_1")).alias("source_name"),
-        F.regexp_replace(F.when(F.col("id") % 89 == 0, F.lit("no address")).otherwise(F.col("url_1")), "&token=x$", "").alias("source_url"),
+        F.when(F.col("id") % 89 == 0, F.lit("no address"))
+        .when(F.col("id") % 7 == 0, template("https://src{{id % 100}}.example.test/item/{{id % 50}}"))
+        .otherwise(F.regexp_replace("url_1", "&token=x$", ""))
+        .alias("source_url"),
         F.when(F.col("id") % 3 == 0, F.lit(" Portal ")).alias("platform"),
         "title",
         F.coalesce(F.when(F.col("id") % 8 != 2, F.col("summary")), F.lit("No summary")).alias("summary"),
@@ -365,7 +368,7 @@ def external_batch(spark: SparkSession, folder: str) -> DataFrame:
         F.col("cvss_score").alias("external_score"),
         F.col("first_seen_at").alias("published_at"),
         F.col("last_seen_at").alias("collected_at"),
-        F.when(F.col("id") % 11 == 0, template("key-{{id % 300}}")).alias("dedup_key"),
+        F.when(F.col("id") % 11 == 0, template("key:{{id % 300}}")).alias("dedup_key"),
         empty.alias("content_hash"),
         F.lit('{"a":1}').alias("raw_payload"),
         F.array(F.lit("Tag"), F.lit("tag ")).alias("tags"),

@@ -1,3 +1,82 @@
+"""Streams replayed over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetsight.plans import fixtures as X
 from fleetsight.plans.queries import Queries
+from fleetsight.plans.queries.operations import JOBS_SQL, _STATES_SQL
+from fleetsight.plans.queries.sqltext import cte
+from fleetsight.session import scratch_folder
+from fleetsight.sources.tables import with_utc_times
+from fleetsight.streaming import jobs as J
 
 QUERIES = Queries()
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{folder}/events.parquet"
+    return with_utc_times(J.table_stream(spark, path, spark.read.parquet(path).schema))
+
+
+def _drain(stream: DataFrame, handle) -> None:
+    J.run_available(stream, scratch_folder(stream.sparkSession, "checkpoint"), handle).awaitTermination()
+
+
+@QUERIES.add("stream_intake_trend", "SELECT CAST(ts AS DATE) AS date, count(*) AS count FROM events GROUP BY 1")
+def stream_intake_trend(spark: SparkSession, folder: str) -> DataFrame:
+    table = J.TrendTable(spark, "ts")
+    _drain(_events(spark, folder), table.handle)
+    return table.read()
+
+
+@QUERIES.add("stream_deduplicated", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id")
+def stream_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
+    """Events whose hash is made of user and type: only the first of each comes through."""
+    out = scratch_folder(spark, "deduplicated")
+    raw = _events(spark, folder).withColumns(
+        {"raw_hash": F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), 256), "fetched_at": F.col("ts")}
+    )
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.select("user_id", "event_type").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    _drain(J.deduplicated(raw, "60 days"), keep)
+    return spark.read.parquet(out).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@QUERIES.add(
+    "stream_source_health",
+    JOBS_SQL + _STATES_SQL + "SELECT CAST(source_id AS STRING) AS source_id, cursor, consecutive_failures FROM states",
+)
+def stream_source_health(spark: SparkSession, folder: str) -> DataFrame:
+    columns = X.VIEWS["jobs"][1]
+    stream = _events(spark, folder).selectExpr(*[f"{expression} AS {name}" for name, expression in columns.items()])
+    health = J.SourceHealth(spark)
+    _drain(stream, health.handle)
+    return health.read().select("source_id", "cursor", "consecutive_failures")
+
+
+@QUERIES.add(
+    "stream_bursts",
+    cte("alerts")
+    + """
+    , n AS (SELECT *, count(*) FILTER (risk_level IN ('high', 'critical')) OVER (PARTITION BY threat_intelligence_id ORDER BY triggered_at RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n FROM alerts)
+    SELECT id, 'vendor' AS scope, n AS match_count FROM n WHERE n >= 3""",
+)
+def stream_bursts(spark: SparkSession, folder: str) -> DataFrame:
+    """Alert events as records whose vendor is the record they belong to."""
+    columns = X.VIEWS["alerts"][1]
+    stream = _events(spark, folder).selectExpr(*[f"{expression} AS {name}" for name, expression in columns.items()]).select(
+        "id",
+        "risk_level",
+        F.concat(F.lit("v"), F.col("threat_intelligence_id")).alias("affected_vendor"),
+        F.lit(None).cast("string").alias("vehicle_component"),
+        F.lit(None).cast("string").alias("attack_surface"),
+        F.col("triggered_at").alias("first_seen_at"),
+    )
+    detector = J.BurstDetector(spark, stream.schema)
+    _drain(stream, detector.handle)
+    return detector.read().select("id", "scope", "match_count")

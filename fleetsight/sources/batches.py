@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetsight import constants as K
 from fleetsight.functions.redact import MANUAL_SENSITIVE_ASSIGNMENT, SENSITIVE_ASSIGNMENT
+from fleetsight.session import checkpointed
 from fleetsight.functions.text import EDGE_BLANKS, col, lookup, none_if_blank
 
 ERRORS = "validation_errors"
@@ -33,7 +34,12 @@ def _with_errors(frame: DataFrame, checks: list[Column]) -> DataFrame:
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid without the error column, rejected with it)."""
+    """(valid without the error column, rejected with it), from one written stage.
+
+    Filtering on the reasons before they are written would evaluate every check inside the
+    filter, once per use.
+    """
+    checked = checkpointed(checked)
     return (
         checked.filter(F.size(ERRORS) == 0).drop(ERRORS),
         checked.filter(F.size(ERRORS) > 0),
