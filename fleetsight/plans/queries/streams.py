@@ -17,8 +17,9 @@ QUERIES = Queries()
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{folder}/events.parquet"
-    return with_utc_times(J.table_stream(spark, path, spark.read.parquet(path).schema))
+    columns = spark.read.parquet(f"{folder}/events.parquet").schema
+    # A stream reads folders or patterns, and the given table may be a single file.
+    return with_utc_times(J.table_stream(spark, f"{folder}/events.parque[t]", columns))
 
 
 def _drain(stream: DataFrame, handle) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -36,16 +37,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="fleetsight-")
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the shared checkpoint folder the cluster names.
 
     Only where that setting is missing (tests, a laptop) a local folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="fleetsight-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{(root or _local_folder()).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def checkpointed(frame):

@@ -152,9 +152,15 @@ def validate_manual(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split_valid(check_manual(batch))
 
 
+PATCH_FIELDS = (*_MANUAL_STRIPPED, "cve_id", "cvss_score", "risk_score", "tags", *_MANUAL_ENUMS)
+
+
 def check_patch(patches: DataFrame) -> DataFrame:
     """Cleaned patch rows; a field counts only when it is listed in ``supplied``."""
-    cleaned = patches.withColumns(
+    given = patches.withColumns(
+        {name: F.when(F.array_contains("supplied", name), F.col(name)) for name in PATCH_FIELDS}
+    )
+    cleaned = given.withColumns(
         {
             **_manual_cleaning(),
             "given_tags": F.size(F.coalesce("tags", F.array())),
