@@ -172,3 +172,19 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("url"),
         F.col("_metadata.file_modification_time").alias("fetched_at"),
     )
+
+
+def read_vendor_pages(spark: SparkSession, path: str, vendor: str | None = None) -> DataFrame:
+    """Raw rows of landed vendor pages and their advisory links."""
+    given = F.lit(vendor).cast("string")
+    endpoints = read_pages(spark, path).withColumns(
+        {
+            "vendor": given,
+            "endpoint_url": F.col("url"),
+            "verification_status": F.lit(None).cast("string"),
+            "endpoint_type": F.lit(None).cast("string"),
+            "http_status": F.lit(None).cast("int"),
+            "content_type": F.lit("text/html"),
+        }
+    )
+    return vendor_items(endpoints)
