@@ -131,7 +131,6 @@ def cve_source_counts(records: DataFrame, links: DataFrame) -> DataFrame:
     linked = (
         links.filter(none_if_blank("source_url").isNotNull())
         .select(F.col("threat_intelligence_id").alias("id"), F.col("source_url").alias("value"))
-        .distinct()
         .join(with_cve.select("id", "cve"), "id")
         .select("cve", F.lit("url").alias("kind"), "value")
     )

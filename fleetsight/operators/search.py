@@ -201,8 +201,11 @@ def public_sources(sources: DataFrame) -> DataFrame:
 
 def detail_sources(records: DataFrame, links: DataFrame) -> DataFrame:
     """One row per source of a record: its links, or name/address pairs when it has none."""
-    linked = links.select(
-        F.col("threat_intelligence_id").alias("id"),
+    mine = links.withColumn("record_id", F.col("threat_intelligence_id")).join(
+        records.select(F.col("id").alias("record_id")), "record_id", "left_semi"
+    )
+    linked = mine.select(
+        F.col("record_id").alias("id"),
         F.lit(True).alias("from_link"),
         "source_id",
         "raw_intelligence_id",
@@ -211,7 +214,7 @@ def detail_sources(records: DataFrame, links: DataFrame) -> DataFrame:
         safe_text("external_id").alias("external_id"),
         "first_seen_at",
         "last_seen_at",
-    ).join(records.select("id"), "id", "left_semi")
+    )
     unlinked = records.join(links.select(F.col("threat_intelligence_id").alias("id")).distinct(), "id", "left_anti")
     paired = unlinked.select("*", F.posexplode("source_names").alias("position", "name"))
     address = F.coalesce(F.get("source_urls", F.col("position")), F.col("canonical_source_url"))

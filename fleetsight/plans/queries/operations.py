@@ -158,7 +158,7 @@ def sources_by_name(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @QUERIES.add(
-    "pipeline_status",
+    "processing_counts",
     cte("raw", "records", "alerts")
     + """
     SELECT 'pending_raw_rows' AS metric, count(*) FILTER (processing_status IN ('pending', 'collected')) AS value FROM raw
@@ -166,7 +166,7 @@ def sources_by_name(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT 'scoring_pending_intelligence_rows', count(*) FILTER (processing_status = 'normalized' AND (risk_score IS NULL OR risk_level = 'info')) FROM records
     UNION ALL SELECT 'open_alerts', count(*) FILTER (status = 'open') FROM alerts""",
 )
-def pipeline_status(spark: SparkSession, folder: str) -> DataFrame:
+def processing_counts(spark: SparkSession, folder: str) -> DataFrame:
     return O.pipeline_counts(X.view(spark, folder, "raw"), X.records(spark, folder), X.alerts(spark, folder))
 
 
@@ -179,10 +179,10 @@ def latest_source_job(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @QUERIES.add(
-    "latest_pipeline_job",
+    "latest_processing_job",
     cte("jobs") + "SELECT id, status FROM jobs WHERE job_name = 'process_pipeline' ORDER BY created_at DESC, id LIMIT 1",
 )
-def latest_pipeline_job(spark: SparkSession, folder: str) -> DataFrame:
+def latest_processing_job(spark: SparkSession, folder: str) -> DataFrame:
     own = F.when(F.col("job_name") != "process_pipeline", F.col("source_id"))
     return O.latest_pipeline_job(X.jobs(spark, folder).withColumn("source_id", own)).select("id", "status")
 
