@@ -11,6 +11,10 @@ from fleetsight.functions.redact import is_sensitive_name, looks_sensitive
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
+# A lower-case host and a path only: nothing in it can need cleaning.
+_PLAIN = r"^https?://[a-z0-9.\-]+(?:/[^?#\s]*)?$"
+
+
 def split_url(url: Column) -> Column:
     """Struct of the five parts of an address; a missing part is the empty string."""
     names = ("scheme", "authority", "path", "query", "fragment")
@@ -167,7 +171,7 @@ def safe_url(value: Column | str) -> Column:
         return F.concat(scheme, located, F.coalesce(query, F.lit("")), F.coalesce(fragment, F.lit("")))
 
     url = col(value)
-    return F.when(url.isNull() | (url == ""), url).otherwise(let(split_url(url), clean))
+    return F.when(url.isNull() | (url == "") | url.rlike(_PLAIN), url).otherwise(let(split_url(url), clean))
 
 
 def looks_like_advisory(url: Column, label: Column, pdf_terms: tuple[str, ...], terms: tuple[str, ...]) -> Column:

@@ -18,7 +18,7 @@ from fleetsight.operators import merge as M
 from fleetsight.operators import normalize as N
 from fleetsight.operators import ops as O
 from fleetsight.operators import score as S
-from fleetsight.session import prepare, scratch_folder
+from fleetsight.session import checkpointed, prepare, scratch_folder
 from fleetsight.sources.tables import empty
 
 
@@ -47,26 +47,34 @@ def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFram
     )
 
 
+def finished_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions below a folder that were written completely."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(status.getPath().getParent().getName()[1:]) for status in found)
+
+
 class VersionedTable:
     """A table kept as one folder per micro-batch.
 
-    A batch writes the next version and never touches the one it reads, so a retried batch
-    gives the same result. On a cluster with a table format this is its MERGE.
+    A batch reads the newest version below its own id and writes the version with its id, so a
+    batch that is run again after a failure reads and writes the same as before, and a new
+    process finds where the last one ended. On a cluster with a table format this is its MERGE.
     """
 
     def __init__(self, spark: SparkSession, folder: str, name: str) -> None:
         self.spark, self.path, self.name = spark, f"{folder}/{name}", name
-        self.version: int | None = None
 
-    def read(self) -> DataFrame:
-        if self.version is None:
+    def read(self, before: int | None = None) -> DataFrame:
+        versions = [version for version in finished_versions(self.spark, self.path) if before is None or version < before]
+        if not versions:
             return empty(self.spark, self.name)
-        return self.spark.read.schema(schema.TABLES[self.name]).parquet(f"{self.path}/v{self.version}")
+        return self.spark.read.schema(schema.TABLES[self.name]).parquet(f"{self.path}/v{versions[-1]}")
 
     def write(self, frame: DataFrame, version: int) -> None:
-        columns = [field.name for field in empty(self.spark, self.name).schema.fields]
+        columns = empty(self.spark, self.name).columns
         frame.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.version = version
 
 
 class Pipeline:
@@ -82,13 +90,14 @@ class Pipeline:
 
     def handle(self, raw: DataFrame, batch_id: int) -> None:
         good, _failed = N.normalize_stage(N.pending(raw), self.registry)
-        merged = M.upsert_records(self.records.read(), good, self.now).drop("action")
-        links = M.upsert_links(self.links.read(), good)
-        self.links.write(links, batch_id)
-        self.records.write(S.score_table(merged, now=self.now).drop("score_action"), batch_id)
+        merged = M.upsert_records(self.records.read(batch_id), good, self.now).drop("action")
+        self.records.write(S.score_table(checkpointed(merged), now=self.now).drop("score_action"), batch_id)
+        records = self.records.read(batch_id + 1)
+        self.links.write(M.upsert_links(self.links.read(batch_id), good, records), batch_id)
         # Cross-record rules can fire for old records too, so all are candidates.
-        fresh = A.evaluate_alerts(self.records.read(), self.links.read(), self.alerts.read(), self.now, rules=self.rules)
-        self.alerts.write(self.alerts.read().unionByName(fresh), batch_id)
+        known = self.alerts.read(batch_id)
+        fresh = A.evaluate_alerts(records, self.links.read(batch_id + 1), known, self.now, rules=self.rules)
+        self.alerts.write(known.unionByName(fresh), batch_id)
 
 
 def intake_trend(stream: DataFrame, time: str, delay: str = "1 day") -> DataFrame:
@@ -98,11 +107,11 @@ def intake_trend(stream: DataFrame, time: str, delay: str = "1 day") -> DataFram
 
 
 class TrendTable:
-    """Daily counts, added up per micro-batch."""
+    """Daily counts, added up per micro-batch; a repeated batch replaces its own counts."""
 
-    def __init__(self, spark: SparkSession, time: str) -> None:
+    def __init__(self, spark: SparkSession, time: str, folder: str | None = None) -> None:
         self.spark, self.time = spark, time
-        self.folder = scratch_folder(spark, "trend")
+        self.folder = folder or scratch_folder(spark, "trend")
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy(F.to_date(self.time).alias("date")).agg(F.count(F.lit(1)).alias("count"))
@@ -116,9 +125,10 @@ class TrendTable:
 class BurstDetector:
     """Burst counts for the records of each micro-batch against everything seen so far."""
 
-    def __init__(self, spark: SparkSession, columns) -> None:
+    def __init__(self, spark: SparkSession, columns, folder: str | None = None) -> None:
         self.spark, self.columns = spark, columns
-        self.seen, self.found = scratch_folder(spark, "seen"), scratch_folder(spark, "bursts")
+        folder = folder or scratch_folder(spark, "bursts")
+        self.seen, self.found = f"{folder}/seen", f"{folder}/found"
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.seen}/batch={batch_id}")
@@ -133,16 +143,12 @@ class BurstDetector:
 class SourceHealth:
     """Sync states advanced by the job rows of each micro-batch."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder = spark, scratch_folder(spark, "health")
-        self.version: int | None = None
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.states = VersionedTable(spark, folder or scratch_folder(spark, "health"), "sync_states")
 
     def read(self) -> DataFrame:
-        if self.version is None:
-            return empty(self.spark, "sync_states")
-        return self.spark.read.parquet(f"{self.folder}/v{self.version}")
+        return self.states.read()
 
     def handle(self, jobs: DataFrame, batch_id: int) -> None:
-        states = O.advance_states(self.read(), jobs.withColumn("source_id", F.col("source_id").cast("string")))
-        states.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
-        self.version = batch_id
+        named = jobs.withColumn("source_id", F.col("source_id").cast("string"))
+        self.states.write(O.advance_states(self.states.read(batch_id), named), batch_id)
