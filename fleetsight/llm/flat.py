@@ -96,6 +96,13 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[new]
 
 
+def member(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which keys are among the ordered ones, by binary search."""
+    if not ordered.size:
+        return np.zeros(keys.size, dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), ordered.size - 1)] == keys
+
+
 def window_hashes(tokens: np.ndarray, size: int, second: bool = False) -> np.ndarray:
     """Hash of every window of ``size`` consecutive tokens; shorter by ``size - 1`` than the input."""
     n = tokens.size - size + 1
@@ -108,6 +115,15 @@ def window_hashes(tokens: np.ndarray, size: int, second: bool = False) -> np.nda
     return mix(total)
 
 
+def window_hashes_at(tokens: np.ndarray, starts: np.ndarray, size: int, second: bool = False) -> np.ndarray:
+    """The same hashes, of the windows at ``starts`` only."""
+    weights = _WINDOW[int(second)]
+    total = np.zeros(starts.size, dtype=np.uint64)
+    for k in range(size):
+        total += tokens[starts + k] * weights[k]
+    return mix(total)
+
+
 def whole_windows(first: np.ndarray, count: int, size: int) -> np.ndarray:
     """Which of the ``count`` window starts lie in one text; ``first`` as from ``Flat.first_of``."""
     inside = np.ones(max(count, 0), dtype=bool)

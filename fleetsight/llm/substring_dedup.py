@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.flat import CHUNK_BYTES, Flat, chunks, distinct, whole_windows, window_hashes
+from fleetsight.llm.flat import CHUNK_BYTES, Flat, chunks, distinct, member, whole_windows, window_hashes, window_hashes_at
 
 WINDOW = 20
 # Words of a batch and of a hash bucket; both grow with the root of the corpus beyond that, so that a
@@ -91,14 +91,14 @@ class Batch:
         ordered = np.sort(keys[inside])
         twice = distinct(ordered[1:][ordered[1:] == ordered[:-1]])
         at = np.flatnonzero(reference)
-        hit = at[np.isin(keys[at], np.concatenate([hits, twice]))]
+        hit = at[member(keys[at], distinct(np.concatenate([hits, twice])))]
         n = max(0, self.words.size - window + 1)
         edge = np.zeros(n + 1, dtype=np.int64)
         np.add.at(edge, np.clip(hit - (window - block), 0, n), 1)
         np.add.at(edge, np.clip(hit + 1, 0, n), -1)
         starts = np.flatnonzero((np.cumsum(edge[:n]) > 0) & whole_windows(self.first, n, window))
-        high = _window_at(self.words, starts, window, False)
-        low = (_window_at(self.words, starts, window, True) >> np.uint64(32)).astype(np.uint32)
+        high = window_hashes_at(self.words, starts, window, False)
+        low = (window_hashes_at(self.words, starts, window, True) >> np.uint64(32)).astype(np.uint32)
         bucket = high % np.uint64(buckets)
         order = np.lexsort((starts, low, high, bucket))
         new = np.ones(order.size, dtype=bool)
@@ -106,17 +106,6 @@ class Batch:
         return starts[order], new, high[order][new], low[order][new], bucket[order][new].astype(np.int64)
 
 
-def _window_at(words: np.ndarray, starts: np.ndarray, size: int, second: bool) -> np.ndarray:
-    """Window hashes at chosen starts only, a slice at a time."""
-    out = np.zeros(starts.size, dtype=np.uint64)
-    lanes = np.arange(size)
-    for at in range(0, starts.size, 1 << 16):
-        piece = starts[at : at + (1 << 16)]
-        laid = words[(piece[:, None] + lanes).ravel()]
-        out[at : at + piece.size] = window_hashes(laid, size, second)[::size]
-    return out
-
-
 def bucket_keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
     bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
     return (bucket << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
@@ -166,7 +155,7 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     rows = []
     for bucket, batch, body in zip(*(table.column(name).to_pylist() for name in ("bucket", "batch", "blocks"))):
         blocks = np.frombuffer(body, np.uint32)
-        blocks = blocks[np.isin(blocks, shared)]
+        blocks = blocks[member(blocks, shared)]
         if blocks.size:
             rows.append((batch, 0, bucket, blocks.tobytes()))
     return _table(rows, _EMPTY)
