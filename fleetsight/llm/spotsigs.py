@@ -9,8 +9,8 @@ fingerprints. Two sets are as alike as their Jaccard similarity.
 into partitions whose neighbours bound the length ratio, and by the rarest signatures of its prefix, of
 which two similar sets must share one; candidates are compared in full. Nothing but DataFrame functions.
 
-Defined results: a null text counts as empty; words are runs of letters and digits in lower case; rows with
-equal ids count as one document in the order of documents, the smallest text standing for it.
+Defined results: a null text counts as empty; words are runs of letters and digits in lower case; rows of
+equal ids follow each other in order of their texts; a null id comes first; a single row is followed by itself.
 """
 
 from __future__ import annotations
@@ -101,31 +101,27 @@ def _next_groups(groups: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, signatures, next_text, next_signatures``: each document beside the next by id.
+    """``doc_id, text, next_text``: each document beside the text of the next by id.
 
     Documents are sorted in groups of neighbouring ids; the last of a group is joined with the first of
-    the next. All parts read one shuffle of the texts.
+    the next. All parts read one shuffle of the texts, so nothing is computed below it.
     """
     ids = F.col(doc_id).cast("long")
     group = F.coalesce(F.shiftright(ids, GROUP_SHIFT), F.lit(-(2**63))).alias("g")
-    placed = docs.select(group, ids.alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    placed = placed.withColumn("signatures", signatures(F.col("text")))
-    order = Window.partitionBy("g").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    # Rows of equal ids share what follows the last of them; the smallest text is what others see of them.
+    # Other names than the table's: equal names would be dropped in one part only, and the shuffle not shared.
+    placed = docs.select(group, ids.alias("own_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("own_text"))
+    order = Window.partitionBy("g").orderBy(F.col("own_id").asc_nulls_first(), "own_text")
     side = placed.select(
         "*",
-        *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "signatures")],
-        F.lead(F.lit(1)).over(order).alias("has_next"),
+        F.lead("own_text").over(order).alias("next_text"),
         F.lag(F.lit(1)).over(order).alias("has_previous"),
     )
-    inner = side.filter("has_next IS NOT NULL").select("doc_id", "text", "signatures", "next_text", "next_signatures")
-    firsts = side.filter("has_previous IS NULL").select(
-        F.col("g").alias("next_g"), F.col("text").alias("next_text"), F.col("signatures").alias("next_signatures")
-    )
-    lasts = side.filter("has_next IS NULL").select("g", "doc_id", "text", "signatures")
+    inner = side.filter("next_text IS NOT NULL").select("own_id", "own_text", "next_text")
+    firsts = side.filter("has_previous IS NULL").select(F.col("g").alias("next_g"), F.col("own_text").alias("next_text"))
+    lasts = side.filter("next_text IS NULL").select("g", "own_id", "own_text")
     following = _next_groups(docs.select(group).distinct())
-    edge = lasts.join(following, "g").join(firsts, "next_g")
-    return inner.unionByName(edge.select("doc_id", "text", "signatures", "next_text", "next_signatures"))
+    edge = lasts.join(following, "g").join(firsts, "next_g").select("own_id", "own_text", "next_text")
+    return inner.unionByName(edge).select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), "next_text")
 
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,15 +135,15 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half)
     )
     pairs = pairs.withColumn("edited", edited)
-    found = pairs.withColumn("edited_signatures", signatures(F.col("edited")))
+    found = pairs.withColumns({f"of_{name}": signatures(F.col(name)) for name in ("text", "edited", "next_text")})
     return found.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("signatures")).alias("fingerprint"),
-        fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
-        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
-        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+        fingerprint(F.col("of_text")).alias("fingerprint"),
+        fingerprint(F.col("of_edited")).alias("edited_fingerprint"),
+        likeness(F.col("of_text"), F.col("of_edited")).alias("near_edited"),
+        likeness(F.col("of_text"), F.col("of_next_text")).alias("near_next"),
     )
 
 
