@@ -57,22 +57,23 @@ def rotate(conversations: DataFrame) -> DataFrame:
     """
     turn = F.col("turn").cast("long")
     turns = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        # Two plain keys instead of one that may be null: then the join needs no other partitioning than the grouping.
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
+        F.col("conv_id").isNull().alias("nameless"),
         F.coalesce(F.floor(turn / BLOCK_TURNS), F.lit(-(2**62))).cast("long").alias("block"),
         turn.alias("turn"),
         F.coalesce(F.nullif(F.trim(F.col("role").cast("string")), F.lit("")), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    speakers = turns.filter(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
-    blocks = turns.select("conv_id", "block").distinct()
+    conversation = ["conv", "nameless"]
+    speakers = turns.filter(F.col("role") != SYSTEM).select(*conversation, F.col("role").alias("speaker")).distinct()
     # Ids only: which perspectives a block needs. The turns themselves are shuffled once, by block.
-    wanted = blocks.join(speakers, blocks.conv_id.eqNullSafe(speakers.conv_id)).select(blocks.conv_id, "block", "speaker")
-    gathered = turns.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    same = gathered.conv_id.eqNullSafe(wanted.conv_id) & (gathered.block == wanted.block)
-    joined = gathered.join(wanted, same).select(gathered.conv_id, gathered.block, "speaker", "turns")
+    wanted = turns.select(*conversation, "block").distinct().join(speakers, conversation)
+    gathered = turns.groupBy(*conversation, "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    joined = gathered.join(wanted, [*conversation, "block"])
     made = joined.withColumn("made", _rendered(F.col("turns"), F.col("speaker")))
     return made.select(
-        "conv_id",
+        F.when(~F.col("nameless"), F.col("conv")).alias("conv_id"),
         "speaker",
         F.when(F.col("block") != -(2**62), F.col("block")).alias("block"),
         F.size("turns").cast("long").alias("n_turns"),
