@@ -36,32 +36,31 @@ BASE32_FROM = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: four times 40 bits as eight digits."""
-    hexed = F.sha1(payload)
+def base32(hexed: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: four times 40 bits as eight digits."""
     parts = [F.lpad(F.conv(F.substring(hexed, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4)]
     return F.translate(F.concat(*parts), BASE32_FROM, BASE32_TO)
 
 
 def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, url, html, digest, refers_to``: the page whose payload a row repeats, null for responses.
+    """``page_id, url, html, sha1, refers_to``: the page whose payload a row repeats, null for responses.
 
-    Digests are grouped and joined without the payloads; a payload that fills a third of the pages is one
-    row of the grouped side.
+    Digests are written once, grouped and joined without the payloads; a payload that fills a third of the
+    pages is one row of the grouped side.
     """
     chosen = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).withColumn("digest", base32_sha1(F.col("html")))
-    large = chosen.filter(F.octet_length("html") >= least_bytes).select("page_id", "digest")
-    first = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
-    repeats = large.distinct().join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    ).withColumn("sha1", F.sha1("html"))
+    large = checkpointed(chosen.filter(F.octet_length("html") >= least_bytes).select("page_id", "sha1"))
+    first = large.groupBy("sha1").agg(F.max("page_id").alias("refers_to"))
+    repeats = large.distinct().join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     repeats = repeats.filter("refers_to IS NOT NULL").select(
-        F.col("page_id").alias("repeat_id"), F.col("digest").alias("repeat_digest"), "refers_to"
+        F.col("page_id").alias("repeat_id"), F.col("sha1").alias("repeat_sha1"), "refers_to"
     )
-    same = chosen.page_id.eqNullSafe(repeats.repeat_id) & (chosen.digest == repeats.repeat_digest)
-    return chosen.join(repeats, same, "left").drop("repeat_id", "repeat_digest")
+    same = chosen.page_id.eqNullSafe(repeats.repeat_id) & (chosen.sha1 == repeats.repeat_sha1)
+    return chosen.join(repeats, same, "left").drop("repeat_id", "repeat_sha1")
 
 
 def record(page: str = "page_id", url: str = "url", html: str = "html") -> Column:
@@ -74,7 +73,7 @@ def record(page: str = "page_id", url: str = "url", html: str = "html") -> Colum
         F.lit(f"WARC/1.1{end}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit(f"{end}WARC-Record-ID: "), urn(page),
         F.lit(f"{end}WARC-Target-URI: "), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\s\x00-\x1f]", "%20"),
-        F.lit(f"{end}WARC-Date: 2024-01-01T00:00:00Z{end}WARC-Payload-Digest: sha1:"), F.col("digest"),
+        F.lit(f"{end}WARC-Date: 2024-01-01T00:00:00Z{end}WARC-Payload-Digest: sha1:"), base32(F.col("sha1")),
         F.lit(f"{end}WARC-Payload-Length: "), size,
         F.when(revisit, F.concat(F.lit(f"{end}WARC-Profile: {REVISIT_PROFILE}{end}WARC-Refers-To: "), urn("refers_to"))).otherwise(""),
         F.lit(f"{end}Content-Type: application/http; msgtype=response{end}Content-Length: "),
