@@ -1,7 +1,7 @@
 """Weak-label classifier: labellers vote, EM weighs them, a hashed linear scorer learns the posterior.
 
-Two questions are asked of a text, each with its own labellers: is it junk, and is it abusive? A labeller
-votes bad, good or nothing; where people have labelled a document, they are one more labeller. The votes
+Two questions are asked of a text, each with its own labellers: is it junk, and is it abusive? Labellers are
+rules that fire on bad texts; people, where they have labelled a document, are one more labeller. The votes
 of all documents are counted by pattern (3^labellers patterns at most) and expectation-maximisation fits,
 per question, the share of bad texts and how often each labeller says bad of bad and of good texts. A
 bounded sample of documents with their posterior as label trains a logistic scorer over hashed word,
@@ -34,7 +34,9 @@ THRESHOLD = 0.6
 # Rounds and the strength of the prior, as a share of the documents.
 EM_ROUNDS = 60
 EM_PRIOR = 0.05
-# Share of bad texts where people have labelled none, else worth 100 labels.
+# How often people call good and bad texts bad: given, as the rules are measured by them.
+PEOPLE = (0.005, 0.95)
+# Share of bad texts where people have labelled none; it weighs as much as 100 labels.
 BAD_SHARE = 0.1
 FIT_ROUNDS = 200
 FIT_RATE = 0.5
@@ -42,8 +44,8 @@ FIT_RIDGE = 2e-4
 
 QUESTIONS = ("junk", "abuse")
 # The last labeller of each question is people's labels, the others are rules over the text.
-JUNK_LABELLERS = ("symbols", "capitals", "separators", "repeated lines", "word variety", "word length", "clean prose", "people")
-ABUSE_LABELLERS = ("insult present", "two insults", "insult share", "people")
+JUNK_LABELLERS = ("symbols", "capitals", "separators", "repeated lines", "word variety", "word length", "people")
+ABUSE_LABELLERS = ("insult present", "two insults", "people")
 # English words of abuse; a parameter of the labellers, not of the scorer.
 INSULTS = (
     "clown disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash worthless".split()
@@ -99,28 +101,21 @@ class Facts:
         return np.bincount((distinct(keys) >> np.uint64(40)).astype(np.int64), minlength=self.flat.starts.size)
 
     def votes(self) -> list[np.ndarray]:
-        """Per question one row per text: 2 bad, 1 good, 0 nothing, in the labellers' order without people."""
-
-        def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
-            return np.where(bad, 2, np.where(good, 1, 0)).astype(np.int8)
+        """Per question one row per text: 2 where a rule says bad, else 0, in the labellers' order without people."""
 
         insult = np.isin(self.word_hashes, _insult_hashes())
         starts, hashes = self.word_starts[insult], self.word_hashes[insult]
         insults, kinds = np.diff(self.flat.first_of(starts)), self._distinct(starts, hashes)
-        none = np.zeros(insults.size, dtype=bool)
-        prose = (self.symbols < 0.05) & (self.capitals < 0.1) & (self.separators == 0) & (self.repeated < 0.1)
-        prose &= (self.variety > 0.88) & (self.length >= 2.5) & (self.length <= 12) & (self.n_words >= 20)
         junk = [
-            vote(self.symbols > 0.07, none),
-            vote(self.capitals > 0.25, none),
-            vote(self.separators > 0.1, none),
-            vote((self.repeated > 0.3) & (self.n_lines > 2), none),
-            vote((self.variety < 0.85) & (self.n_words >= 20), none),
-            vote(self.blank | (self.length > 20), none),
-            vote(none, prose),
+            self.symbols > 0.07,
+            self.capitals > 0.25,
+            self.separators > 0.1,
+            (self.repeated > 0.3) & (self.n_lines > 2),
+            (self.variety < 0.85) & (self.n_words >= 20),
+            self.blank | (self.length > 20),
         ]
-        abuse = [vote(insults > 0, none), vote(kinds > 1, none), vote(insults > 0.002 * self.n_words, none)]
-        return [np.stack(junk, axis=1), np.stack(abuse, axis=1)]
+        abuse = [insults > 0, kinds > 1]
+        return [np.where(np.stack(rules, axis=1), 2, 0).astype(np.int8) for rules in (junk, abuse)]
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(text, hashed feature), each pair once, in order of text and feature."""
@@ -141,35 +136,45 @@ def pattern_codes(votes: np.ndarray) -> np.ndarray:
     return votes.astype(np.int64) @ 3 ** np.arange(votes.shape[1])
 
 
+def _answers(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(says bad, says good): only people say good; a rule that is silent, or knows another language, says nothing."""
+    good = np.zeros(votes.shape)
+    good[:, -1] = votes[:, -1] == 1
+    return (votes == 2).astype(float), good
+
+
 def fit_labellers(counts: dict[int, int], labellers: int) -> tuple[np.ndarray, float]:
-    """(chance that a labeller that votes says bad: of good texts and of bad ones; share of bad texts).
+    """(how often each labeller says bad: of good texts and of bad ones; share of bad texts).
 
-    ``counts`` holds the documents per vote pattern; no vote says nothing. A weak prior holds that
+    ``counts`` holds the documents per vote pattern; the last labeller is people, whose chances are given. A weak prior holds that
     labellers seldom call a good text bad, which also keeps the two classes from changing places.
     """
     codes = np.array(sorted(counts), dtype=np.int64)
     weight = np.array([counts[code] for code in codes.tolist()], dtype=float)
     votes = codes[:, None] // 3 ** np.arange(labellers) % 3
-    says_bad, says_good = (votes == 2).astype(float), (votes == 1).astype(float)
+    says_bad, says_good = _answers(votes)
+    judged = votes[:, -1] > 0
     prior = EM_PRIOR * weight.sum()
-    chance, bad = np.repeat([[0.02], [0.4]], labellers, axis=1), BAD_SHARE
-    judged = votes[:, -1] > 0  # by people, so whether they have a vote doesn't hang on the rules
+    chance, bad = np.repeat([[0.01], [0.3]], labellers, axis=1), BAD_SHARE
+    chance[:, -1] = PEOPLE
+    expected = chance.copy()
     for _ in range(EM_ROUNDS):
         both = says_bad @ np.log(chance).T + says_good @ np.log(1 - chance).T + np.log([1 - bad, bad])
         both = np.exp(both - both.max(axis=1, keepdims=True))
         both *= (weight / both.sum(axis=1))[:, None]
-        up, down = both.T @ says_bad, both.T @ says_good
-        chance = (up + prior * np.array([[0.01], [0.4]])) / (up + down + prior)
+        strength = prior * np.array([[1.0], [0.1]])
+        chance = (both.T @ says_bad + strength * expected) / (both.sum(axis=0)[:, None] + strength)
+        chance[:, -1] = PEOPLE
         bad = (both[judged, 1].sum() + 100 * BAD_SHARE) / (weight[judged].sum() + 100)
     return chance, float(bad)
 
 
 def posterior(votes: np.ndarray, model: tuple[np.ndarray, float]) -> np.ndarray:
-    """Chance that a text with these votes is bad."""
+    """Chance that a text with these votes is bad; people's votes are the last column."""
     chance, bad = model
-    says_bad, says_good = np.log(chance[1] / chance[0]), np.log((1 - chance[1]) / (1 - chance[0]))
-    odds = (votes == 2) @ says_bad + (votes == 1) @ says_good + np.log(bad / (1 - bad))
-    return 1 / (1 + np.exp(-odds))
+    says_bad, says_good = _answers(votes)
+    odds = says_bad @ np.log(chance[1] / chance[0]) + says_good @ np.log((1 - chance[1]) / (1 - chance[0]))
+    return 1 / (1 + np.exp(-(odds + np.log(bad / (1 - bad)))))
 
 
 def fit_scorer(rows: list[np.ndarray], target: np.ndarray, size: int) -> np.ndarray:
@@ -325,7 +330,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     models, scorer = train(texts, labels)
 
     def scored(facts: Facts) -> list:
-        weak = [posterior(v, (chance[:, :-1], bad)) for v, (chance, bad) in zip(facts.votes(), models)]
+        weak = [posterior(np.pad(v, ((0, 0), (0, 1))), m) for v, m in zip(facts.votes(), models)]
         score = scorer.score(facts)
         return [*weak, score[:, 0], score[:, 1], (score < THRESHOLD).all(axis=1)]
 

@@ -199,7 +199,8 @@ def links(codes: DataFrame) -> DataFrame:
         ready = cold if ready is None else ready.unionByName(cold)
         if hot is None:
             break
-        level = _grouped(level.join(hot, ["mask", "value"], "left_semi").select("bits", "mask"), masks)
+        # Two masks may be refined to the same one; a fingerprint is in a group once.
+        level = _grouped(level.join(hot, ["mask", "value"], "left_semi").select("bits", "mask"), masks).distinct()
         masks = [finer for mask in masks for finer in _finer(mask)]
     dealt = ready.repartition("mask", "value").sortWithinPartitions("mask", "value")
     return dealt.select("mask", "value", "bits").mapInArrow(_search, "a long, b long")
@@ -257,13 +258,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without an id have no component of their own to stand for and stay. Columns are as they came.
     """
-    found = checkpointed(near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")))
-    chosen = found.filter((F.col("doc_id") == F.col("c")) | F.col("doc_id").isNull())
-    single = chosen.filter((F.col("n") == 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(single, docs.doc_id.eqNullSafe(single.kept_id), "left_semi")
-    repeated = chosen.filter((F.col("n") > 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("kept_id"))
+    found = near_duplicates(docs).filter("doc_id IS NOT NULL")
+    found = checkpointed(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")))
+    # What goes is the smaller side: mostly the ids of copies, and those that come more than once.
+    dropped = found.filter("doc_id <> c OR n > 1").select(F.col("doc_id").alias("dropped_id"))
+    kept = docs.join(dropped, docs.doc_id == dropped.dropped_id, "left_anti")
+    repeated = found.filter("doc_id = c AND n > 1").select(F.col("doc_id").alias("kept_id"))
     if not repeated.isEmpty():
         rows = docs.join(repeated, docs.doc_id == repeated.kept_id, "left_semi")
-        least = rows.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-        kept = kept.unionByName(least.select("doc_id", "row.*").select(*docs.columns))
+        row = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+        least = rows.groupBy("doc_id").agg(F.min(row).alias("row"))
+        whole = [F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns]
+        kept = kept.unionByName(least.select(*whole))
     return kept
