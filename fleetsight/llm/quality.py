@@ -147,7 +147,8 @@ def fit_labellers(counts: dict[int, int], labellers: int) -> tuple[np.ndarray, f
     """(how often each labeller says bad: of good texts and of bad ones; share of bad texts).
 
     ``counts`` holds the documents per vote pattern; the last labeller is people, whose chances are given. A weak prior holds that
-    labellers seldom call a good text bad, which also keeps the two classes from changing places.
+    labellers seldom call a good text bad, which also keeps the two classes from changing places. Texts on
+    which all are silent count by the share of bad texts, so it is the ratio of the chances that tells.
     """
     codes = np.array(sorted(counts), dtype=np.int64)
     weight = np.array([counts[code] for code in codes.tolist()], dtype=float)
@@ -169,6 +170,12 @@ def fit_labellers(counts: dict[int, int], labellers: int) -> tuple[np.ndarray, f
     return chance, float(bad)
 
 
+def accuracies(model: tuple[np.ndarray, float]) -> np.ndarray:
+    """Share of each labeller's bad calls that are right."""
+    chance, bad = model
+    return bad * chance[1] / (bad * chance[1] + (1 - bad) * chance[0])
+
+
 def posterior(votes: np.ndarray, model: tuple[np.ndarray, float]) -> np.ndarray:
     """Chance that a text with these votes is bad; people's votes are the last column."""
     chance, bad = model
