@@ -115,7 +115,6 @@ ALERT_REASONS = {
 }
 
 # --- sources ----------------------------------------------------------------
-MAX_PAYLOAD_BYTES = 256_000
 PAYLOAD_RETAINING_TYPES = ("api", "rss")
 PAYLOAD_DROPPING_TYPES = ("html", "pdf")
 CVE_WINDOW_DAYS = 120
@@ -134,7 +133,6 @@ TRUE_WORDS = ("1", "true", "yes", "y", "on")
 RANSOMWARE_WORDS = ("known", "yes", "true")
 PDF_LABEL_TERMS = ("advisory", "security", "bulletin", "vulnerability", "cve-", "psirt")
 ADVISORY_TERMS = ("advisory", "advisories", "security", "bulletin", "vulnerability", "cve-")
-LINKS_PER_PAGE = 20
 MODEL_YEARS = 4
 
 # --- redaction --------------------------------------------------------------
@@ -148,7 +146,6 @@ ERROR_SENSITIVE_WORDS = ("api[_-]?key", "authorization", "password", "secret", "
 INTERNAL_KEY_PARTS = ("broker", "result_backend")
 INTERNAL_KEYS = ("redis_url", "database_url")
 INTERNAL_URL_PREFIXES = ("redis://", "rediss://", "postgresql://", "postgresql+psycopg://")
-METADATA_LIST_LIMIT = 50
 
 # --- batch validation -------------------------------------------------------
 EXTERNAL_TEXT_LIMITS = {

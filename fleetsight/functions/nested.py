@@ -103,7 +103,7 @@ def score_explanation(metadata: Column | str) -> Column:
         members = F.from_json(F.when(value.startswith("["), value), "array<string>")
         joined = none_if_blank(F.array_join(F.filter(members, lambda item: item.isNotNull()), "; "))
         readings += [
-            F.when(value.startswith("["), F.substring(safe_text(joined), 1, 1000)).when(
+            F.when(value.startswith("["), safe_text(joined)).when(
                 ~value.startswith("{"), safe_text(value)
             )
         ]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fleetsight import constants as K
-from fleetsight.functions.text import BLANK, col
+from fleetsight.functions.text import BLANK, at_most, col
 
 
 def _assignment(words: tuple[str, ...]) -> str:
@@ -74,15 +74,15 @@ def drop_internal(metadata: Column | str) -> Column:
     return F.map_filter(col(metadata), keep)
 
 
-def sanitize_error(message: Column | str, length: int = 500) -> Column:
-    """Assignments of credentials first, then the bare words, then the length limit."""
+def sanitize_error(message: Column | str, length: int | None = None) -> Column:
+    """Assignments of credentials first, then the bare words, then the length limit if there is one."""
     text = F.regexp_replace(col(message), ERROR_ASSIGNMENT, "[redacted]=[redacted]")
-    return F.substring(F.regexp_replace(text, ERROR_WORD, "[redacted]"), 1, length)
+    return at_most(F.regexp_replace(text, ERROR_WORD, "[redacted]"), length)
 
 
-def _tree_redactor():
+def _tree_redactor(limit: int | None):
     pattern = re.compile(rf"\b(?:{'|'.join(K.SENSITIVE_WORDS)})\s*[:=]\s*\S", re.IGNORECASE)
-    parts, limit = K.SENSITIVE_KEY_PARTS, K.METADATA_LIST_LIMIT
+    parts = K.SENSITIVE_KEY_PARTS
 
     def hides_name(name: str) -> bool:
         folded = name.lower().replace("-", "_")
@@ -117,8 +117,12 @@ def _tree_redactor():
             return clean_address(value)
         return None if hides_text(value) else value
 
-    def clean(payload: str) -> str:
-        return json.dumps(redact(json.loads(payload)), ensure_ascii=False, separators=(",", ":"))
+    def clean(payload: str) -> str | None:
+        try:
+            tree = json.loads(payload)
+        except ValueError:
+            return None
+        return json.dumps(redact(tree), ensure_ascii=False, separators=(",", ":"))
 
     def redact_series(payloads: pd.Series) -> pd.Series:
         return payloads.map(clean, na_action="ignore")
@@ -126,10 +130,12 @@ def _tree_redactor():
     return F.pandas_udf(redact_series, StringType())
 
 
-def safe_json(payload: Column | str) -> Column:
-    """Nested JSON of any depth, redacted like :func:`safe_metadata`, long lists cut.
+def safe_json(payload: Column | str, list_limit: int | None = None) -> Column:
+    """Nested JSON of any depth, redacted like :func:`safe_metadata`; null for text that is not JSON.
+
+    Lists are cut after ``list_limit`` items if there is a limit.
 
     SQL expressions cannot walk a tree of unknown depth, so this one runs on Arrow
     batches; flat maps should use :func:`safe_metadata`.
     """
-    return _tree_redactor()(col(payload))
+    return _tree_redactor(list_limit)(col(payload))

@@ -56,13 +56,18 @@ def first_text(*values: Column | str) -> Column:
     return F.coalesce(*[none_if_blank(value) for value in values])
 
 
-def clean_title(*values: Column | str) -> Column:
+def at_most(value: Column, length: int | None) -> Column:
+    """The first ``length`` characters; all of them without a length."""
+    return value if length is None else F.substring(value, 1, length)
+
+
+def clean_title(*values: Column | str, length: int | None = None) -> Column:
     """Null when there is nothing to use as a title; callers treat that as an error."""
-    return F.substring(clean_optional(first_text(*values)), 1, 500)
+    return at_most(clean_optional(first_text(*values)), length)
 
 
-def snippet(value: Column | str) -> Column:
-    return none_if_blank(F.substring(col(value), 1, 500))
+def snippet(value: Column | str, length: int | None = None) -> Column:
+    return none_if_blank(at_most(col(value), length))
 
 
 def join_text(*values: Column | str) -> Column:
@@ -147,15 +152,15 @@ def ransomware_tag(value: Column | str) -> Column:
     return F.when(normalize_text(value).isin(*K.RANSOMWARE_WORDS), F.lit("ransomware_use"))
 
 
-def tag_text(value: Column | str) -> Column:
-    return F.substring(F.replace(normalize_text(value), F.lit(" "), F.lit("_")), 1, 80)
+def tag_text(value: Column | str, length: int | None = None) -> Column:
+    return at_most(F.replace(normalize_text(value), F.lit(" "), F.lit("_")), length)
 
 
 def compact_tags(*values: Column | str, more: Iterable[Column] = ()) -> Column:
     """Sorted distinct tags. ``more`` takes array columns of further tags."""
     arrays = [F.array(*[col(value).cast("string") for value in values])]
     arrays += [F.coalesce(extra, F.array().cast("array<string>")) for extra in more]
-    tags = F.transform(F.concat(*arrays), tag_text)
+    tags = F.transform(F.concat(*arrays), lambda tag: tag_text(tag))
     return F.array_sort(F.array_distinct(F.filter(tags, lambda tag: tag != "")))
 
 

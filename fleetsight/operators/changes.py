@@ -254,7 +254,7 @@ def apply_manual_patch(
         {
             "title": take(F.col("p_title"), "title"),
             "summary": take(F.col("p_summary"), "summary"),
-            "snippet": take(F.substring("p_summary", 1, 500), "snippet"),
+            "snippet": take(F.col("p_summary"), "snippet"),
             "source_name": take(F.col("p_name"), "source_name"),
             "source_url": take(F.col("p_url"), "source_url"),
             "content_hash": take(F.col("p_hash"), "content_hash"),

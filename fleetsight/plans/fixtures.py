@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.sources.envelope import string_map
-from fleetsight.sources.tables import load, spread
+from fleetsight.sources.tables import load
 
 # view -> (table, {column: expression})
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
@@ -162,17 +162,9 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return load(spark, folder, table).selectExpr(*[f"{expression} AS {column}" for column, expression in columns.items()])
 
 
-def spread_view(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A view over a scan that is spread over the cores; for expensive row-wise work."""
-    table, columns = VIEWS[name]
-    return spread(load(spark, folder, table), key).selectExpr(
-        *[f"{expression} AS {column}" for column, expression in columns.items()]
-    )
-
-
-def records(spark: SparkSession, folder: str, wide: bool = False) -> DataFrame:
+def records(spark: SparkSession, folder: str) -> DataFrame:
     """Core records from ``orders``, with list and map columns."""
-    frame = spread_view(spark, folder, "records", "o_orderkey") if wide else view(spark, folder, "records")
+    frame = view(spark, folder, "records")
     lists = {name: F.array_compact(F.array(*[F.col(part) for part in parts])) for name, parts in ARRAYS.items()}
     no_ids = F.create_map().cast("map<string,array<string>>")
     metadata = F.map_filter(
@@ -222,9 +214,9 @@ def raw(spark: SparkSession, folder: str) -> DataFrame:
             }
         ),
     ).otherwise(string_map({"feed_name": F.concat(F.lit("Feed "), F.col("source_id"))}))
-    return spread_view(spark, folder, "raw", "doc_id").withColumns(
+    return view(spark, folder, "raw").withColumns(
         {
-            "snippet": F.substring("summary", 1, 500),
+            "snippet": F.col("summary"),
             "raw_content": F.lit(None).cast("string"),
             "content_hash": F.sha2("text", 256),
             "raw_hash": F.sha2(F.concat_ws("|", "id", "text"), 256),

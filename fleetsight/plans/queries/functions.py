@@ -15,13 +15,13 @@ from fleetsight.functions import urls as U
 from fleetsight.plans import fixtures as X
 from fleetsight.plans.queries import Queries
 from fleetsight.plans.queries.sqltext import any_term, cte, normalized, portable, quoted, sensitive, squeeze
-from fleetsight.sources.tables import load, spread
+from fleetsight.sources.tables import load
 
 QUERIES = Queries()
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(load(spark, folder, "documents"), "doc_id")
+    return load(spark, folder, "documents")
 
 
 def _hint_sql(text: str, order) -> str:
@@ -72,8 +72,8 @@ def safe_text_hashes(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.add(
     "redacted_errors",
     f"""
-    SELECT doc_id, substring(regexp_replace(regexp_replace(text, {quoted(portable(R.ERROR_ASSIGNMENT))}, '[redacted]=[redacted]', 'g'),
-        {quoted(portable(R.ERROR_WORD))}, '[redacted]', 'g'), 1, 500) AS message FROM documents""",
+    SELECT doc_id, regexp_replace(regexp_replace(text, {quoted(portable(R.ERROR_ASSIGNMENT))}, '[redacted]=[redacted]', 'g'),
+        {quoted(portable(R.ERROR_WORD))}, '[redacted]', 'g') AS message FROM documents""",
 )
 def redacted_errors(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("doc_id", R.sanitize_error("text").alias("message"))
@@ -107,8 +107,8 @@ def identifiers(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.add(
     "clean_texts",
     f"""
-    SELECT doc_id, sha256({squeeze('text')}) AS cleaned, sha256(substring({squeeze('text')}, 1, 500)) AS title,
-           sha256(substring(text, 1, 500)) AS snippet FROM documents""",
+    SELECT doc_id, sha256({squeeze('text')}) AS cleaned, sha256({squeeze('text')}) AS title,
+           sha256(text) AS snippet FROM documents""",
 )
 def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select(
@@ -119,7 +119,7 @@ def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_TAG = f"substring(replace({normalized('tag')}, ' ', '_'), 1, 80)"
+_TAG = f"replace({normalized('tag')}, ' ', '_')"
 
 
 @QUERIES.add(

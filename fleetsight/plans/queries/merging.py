@@ -27,7 +27,7 @@ _KEV_JSON = (
 NORMALIZED_SQL = (
     cte("raw")
     + f"""
-    , mapped AS (SELECT *, substring(summary, 1, 500) AS snippet,
+    , mapped AS (SELECT *, summary AS snippet,
         CASE source_name WHEN 'nvd' THEN 'cve' WHEN 'cisa-kev' THEN 'kev' WHEN 'nhtsa-recalls' THEN 'recall'
              ELSE CASE source_type WHEN 'api' THEN 'fallback' WHEN 'rss' THEN 'rss' ELSE 'vendor' END END AS mapping,
         make_timestamp((1700000000 + doc_id * 60) * 1000000) AS fetched_at,

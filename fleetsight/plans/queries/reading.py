@@ -13,7 +13,7 @@ from fleetsight.plans import fixtures as X
 from fleetsight.plans.queries import Queries
 from fleetsight.plans.queries.sqltext import any_term, cte, quoted, squeeze
 from fleetsight.sources import batches, cve, envelope, feeds, kev, pages, recalls
-from fleetsight.sources.tables import load, spread
+from fleetsight.sources.tables import load
 
 QUERIES = Queries()
 FETCHED = "2024-06-01 00:00:00"
@@ -160,7 +160,7 @@ def read_feeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(load(spark, folder, "pages"), "page_id")
+    return load(spark, folder, "pages")
 
 
 def _entities(text: str) -> str:
@@ -317,7 +317,7 @@ def envelope_hashes(spark: SparkSession, folder: str) -> DataFrame:
 )
 def retention_policy(spark: SparkSession, folder: str) -> DataFrame:
     raw = X.raw(spark, folder).withColumn("raw_content", F.repeat("text", 20))
-    return envelope.apply_retention(raw).select("id", "retained_payload_mode", F.col("metadata")["retention_enforced"].alias("reason"))
+    return envelope.apply_retention(raw, max_bytes=256_000).select("id", "retained_payload_mode", F.col("metadata")["retention_enforced"].alias("reason"))
 
 
 @QUERIES.add("next_cursors", cte("jobs") + "SELECT source_id, max(id) AS next_cursor FROM jobs GROUP BY source_id")

@@ -37,6 +37,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="fleetsight-")
@@ -45,9 +50,12 @@ def _local_folder() -> str:
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the shared checkpoint folder the cluster names.
 
-    Only where that setting is missing (tests, a laptop) a local folder is used.
+    Where that setting is missing a local folder is used, but only by a local master: elsewhere executors
+    would write to their own disks and reads would miss rows.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(root or _local_folder()).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -10,7 +10,7 @@ from fleetsight import schema
 from fleetsight.functions.dates import parse_when
 from fleetsight.functions.nested import best_description, cwe_list, pick_cvss
 from fleetsight.functions.text import none_if_blank, snippet
-from fleetsight.sources.envelope import SourceInfo, bounded_payload, since, string_map, to_raw
+from fleetsight.sources.envelope import SourceInfo, since, string_map, to_raw
 
 SOURCE = SourceInfo("nvd", "api", "https://services.nvd.nist.gov/rest/json/cves/2.0")
 ERROR_NO_ID = "CVE entry without an id"
@@ -35,12 +35,12 @@ def cve_items(pages: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
     items = fields.select(
         F.concat(F.lit(K.CVE_DETAIL_URL), "cve_id").alias("source_url"),
         F.col("cve_id").alias("external_id"),
-        F.when(F.col("text").isNotNull(), F.concat("cve_id", F.lit(" - "), F.substring("text", 1, 120)))
+        F.when(F.col("text").isNotNull(), F.concat("cve_id", F.lit(" - "), "text"))
         .otherwise(F.col("cve_id"))
         .alias("title"),
         F.col("text").alias("summary"),
         snippet("text").alias("snippet"),
-        bounded_payload(F.col("entry")).alias("raw_content"),
+        F.col("entry").alias("raw_content"),
         F.coalesce(parse_when("cve.published"), parse_when("cve.lastModified")).alias("first_seen_at"),
         "fetched_at",
         string_map(

@@ -31,14 +31,13 @@ def string_map(fields: dict[str, Column]) -> Column:
     return F.create_map(*entries)
 
 
-def bounded_payload(payload: Column) -> Column:
-    return F.when(F.octet_length(payload) <= K.MAX_PAYLOAD_BYTES, payload)
+def apply_retention(raw: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Drop payloads of document types, and those over ``max_bytes`` if there is a limit; say so in the metadata.
 
-
-def apply_retention(raw: DataFrame) -> DataFrame:
-    """Drop payloads of document types and payloads over the size limit, and say so in the metadata."""
+    Normalising reads the payload, so a limit belongs after it.
+    """
     by_type = F.col("source_type").isin(*K.PAYLOAD_DROPPING_TYPES)
-    too_large = F.coalesce(F.octet_length("raw_content") > K.MAX_PAYLOAD_BYTES, F.lit(False))
+    too_large = F.lit(False) if max_bytes is None else F.coalesce(F.octet_length("raw_content") > max_bytes, F.lit(False))
     reason = F.when(by_type, F.lit("metadata_only")).when(too_large, F.lit("raw_content_too_large"))
     metadata = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
     others = F.map_filter(metadata, lambda key, _value: key != "retention_enforced")

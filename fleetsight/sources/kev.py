@@ -10,7 +10,7 @@ from fleetsight import schema
 from fleetsight.functions.dates import parse_when
 from fleetsight.functions.text import none_if_blank, snippet
 from fleetsight.sources.cve import read_landed
-from fleetsight.sources.envelope import SourceInfo, bounded_payload, string_map, to_raw
+from fleetsight.sources.envelope import SourceInfo, string_map, to_raw
 
 SOURCE = SourceInfo("cisa-kev", "api", "https://www.cisa.gov/known-exploited-vulnerabilities-catalog")
 ERROR_NO_ID = "catalogue entry without a CVE id"
@@ -61,7 +61,7 @@ def kev_entries(entries: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
         F.concat("cve_id", F.lit(" - "), "name").alias("title"),
         F.col("text").alias("summary"),
         snippet("text").alias("snippet"),
-        bounded_payload(F.col("entry")).alias("raw_content"),
+        F.col("entry").alias("raw_content"),
         parse_when("date_added").alias("first_seen_at"),
         "fetched_at",
         string_map(

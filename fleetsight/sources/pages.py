@@ -81,9 +81,9 @@ def page_links(pages: DataFrame, *keys: str, html: str = "html", url: str = "url
 
 
 def advisory_links(
-    pages: DataFrame, *keys: str, html: str = "html", url: str = "url", limit: int = K.LINKS_PER_PAGE
+    pages: DataFrame, *keys: str, html: str = "html", url: str = "url", limit: int | None = None
 ) -> DataFrame:
-    """First ``limit`` links of each page that look like advisories, with a PDF flag."""
+    """Links of each page that look like advisories, with a PDF flag; the first ``limit`` if there is a limit."""
     named = F.transform(
         "links",
         lambda link: F.struct(
@@ -95,7 +95,7 @@ def advisory_links(
         lambda link: looks_like_advisory(link["link_url"], link["link_text"], K.PDF_LABEL_TERMS, K.ADVISORY_TERMS),
     )
     links = _links(pages, keys, html, url).select(
-        *keys, "page_url", F.posexplode(F.slice(kept, 1, limit)).alias("position", "link")
+        *keys, "page_url", F.posexplode(kept if limit is None else F.slice(kept, 1, limit)).alias("position", "link")
     )
     return links.select(*keys, "page_url", "position", "link.link_url", "link.link_text").withColumn(
         "is_pdf", F.lower(F.substring_index("link_url", "?", 1)).endswith(".pdf")

@@ -25,16 +25,6 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return with_utc_times(prepare(spark).read.parquet(f"{folder}/{name}.parquet"))
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Give expensive row-wise work one task per core when the input has fewer splits.
-
-    A table of many files is returned as it is, so at scale nothing is shuffled. Hashing by
-    key, unlike dealing rows out in turn, gives the same split when a task is repeated.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores, key)
-
-
 def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the engine's own tables, read with its declared schema."""
     return prepare(spark).read.schema(schema.TABLES[name]).parquet(f"{folder}/{name}")
