@@ -259,11 +259,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without an id have no component of their own to stand for and stay. Columns are as they came.
     """
     found = near_duplicates(docs).filter("doc_id IS NOT NULL")
-    found = checkpointed(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")))
-    # What goes is the smaller side: mostly the ids of copies, and those that come more than once.
-    dropped = found.filter("doc_id <> c OR n > 1").select(F.col("doc_id").alias("dropped_id"))
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    # Only ids that go or repeat are written: the smaller side, so that Spark plans the join by the size it has.
+    found = checkpointed(found.filter("doc_id <> c OR n > 1"))
+    dropped = found.select(F.col("doc_id").alias("dropped_id"))
     kept = docs.join(dropped, docs.doc_id == dropped.dropped_id, "left_anti")
-    repeated = found.filter("doc_id = c AND n > 1").select(F.col("doc_id").alias("kept_id"))
+    repeated = found.filter("doc_id = c").select(F.col("doc_id").alias("kept_id"))
     if not repeated.isEmpty():
         rows = docs.join(repeated, docs.doc_id == repeated.kept_id, "left_semi")
         row = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
