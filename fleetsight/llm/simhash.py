@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetsight.llm.url_filter import may_be_listed
 from fleetsight.session import checkpointed
 
 SHINGLE = 3
@@ -30,6 +31,8 @@ SEED = 42
 FANOUT = 16
 GROUP_LIMIT = 50_000
 DEPTH = 3
+# Blocks of the filter of ids that go: at most 23 MB to broadcast, useful up to some ten million such ids.
+FILTER_BLOCKS = 1 << 18
 # Rows of several groups that a task searches together, and searches that run side by side.
 ROWS_AT_ONCE = 200_000
 SEARCHES_AT_ONCE = 1 << 15
@@ -260,10 +263,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs).filter("doc_id IS NOT NULL")
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    # Only ids that go or repeat are written: the smaller side, so that Spark plans the join by the size it has.
+    # Only ids that go or repeat are written, the smaller side. A document that the Bloom filter of these ids
+    # lets through stays without a shuffle of its text; the others are joined exactly.
     found = checkpointed(found.filter("doc_id <> c OR n > 1"))
     dropped = found.select(F.col("doc_id").alias("dropped_id"))
-    kept = docs.join(dropped, docs.doc_id == dropped.dropped_id, "left_anti")
+    wrapped = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    probed = may_be_listed(wrapped, "key", dropped, "dropped_id", FILTER_BLOCKS)
+    unsure = probed.filter("possible").join(dropped, F.col("key") == F.col("dropped_id"), "left_anti")
+    kept = probed.filter("NOT possible").select("row.*").unionByName(unsure.select("row.*"))
     repeated = found.filter("doc_id = c").select(F.col("doc_id").alias("kept_id"))
     if not repeated.isEmpty():
         rows = docs.join(repeated, docs.doc_id == repeated.kept_id, "left_semi")

@@ -67,18 +67,20 @@ def _masks(key: Column) -> list[Column]:
     return [F.call_function("shiftleft", F.lit(1).cast("long"), bit) for bit in place]
 
 
-def blocked_filter(listed: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """(``block, w0 .. w7``: at most ``MAX_BLOCKS`` rows; number of blocks) for the distinct keys listed."""
-    blocks = max(1, min(MAX_BLOCKS, listed.count() // URLS_PER_BLOCK))
+def blocked_filter(listed: DataFrame, key: str, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
+    """(``block, w0 .. w7``: at most ``max_blocks`` rows; number of blocks) for the distinct keys listed."""
+    blocks = max(1, min(max_blocks, listed.count() // URLS_PER_BLOCK))
     masks = [mask.alias(f"m{word}") for word, mask in enumerate(_masks(F.col(key)))]
     bits = listed.select(_block(F.col(key), blocks).alias("block"), *masks)
     return bits.groupBy("block").agg(*[F.bit_or(f"m{word}").alias(f"w{word}") for word in range(WORDS)]), blocks
 
 
-def may_be_listed(rows: DataFrame, key: str, listed: DataFrame, listed_key: str) -> DataFrame:
+def may_be_listed(
+    rows: DataFrame, key: str, listed: DataFrame, listed_key: str, max_blocks: int = MAX_BLOCKS
+) -> DataFrame:
     """``rows`` with the column ``possible``: false only if the key is certainly not listed."""
-    table, blocks = blocked_filter(listed, listed_key)
-    # The table is bounded by MAX_BLOCKS rows of nine numbers.
+    table, blocks = blocked_filter(listed, listed_key, max_blocks)
+    # The table is bounded by max_blocks rows of nine numbers.
     probed = rows.withColumn("block", _block(F.col(key), blocks)).join(F.broadcast(table), "block", "left")
     set_bits = F.lit(True)
     for word, mask in enumerate(_masks(F.col(key))):
