@@ -93,21 +93,24 @@ def is_vehicle_critical() -> Column:
     return F.col("risk_level").isin(*K.HIGH_RISK_LEVELS) & component_key().isin(*K.ALERT_CRITICAL_PARTS)
 
 
-def critical_rule(candidates: DataFrame, _context: Context) -> DataFrame:
-    return candidates.filter(is_critical()).select(
-        *_alert(F.lit("critical-intelligence"), "critical", F.lit("critical"))
-    )
+def critical_alert() -> Column:
+    return F.when(is_critical(), F.struct(*_alert(F.lit("critical-intelligence"), "critical", F.lit("critical"))))
 
 
-def known_exploited_rule(candidates: DataFrame, _context: Context) -> DataFrame:
-    return candidates.filter(is_known_exploited()).select(
-        *_alert(F.lit("known-exploited"), "exploited", at_least_risk("risk_level", "high"))
-    )
+def known_exploited_alert() -> Column:
+    level = at_least_risk("risk_level", "high")
+    return F.when(is_known_exploited(), F.struct(*_alert(F.lit("known-exploited"), "exploited", level)))
 
 
-def vehicle_critical_rule(candidates: DataFrame, _context: Context) -> DataFrame:
+def vehicle_critical_alert() -> Column:
     rule = F.concat(F.lit("vehicle-critical-"), component_key())
-    return candidates.filter(is_vehicle_critical()).select(*_alert(rule, "vehicle", at_least_risk("risk_level", "high")))
+    return F.when(is_vehicle_critical(), F.struct(*_alert(rule, "vehicle", at_least_risk("risk_level", "high"))))
+
+
+def record_rules(candidates: DataFrame, _context: Context) -> DataFrame:
+    """The rules that look at one record only, in one pass over the candidates."""
+    found = F.array(critical_alert(), known_exploited_alert(), vehicle_critical_alert())
+    return candidates.select(F.inline(F.array_compact(found)))
 
 
 def cve_source_counts(records: DataFrame, links: DataFrame) -> DataFrame:
@@ -172,10 +175,15 @@ def _scopes(records: DataFrame, *columns: str) -> DataFrame:
 
 def burst_counts(candidates: DataFrame, records: DataFrame, days: int = K.BURST_DAYS) -> DataFrame:
     """High-risk records per (scope, value) in the trailing days of every candidate time."""
-    high = records.filter(F.col("risk_level").isin(*K.HIGH_RISK_LEVELS))
-    return trailing_count(
-        _scopes(candidates), _scopes(high), ["scope", "value"], "first_seen_at", days * DAY_MICROS, "match_count"
-    )
+    high = F.coalesce(F.col("risk_level").isin(*K.HIGH_RISK_LEVELS), F.lit(False))
+    flags = ("is_event", "is_probe")
+    if candidates is records:
+        rows = _scopes(records.withColumns({"is_event": high, "is_probe": F.lit(True)}), *flags)
+    else:
+        asked = _scopes(candidates.withColumns({"is_event": F.lit(False), "is_probe": F.lit(True)}), *flags)
+        counted = records.filter(high).withColumns({"is_event": F.lit(True), "is_probe": F.lit(False)})
+        rows = asked.unionByName(_scopes(counted, *flags))
+    return trailing_count(rows, ["scope", "value"], "first_seen_at", days * DAY_MICROS, "match_count", *flags)
 
 
 def bursts(candidates: DataFrame, records: DataFrame, days: int = K.BURST_DAYS, minimum: int = K.BURST_MIN_ITEMS) -> DataFrame:
@@ -216,31 +224,21 @@ def burst_rule(candidates: DataFrame, context: Context) -> DataFrame:
 
 
 def burst_members(alerts: DataFrame, records: DataFrame) -> DataFrame:
-    """Matched record ids, as rows, of the burst alerts passed in.
+    """High-risk records, as rows, of every (scope, value) that the burst alerts passed in name.
 
-    Meant for the alerts someone looks at: the result is one row per alert and member. Scope,
-    value and UTC day form the join key, so a busy vendor is spread by day and only days
-    inside a window are compared.
+    One row per record and scope, whatever the number of alerts: an alert's own members are those
+    with a time in its ``window_start`` to ``window_end``.
     """
-    window = alerts.filter(F.col("triggering_rule").startswith("burst-")).select(
-        "threat_intelligence_id",
-        F.col("metadata")["scope"].alias("scope"),
-        F.col("metadata")["value"].alias("value"),
-        F.col("metadata")["window_start"].cast("timestamp").alias("window_start"),
-        F.col("metadata")["window_end"].cast("timestamp").alias("window_end"),
+    named = alerts.filter(F.col("triggering_rule").startswith("burst-")).select(
+        F.col("metadata")["scope"].alias("scope"), F.col("metadata")["value"].alias("value")
     )
-    days = window.withColumn("day", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))))
     high = _scopes(records.filter(F.col("risk_level").isin(*K.HIGH_RISK_LEVELS)), "id")
-    return (
-        days.join(high.withColumn("day", F.to_date("first_seen_at")), ["scope", "value", "day"])
-        .filter(F.col("first_seen_at").between(F.col("window_start"), F.col("window_end")))
-        .select("threat_intelligence_id", "scope", "value", F.col("id").alias("matched_intelligence_id"))
+    return high.join(named.distinct(), ["scope", "value"], "left_semi").select(
+        "scope", "value", F.col("id").alias("matched_intelligence_id"), "first_seen_at"
     )
 
 
-RULES: tuple[Rule, ...] = (
-    critical_rule, known_exploited_rule, vehicle_critical_rule, multi_source_rule, burst_rule,
-)
+RULES: tuple[Rule, ...] = (record_rules, multi_source_rule, burst_rule)
 
 
 def newest(records: DataFrame, limit: int) -> DataFrame:

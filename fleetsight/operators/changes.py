@@ -87,7 +87,7 @@ def apply_alert_status(alerts: DataFrame, changes: DataFrame, now: Column) -> tu
         action=F.when(F.col("next_status") == "closed", F.lit("alert_closure")).otherwise(F.lit("status_change")),
         entity_type="alert",
         entity_id=F.col("id"),
-        summary=F.lit("Alert status updated"),
+        summary=F.lit("alert status set"),
         before=snapshot("status", "notes"),
         after=snapshot("next_status", "next_notes"),
         metadata=string_map(
@@ -114,7 +114,7 @@ def apply_source_status(sources: DataFrame, changes: DataFrame, now: Column) ->
         action=F.lit("status_change"),
         entity_type="source",
         entity_id=F.col("id"),
-        summary=F.lit("Source status updated"),
+        summary=F.lit("source status set"),
         before=snapshot("status"),
         after=snapshot("next_status"),
         metadata=string_map({"reason": safe_text("new_reason"), "source_name": F.col("name")}),
@@ -279,7 +279,7 @@ def apply_manual_patch(
         action=F.when(status_changed, F.lit("status_change")).otherwise(F.lit("manual_entry")),
         entity_type="threat_intelligence",
         entity_id=F.col("id"),
-        summary=F.when(status_changed, F.lit("Manual entry status updated")).otherwise(F.lit("Manual entry updated")),
+        summary=F.when(status_changed, F.lit("manual record: status set")).otherwise(F.lit("manual record: fields set")),
         before=F.col("before"),
         after=F.col("after"),
         metadata=string_map({"dedup_key": F.col("dedup_key")}),

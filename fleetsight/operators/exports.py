@@ -12,8 +12,6 @@ from fleetsight.functions.text import none_if_blank
 from fleetsight.functions.urls import safe_url
 from fleetsight.operators.search import ALERT_ORDERS, RECORD_ORDERS, SearchParams, alert_details, detail_alerts, detail_sources, page, search
 
-MAX_EXPORT = 500
-
 
 def _joined(values: Column) -> Column:
     return F.array_join(values, " | ")
@@ -67,18 +65,18 @@ def intelligence_export(
     records: DataFrame, links: DataFrame, params: SearchParams = SearchParams(), limit: int = K.EXPORT_LIMIT
 ) -> DataFrame:
     """The first ``limit`` rows of a search, in its order, with the report headers."""
-    rows = page(search(records, links, params), RECORD_ORDERS[params.sort](), 1, limit, MAX_EXPORT)
+    rows = page(search(records, links, params), RECORD_ORDERS[params.sort](), 1, limit, limit)
     return with_headers(intelligence_rows(rows), K.INTELLIGENCE_CSV_HEADERS)
 
 
 def alert_export(alerts: DataFrame, records: DataFrame, sort: str = "recent", limit: int = K.EXPORT_LIMIT) -> DataFrame:
-    chosen = page(alerts, ALERT_ORDERS[sort](), 1, limit, MAX_EXPORT)
+    chosen = page(alerts, ALERT_ORDERS[sort](), 1, limit, limit)
     return with_headers(alert_rows(chosen, records), K.ALERT_CSV_HEADERS)
 
 
 def write_csv(report: DataFrame, path: str) -> None:
-    """Reports have at most 500 rows, so one file is fine."""
-    report.coalesce(1).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    """A folder of CSV parts with headers; an export of ``limit`` rows comes sorted from one task and is one part."""
+    report.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 HEADER_SECTION, SOURCE_SECTION, ALERT_HEADING, ALERT_SECTION = 0, 1, 2, 3
@@ -164,13 +162,11 @@ def write_reports(lines: DataFrame, path: str) -> None:
 
 
 def executive_summary(records: DataFrame, alerts: DataFrame, limit: int = K.SUMMARY_LIMIT) -> dict[str, DataFrame]:
-    """Counts over the top rows, and the eight that head each list."""
-    top_records = page(records, RECORD_ORDERS["risk_score"](), 1, limit)
-    top_alerts = page(alerts, ALERT_ORDERS["risk_level"](), 1, limit)
-    totals = top_records.agg(
+    """Counts over the whole tables, and the rows that head each list."""
+    totals = records.agg(
         F.count(F.lit(1)).alias("included"), F.count_if(F.col("risk_level").isin(*K.HIGH_RISK_LEVELS)).alias("high_risk")
     )
-    alert_totals = top_alerts.agg(
+    alert_totals = alerts.agg(
         F.count(F.lit(1)).alias("included"), F.count_if(F.col("status") == "open").alias("open_alerts")
     )
     counts = totals.select(

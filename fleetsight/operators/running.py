@@ -22,23 +22,27 @@ def _floor_div(value: Column, size: int) -> Column:
 
 
 def trailing_count(
-    probes: DataFrame, events: DataFrame, keys: list[str], time: str, span_micros: int, name: str
+    rows: DataFrame, keys: list[str], time: str, span_micros: int, name: str, is_event: str, is_probe: str
 ) -> DataFrame:
-    """Distinct (keys, time) of ``probes`` with the number of ``events`` in ``[time - span, time]``.
+    """Distinct (keys, time) of probe rows with the number of event rows in ``[time - span, time]``.
 
-    Both ends count. Keys and time must not be null.
+    ``is_event`` and ``is_probe`` name boolean columns; a row may be both. Both ends count. Keys, time
+    and flags must not be null.
     """
     moment = F.unix_micros(F.col(time))
     # Steps are half micro-seconds: an event counts from its own step on and stops counting
     # one half step after the last probe time that may still see it.
-    entering = events.select(*keys, (moment * 2).alias("step"), F.lit(1).alias("delta"))
-    leaving = events.select(*keys, ((moment + span_micros) * 2 + 1).alias("step"), F.lit(-1).alias("delta"))
-    asked = probes.select(*keys, (moment * 2).alias("step"), F.lit(0).alias("delta"))
+    here = F.struct(
+        (moment * 2).alias("step"), F.col(is_event).cast("int").alias("delta"), F.col(is_probe).cast("int").alias("probe")
+    )
+    leaving = F.struct(
+        ((moment + span_micros) * 2 + 1).alias("step"), F.lit(-1).alias("delta"), F.lit(0).alias("probe")
+    )
+    placed = F.when(F.col(is_event), F.array(here, leaving)).otherwise(F.array(here))
     steps = (
-        entering.unionByName(leaving)
-        .unionByName(asked)
+        rows.select(*keys, F.inline(placed))
         .groupBy(*keys, "step")
-        .agg(F.sum("delta").alias("delta"), F.max((F.col("delta") == 0).cast("int")).alias("is_probe"))
+        .agg(F.sum("delta").alias("delta"), F.max("probe").alias("is_probe"))
     )
     second = _floor_div(F.col("step"), 2 * SECOND)
     hour = _floor_div(F.col("second"), HOUR)

@@ -93,7 +93,7 @@ def alerts_for_chosen_ids(spark: SparkSession, folder: str) -> DataFrame:
 )
 def alert_payloads(spark: SparkSession, folder: str) -> DataFrame:
     records = X.records(spark, folder)
-    found = A.vehicle_critical_rule(records, A.Context(records, X.links(spark, folder)))
+    found = records.select(F.inline(F.array_compact(F.array(A.vehicle_critical_alert()))))
     shown = ("reason", "cve_id", "risk_level", "severity", "vehicle_component", "attack_surface")
     return found.select(
         "threat_intelligence_id",
@@ -130,18 +130,28 @@ def burst_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return A.bursts(records, records).select("id", "scope", "value", "match_count")
 
 
-@QUERIES.add(
-    "burst_members_of_open_reviews",
-    _FACTS
-    + f"""
-    SELECT b.id AS threat_intelligence_id, b.scope AS scope, k.id AS matched_intelligence_id FROM bursts b JOIN keyed k
-        ON CASE b.scope WHEN 'vendor' THEN k.vendor_key = b.vendor_key ELSE k.part_key = b.part_key END
-        AND k.{_HIGH} AND k.first_seen_at BETWEEN b.first_seen_at - INTERVAL 7 DAY AND b.first_seen_at
-    WHERE b.scope IS NOT NULL AND b.status = 'under_review' AND b.severity = 'critical'""",
-)
+def _members_sql(condition: str) -> str:
+    named = "SELECT CASE scope WHEN 'vendor' THEN vendor_key ELSE part_key END FROM bursts WHERE scope = "
+    return _FACTS + " UNION ALL ".join(
+        f"SELECT '{scope}' AS scope, {key} AS value, id AS matched_intelligence_id, epoch_us(first_seen_at) AS at FROM keyed "
+        f"WHERE {_HIGH} AND {key} IN ({named}'{scope}'{condition})"
+        for scope, key in (("vendor", "vendor_key"), ("component", "part_key"))
+    )
+
+
+def _members(spark: SparkSession, folder: str, chosen: DataFrame, records: DataFrame) -> DataFrame:
+    found = A.burst_rule(chosen, A.Context(records, X.links(spark, folder)))
+    return A.burst_members(found, records).withColumn("at", F.unix_micros("first_seen_at")).drop("first_seen_at")
+
+
+@QUERIES.add("burst_members", _members_sql(""))
+def burst_members(spark: SparkSession, folder: str) -> DataFrame:
+    records = X.records(spark, folder)
+    return _members(spark, folder, records, records)
+
+
+@QUERIES.add("burst_members_of_open_reviews", _members_sql(" AND status = 'under_review'"))
 def burst_members_of_open_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """Members of the bursts on critical records that are under review."""
+    """Members of the bursts on records that are under review."""
     records = X.records(spark, folder)
-    chosen = records.filter((F.col("status") == "under_review") & (F.col("severity") == "critical"))
-    found = A.burst_rule(chosen, A.Context(records, X.links(spark, folder)))
-    return A.burst_members(found, records).select("threat_intelligence_id", "scope", "matched_intelligence_id")
+    return _members(spark, folder, records.filter(F.col("status") == "under_review"), records)

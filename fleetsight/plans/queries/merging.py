@@ -45,7 +45,7 @@ NORMALIZED_SQL = (
         ' ' || {normalized("CASE mapping WHEN 'cve' THEN cve_text WHEN 'kev' THEN kev_text WHEN 'vendor' THEN vendor_text WHEN 'recall' THEN concat_ws(' ', '', title, coalesce(nullif(" + squeeze('summary') + ", ''), '')) ELSE feed_text END")} || ' ' AS hint_text,
         {normalized("CASE mapping WHEN 'vendor' THEN vendor_text WHEN 'rss' THEN feed_text ELSE '' END")} AS exploit_text FROM texts),
     hashed AS (SELECT *, sha256({normalized("concat_ws(' ', clean_title, clean_summary, cve_id, cwe_id)")}) AS normalized_text_hash,
-        CASE WHEN mapping = 'cve' AND cve_id IS NULL THEN 'NVD raw record missing CVE ID' WHEN mapping = 'kev' AND cve_id IS NULL THEN 'CISA KEV raw record missing CVE ID' END AS problem
+        CASE WHEN mapping = 'cve' AND cve_id IS NULL THEN 'no CVE id found in feed row' WHEN mapping = 'kev' AND cve_id IS NULL THEN 'no CVE id found in catalogue row' END AS problem
         FROM found),
     normal AS (SELECT *, CASE WHEN problem IS NOT NULL THEN NULL WHEN mapping = 'recall' THEN 'recall:campaign:' || external_id WHEN cve_id IS NOT NULL THEN 'cve:' || cve_id
              ELSE 'url:' || substring(sha256('{{"url":"' || url || '"}}'), 1, 48) END AS dedup_key,

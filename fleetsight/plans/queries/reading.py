@@ -124,6 +124,30 @@ def read_kev(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _broken_pages(rows: DataFrame, payload: Column, broken: str) -> DataFrame:
+    """Landed pages, each with its own address; every seventh ends in the middle."""
+    cut = F.when(F.col("id") % 7 == 0, F.concat(F.lit(broken), "title")).otherwise(payload)
+    return rows.select(
+        cut.alias("payload"),
+        F.concat(F.lit("https://landing.test/"), "id").alias("url"),
+        F.lit(FETCHED).cast("timestamp").alias("fetched_at"),
+    )
+
+
+def _broken_sql(external_id: str, address: str) -> str:
+    return cte("records") + f"""
+    SELECT CASE WHEN id % 7 <> 0 THEN {external_id} ELSE {{}} END AS external_id,
+        CASE WHEN id % 7 <> 0 THEN {address} ELSE 'https://landing.test/' || id END AS source_url,
+        CASE WHEN id % 7 = 0 THEN 'page does not parse' END AS error_message FROM records"""
+
+
+@QUERIES.add("cve_pages_that_do_not_parse", _broken_sql("'CVE-2024-' || (10000 + id)", "'https://nvd.nist.gov/vuln/detail/CVE-2024-' || (10000 + id)").format("NULL"))
+def cve_pages_that_do_not_parse(spark: SparkSession, folder: str) -> DataFrame:
+    rows = X.view(spark, folder, "records").withColumn("cvss_score", F.col("id") % 9)
+    pages_ = cve.parse_pages(_broken_pages(rows, template(_CVE_PAGE), '{"vulnerabilities":[{"cve":"'), schema.CVE_PAGE)
+    return cve.cve_items(pages_).select("external_id", "source_url", "error_message")
+
+
 @QUERIES.add("kev_cursor", "SELECT '2024-03-' || max(10 + o_orderkey % 19) AS latest_date_added FROM orders")
 def kev_cursor(spark: SparkSession, folder: str) -> DataFrame:
     return kev.latest_date_added(_kev_raw(spark, folder))
@@ -159,6 +183,13 @@ def read_feeds(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@QUERIES.add("feeds_that_do_not_parse", _broken_sql("'urn:' || id", "'https://f.test/' || id || '?a=1&copy=2'").format("'https://landing.test/' || id"))
+def feeds_that_do_not_parse(spark: SparkSession, folder: str) -> DataFrame:
+    rows = X.view(spark, folder, "records")
+    named = _broken_pages(rows, template(_ATOM), "<feed><entry><title>").withColumns({"feed_name": F.lit("Feed"), "feed_url": F.lit("https://f.test/feed")})
+    return feeds.feed_items(named).select("external_id", "source_url", "error_message")
+
+
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "pages")
 

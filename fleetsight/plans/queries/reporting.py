@@ -88,15 +88,14 @@ def report_alert_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TOP = "SELECT * FROM records ORDER BY risk_score DESC NULLS LAST, last_seen_at DESC, id LIMIT 20"
-_TOP_ALERTS = f"SELECT * FROM alerts a ORDER BY {_RISK} LIMIT 20"
 
 
 @QUERIES.add(
     "executive_summary",
     cte("records", "alerts")
     + f"""
-    SELECT 'intelligence' AS metric, count(*) AS value FROM ({_TOP}) UNION ALL SELECT 'high_risk_intelligence', count(*) FILTER (risk_level IN ('high', 'critical')) FROM ({_TOP})
-    UNION ALL SELECT 'alerts', count(*) FROM ({_TOP_ALERTS}) UNION ALL SELECT 'open_alerts', count(*) FILTER (status = 'open') FROM ({_TOP_ALERTS})""",
+    SELECT 'intelligence' AS metric, count(*) AS value FROM records UNION ALL SELECT 'high_risk_intelligence', count(*) FILTER (risk_level IN ('high', 'critical')) FROM records
+    UNION ALL SELECT 'alerts', count(*) FROM alerts UNION ALL SELECT 'open_alerts', count(*) FILTER (status = 'open') FROM alerts""",
 )
 def executive_summary(spark: SparkSession, folder: str) -> DataFrame:
     return E.executive_summary(X.records(spark, folder), X.alerts(spark, folder))["counts"]

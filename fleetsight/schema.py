@@ -64,7 +64,8 @@ TABLES = {
 }
 
 # --- feed payloads ------------------------------------------------------------
-CVE_PAGE = "vulnerabilities array<string>"
+# A page that does not parse is kept in the last field.
+CVE_PAGE = "vulnerabilities array<string>, _corrupt_record string"
 _CVSS = "array<struct<cvssData: struct<version: string, baseScore: double, baseSeverity: string, vectorString: string>, baseSeverity: string>>"
 CVE_ENTRY = f"""
     cve struct<
@@ -76,7 +77,7 @@ CVE_ENTRY = f"""
         configurations: array<struct<nodes: array<struct<cpeMatch: array<struct<criteria: string>>>>>>
     >
 """
-KEV_PAGE = "vulnerabilities array<string>"
+KEV_PAGE = "vulnerabilities array<string>, _corrupt_record string"
 RECALL_PAGE = "Count int, Results array<string>"
 _LINK = "array<struct<_href: string, _rel: string>>"
 FEED = f"""
@@ -84,7 +85,8 @@ FEED = f"""
         title: string, link: string, guid: string, description: string, pubDate: string, updated: string>>>,
     entry array<struct<
         title: string, link: {_LINK}, id: string, summary: string, content: string, published: string,
-        updated: string>>
+        updated: string>>,
+    _corrupt_record string
 """
 
 EXTERNAL_BATCH = """

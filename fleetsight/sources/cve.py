@@ -10,7 +10,7 @@ from fleetsight import schema
 from fleetsight.functions.dates import parse_when
 from fleetsight.functions.nested import best_description, cwe_list, pick_cvss
 from fleetsight.functions.text import none_if_blank, snippet
-from fleetsight.sources.envelope import SourceInfo, since, string_map, to_raw
+from fleetsight.sources.envelope import PAGE_ERROR, SourceInfo, page_entries, since, string_map, to_raw
 
 SOURCE = SourceInfo("nvd", "api", "https://services.nvd.nist.gov/rest/json/cves/2.0")
 ERROR_NO_ID = "CVE entry without an id"
@@ -26,14 +26,17 @@ def reference_urls(references: Column) -> Column:
 
 
 def cve_items(pages: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
-    """Raw rows of feed pages. ``pages`` has vulnerabilities (array of JSON text), url and fetched_at."""
-    entries = pages.select("url", "fetched_at", F.explode("vulnerabilities").alias("entry"))
+    """Raw rows of feed pages in the form of :data:`schema.CVE_PAGE`, with url and fetched_at.
+
+    A page that does not parse gives one row with an error.
+    """
+    entries = page_entries(pages, "vulnerabilities")
     parsed = entries.withColumn("cve", F.from_json("entry", schema.CVE_ENTRY)["cve"])
     cve_id = none_if_blank(F.trim(F.col("cve.id")))
     summary = best_description("cve.descriptions")
     fields = parsed.withColumns({"cve_id": cve_id, "text": summary, "cvss": pick_cvss("cve.metrics")})
     items = fields.select(
-        F.concat(F.lit(K.CVE_DETAIL_URL), "cve_id").alias("source_url"),
+        F.when(F.col("unread"), F.col("url")).otherwise(F.concat(F.lit(K.CVE_DETAIL_URL), "cve_id")).alias("source_url"),
         F.col("cve_id").alias("external_id"),
         F.when(F.col("text").isNotNull(), F.concat("cve_id", F.lit(" - "), "text"))
         .otherwise(F.col("cve_id"))
@@ -54,7 +57,7 @@ def cve_items(pages: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
                 "response_url": F.col("url"),
             }
         ).alias("metadata"),
-        F.when(F.col("cve_id").isNull(), F.lit(ERROR_NO_ID)).alias("error_message"),
+        F.when(F.col("unread"), PAGE_ERROR).when(F.col("cve_id").isNull(), ERROR_NO_ID).alias("error_message"),
     )
     return to_raw(items, source)
 

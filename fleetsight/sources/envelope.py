@@ -106,6 +106,20 @@ def to_raw(items: DataFrame, source: SourceInfo, retained: str | None = None) ->
     )
 
 
+PAGE_ERROR = "page does not parse"
+
+
+def page_entries(pages: DataFrame, entries: str, parsed: str = "") -> DataFrame:
+    """``pages`` with one row per element of ``entries`` as ``entry``, and ``unread``.
+
+    A page that does not parse gives one row with a null entry that is ``unread``; a page without entries none.
+    """
+    unread = F.col(entries).isNull() & F.col(f"{parsed}_corrupt_record").isNotNull()
+    nothing = F.array(F.get(F.col(entries), F.lit(0)))
+    marked = pages.withColumn("unread", unread)
+    return marked.withColumn("entry", F.explode(F.when(F.col("unread"), nothing).otherwise(F.col(entries))))
+
+
 def split_errors(frame: DataFrame, column: str = "error_message") -> tuple[DataFrame, DataFrame]:
     """(valid, rejected). Both are filters over one plan; nothing is dropped."""
     return frame.filter(F.col(column).isNull()), frame.filter(F.col(column).isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetsight import schema
 from fleetsight.functions.dates import parse_when
 from fleetsight.functions.text import first_text, none_if_blank, snippet, strip_markup
-from fleetsight.sources.envelope import SourceInfo, string_map, to_raw
+from fleetsight.sources.envelope import PAGE_ERROR, SourceInfo, page_entries, string_map, to_raw
 
 SOURCE = SourceInfo("rss", "rss")
 XML_OPTIONS = {"ignoreNamespace": "true", "attributePrefix": "_"}
@@ -41,7 +41,10 @@ def _atom_entry(entry: Column) -> Column:
 
 
 def feed_items(feeds: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
-    """Raw rows of landed feeds. ``feeds`` has payload (XML text), feed_name, feed_url, url and fetched_at."""
+    """Raw rows of landed feeds. ``feeds`` has payload (XML text), feed_name, feed_url, url and fetched_at.
+
+    A feed that does not parse gives one row with an error.
+    """
     parsed = feeds.withColumn("feed", F.from_xml("payload", schema.FEED, XML_OPTIONS))
     nothing = F.array().cast(
         "array<struct<title:string,link:string,guid:string,summary:string,published:string,updated:string,atom:boolean>>"
@@ -50,14 +53,17 @@ def feed_items(feeds: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
         F.coalesce(F.transform("feed.channel.item", _rss_item), nothing),
         F.coalesce(F.transform("feed.entry", _atom_entry), nothing),
     )
-    return item_rows(parsed.select("feed_name", "feed_url", "url", "fetched_at", F.explode(items).alias("item")), source)
+    broken = F.col("feed._corrupt_record").isNotNull() & F.col("feed.channel").isNull() & F.col("feed.entry").isNull()
+    shaped = parsed.withColumns({"items": F.when(~broken, items), "_corrupt_record": F.col("feed._corrupt_record")})
+    return item_rows(page_entries(shaped, "items").withColumnRenamed("entry", "item"), source)
 
 
 def item_rows(items: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
-    """Raw rows of single items. ``items`` has item, feed_name, feed_url, url and fetched_at."""
+    """Raw rows of single items. ``items`` has item, unread, feed_name, feed_url, url and fetched_at."""
     # Element text is cleaned; an Atom link is an attribute and stays as it is.
     attribute = F.when(F.col("item.atom"), F.col("item.link"))
     clean = items.select(
+        "unread",
         "feed_name",
         "feed_url",
         "url",
@@ -86,6 +92,7 @@ def item_rows(items: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
                 "response_url": F.col("url"),
             }
         ).alias("metadata"),
+        F.when(F.col("unread"), PAGE_ERROR).alias("error_message"),
     )
     return to_raw(rows, source)
 
@@ -104,6 +111,7 @@ def _read(spark: SparkSession, path: str, row_tag: str, row_schema: str, shape,
     item = shape(F.struct(*rows.columns))
     return rows.select(
         item.alias("item"),
+        F.lit(False).alias("unread"),
         F.lit(name).cast("string").alias("feed_name"),
         F.lit(url).cast("string").alias("feed_url"),
         F.col("_metadata.file_path").alias("url"),

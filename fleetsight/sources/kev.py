@@ -10,7 +10,7 @@ from fleetsight import schema
 from fleetsight.functions.dates import parse_when
 from fleetsight.functions.text import none_if_blank, snippet
 from fleetsight.sources.cve import read_landed
-from fleetsight.sources.envelope import SourceInfo, string_map, to_raw
+from fleetsight.sources.envelope import PAGE_ERROR, SourceInfo, page_entries, string_map, to_raw
 
 SOURCE = SourceInfo("cisa-kev", "api", "https://www.cisa.gov/known-exploited-vulnerabilities-catalog")
 ERROR_NO_ID = "catalogue entry without a CVE id"
@@ -31,9 +31,10 @@ def cwe_values(entry: Column | str) -> Column:
 
 
 def kev_entries(entries: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
-    """Raw rows of catalogue entries. ``entries`` has entry (JSON text), url and fetched_at."""
+    """Raw rows of catalogue entries. ``entries`` has entry (JSON text), unread, url and fetched_at."""
     fields = entries.withColumn("fields", F.from_json("entry", "map<string,string>")).select(
         "entry",
+        "unread",
         "url",
         "fetched_at",
         first_value("fields", "cveID", "cve_id", "CVE ID").alias("cve_id"),
@@ -56,7 +57,7 @@ def kev_entries(entries: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
     )
     summary = F.when(F.col("notes").isNotNull(), F.concat(headline, F.lit(". "), "notes")).otherwise(headline)
     items = fields.withColumns({"name": name, "text": summary}).select(
-        F.concat(F.lit(K.KEV_DETAIL_URL), "cve_id").alias("source_url"),
+        F.when(F.col("unread"), F.col("url")).otherwise(F.concat(F.lit(K.KEV_DETAIL_URL), "cve_id")).alias("source_url"),
         F.col("cve_id").alias("external_id"),
         F.concat("cve_id", F.lit(" - "), "name").alias("title"),
         F.col("text").alias("summary"),
@@ -77,14 +78,14 @@ def kev_entries(entries: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
                 "response_url": F.col("url"),
             }
         ).alias("metadata"),
-        F.when(F.col("cve_id").isNull(), F.lit(ERROR_NO_ID)).alias("error_message"),
+        F.when(F.col("unread"), PAGE_ERROR).when(F.col("cve_id").isNull(), ERROR_NO_ID).alias("error_message"),
     )
     return to_raw(items, source)
 
 
 def kev_items(pages: DataFrame, source: SourceInfo = SOURCE) -> DataFrame:
-    """Raw rows of JSON catalogue pages (vulnerabilities, url, fetched_at)."""
-    return kev_entries(pages.select("url", "fetched_at", F.explode("vulnerabilities").alias("entry")), source)
+    """Raw rows of catalogue pages in the form of :data:`schema.KEV_PAGE`; one that does not parse is a row with an error."""
+    return kev_entries(page_entries(pages, "vulnerabilities"), source)
 
 
 def read_kev(spark: SparkSession, path: str, source: SourceInfo = SOURCE) -> DataFrame:
@@ -96,6 +97,7 @@ def read_kev_csv(spark: SparkSession, path: str, source: SourceInfo = SOURCE) ->
     rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
     entries = rows.select(
         F.to_json(F.struct(*[F.col(f"`{name}`") for name in rows.columns])).alias("entry"),
+        F.lit(False).alias("unread"),
         F.col("_metadata.file_path").alias("url"),
         F.col("_metadata.file_modification_time").alias("fetched_at"),
     )

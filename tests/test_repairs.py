@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fleetsight import session
 from fleetsight.functions import redact
 from fleetsight.operators import merge, raw_upsert
+from fleetsight.sources import cve, envelope, kev
 
 RAW = "id string, source_id long, external_id string, raw_hash string, fetched_at timestamp, created_at timestamp"
 
@@ -47,3 +48,14 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch_folder(Session(), "rows")
     assert session.is_local("local[4]") and not session.is_local("local-cluster[2,1,900]")
+
+
+def test_pages_that_do_not_parse_give_a_row_with_an_error(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"vulnerabilities": [{"cve": {"id": "CVE-2031-70710"}}]}')
+    (tmp_path / "none.json").write_text('{"vulnerabilities": []}')
+    (tmp_path / "cut.json").write_text('{"vulnerabilities": [{"cve": ')
+    for reader in (cve.read_cve_feed, kev.read_kev):
+        rows = reader(spark, str(tmp_path)).collect()
+        assert len(rows) == 2 and len({row.id for row in rows}) == 2
+        failed = [row for row in rows if row.error_message == envelope.PAGE_ERROR]
+        assert len(failed) == 1 and failed[0].source_url.endswith("cut.json") and failed[0].external_id is None
