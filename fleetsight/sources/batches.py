@@ -46,8 +46,11 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def check_external(batch: DataFrame) -> DataFrame:
-    """Cleaned external rows with the list of reasons why a row is refused."""
+def check_external(batch: DataFrame, sizes: bool = False) -> DataFrame:
+    """Cleaned external rows with the list of reasons why a row is refused.
+
+    ``sizes`` also refuses rows over the size limits of :mod:`constants`; by default no row is refused for its size.
+    """
     texts = [name for name in K.EXTERNAL_TEXT_LIMITS if name != "cve_id"]
     severity = F.lower(strip_to_null("severity"))
     cleaned = batch.withColumns(
@@ -61,7 +64,8 @@ def check_external(batch: DataFrame) -> DataFrame:
     )
     secret_checked = [name for name in texts if name != "source_url"]
     checks = [_when(F.col(name).isNull(), f"missing:{name}") for name in ("source_name", "source_url", "title", "summary")]
-    checks += [_when(F.length(name) > size, f"too_long:{name}") for name, size in K.EXTERNAL_TEXT_LIMITS.items()]
+    if sizes:
+        checks += [_when(F.length(name) > size, f"too_long:{name}") for name, size in K.EXTERNAL_TEXT_LIMITS.items()]
     checks += [_when(F.length("title") < 3, "too_short:title")]
     checks += [_when(F.col(name).rlike(SENSITIVE_ASSIGNMENT), f"secret:{name}") for name in secret_checked]
     checks += [
@@ -69,19 +73,21 @@ def check_external(batch: DataFrame) -> DataFrame:
         _when(~F.col("cve_id").rlike(_CVE), "invalid:cve_id"),
         _when(~F.col("severity").isin(*K.SEVERITIES), "invalid:severity"),
         _when(~F.col("external_score").between(0, 100), "invalid:external_score"),
-        _when(F.length("raw_payload") > K.EXTERNAL_PAYLOAD_LENGTH, "too_long:raw_payload"),
     ]
+    if sizes:
+        checks += [_when(F.length("raw_payload") > K.EXTERNAL_PAYLOAD_LENGTH, "too_long:raw_payload")]
     for name, size in K.EXTERNAL_LIST_LIMITS.items():
-        checks += [
-            _when(F.col(f"given_counts.{name}") > size, f"too_many:{name}"),
-            _when(F.exists(name, lambda item: F.length(item) > K.EXTERNAL_ITEM_LENGTH), f"too_long:{name}"),
-            _when(F.exists(name, lambda item: item.rlike(SENSITIVE_ASSIGNMENT)), f"secret:{name}"),
-        ]
+        if sizes:
+            checks += [
+                _when(F.col(f"given_counts.{name}") > size, f"too_many:{name}"),
+                _when(F.exists(name, lambda item: F.length(item) > K.EXTERNAL_ITEM_LENGTH), f"too_long:{name}"),
+            ]
+        checks += [_when(F.exists(name, lambda item: item.rlike(SENSITIVE_ASSIGNMENT)), f"secret:{name}")]
     return _with_errors(cleaned, checks).drop("given_counts")
 
 
-def validate_external(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return split_valid(check_external(batch))
+def validate_external(batch: DataFrame, sizes: bool = False) -> tuple[DataFrame, DataFrame]:
+    return split_valid(check_external(batch, sizes))
 
 
 _MANUAL_ENUMS = {
@@ -107,8 +113,14 @@ def _manual_cleaning() -> dict[str, Column]:
     }
 
 
-def _manual_checks() -> list[Column]:
-    checks = [_when(F.length(name) > size, f"too_long:{name}") for name, size in K.MANUAL_TEXT_LIMITS.items()]
+def _manual_checks(sizes: bool) -> list[Column]:
+    checks = []
+    if sizes:
+        checks += [_when(F.length(name) > size, f"too_long:{name}") for name, size in K.MANUAL_TEXT_LIMITS.items()]
+        checks += [
+            _when(F.col("given_tags") > K.MANUAL_TAG_LIMIT, "too_many:tags"),
+            _when(F.exists("tags", lambda tag: F.length(tag) > K.MANUAL_TAG_LENGTH), "too_long:tags"),
+        ]
     checks += [
         _when(F.col(name).rlike(MANUAL_SENSITIVE_ASSIGNMENT), f"secret:{name}")
         for name in ("title", "summary", "source_name", "source_url")
@@ -120,14 +132,12 @@ def _manual_checks() -> list[Column]:
         _when(~F.col("cve_id").rlike(_CVE), "invalid:cve_id"),
         _when(~F.col("cvss_score").between(0, 10), "invalid:cvss_score"),
         _when(~F.col("risk_score").between(0, 100), "invalid:risk_score"),
-        _when(F.col("given_tags") > K.MANUAL_TAG_LIMIT, "too_many:tags"),
-        _when(F.exists("tags", lambda tag: F.length(tag) > K.MANUAL_TAG_LENGTH), "too_long:tags"),
         _when(F.exists("tags", lambda tag: tag.rlike(MANUAL_SENSITIVE_ASSIGNMENT)), "secret:tags"),
     ]
 
 
-def check_manual(batch: DataFrame) -> DataFrame:
-    """Cleaned manual rows with the list of reasons why a row is refused."""
+def check_manual(batch: DataFrame, sizes: bool = False) -> DataFrame:
+    """Cleaned manual rows with the list of reasons why a row is refused; ``sizes`` as for external rows."""
     category = F.lower(strip_to_null("category"))
     defaults = {"severity": "unknown", "exploit_status": "unknown", "confidence": "medium", "risk_level": "info"}
     cleaned = batch.withColumns(
@@ -139,7 +149,7 @@ def check_manual(batch: DataFrame) -> DataFrame:
             "tags": _clean_list("tags"),
         }
     )
-    checks = _manual_checks() + [
+    checks = _manual_checks(sizes) + [
         _when(F.col("title").isNull(), "missing:title"),
         _when(F.col("summary").isNull(), "missing:summary"),
         _when(F.col("category").isNull() | ~F.col("category").isin(*K.MANUAL_CATEGORIES), "invalid:category"),
@@ -148,15 +158,15 @@ def check_manual(batch: DataFrame) -> DataFrame:
     return _with_errors(cleaned, checks).drop("given_tags")
 
 
-def validate_manual(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return split_valid(check_manual(batch))
+def validate_manual(batch: DataFrame, sizes: bool = False) -> tuple[DataFrame, DataFrame]:
+    return split_valid(check_manual(batch, sizes))
 
 
 PATCH_FIELDS = (*_MANUAL_STRIPPED, "cve_id", "cvss_score", "risk_score", "tags", *_MANUAL_ENUMS)
 
 
-def check_patch(patches: DataFrame) -> DataFrame:
-    """Cleaned patch rows; a field counts only when it is listed in ``supplied``."""
+def check_patch(patches: DataFrame, sizes: bool = False) -> DataFrame:
+    """Cleaned patch rows; a field counts only when it is listed in ``supplied``. ``sizes`` as for external rows."""
     given = patches.withColumns(
         {name: F.when(F.array_contains("supplied", name), F.col(name)) for name in PATCH_FIELDS}
     )
@@ -167,4 +177,4 @@ def check_patch(patches: DataFrame) -> DataFrame:
             "tags": _clean_list("tags"),
         }
     )
-    return _with_errors(cleaned, _manual_checks()).drop("given_tags")
+    return _with_errors(cleaned, _manual_checks(sizes)).drop("given_tags")
