@@ -236,6 +236,15 @@ def star_roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def least_ids(codes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bits, component_id`` of ``codes`` (``bits, least_id``): the smallest id of each component."""
+    rooted = codes.join(roots, codes.bits == roots.node, "left").select(
+        "bits", "least_id", F.coalesce("root", "bits").alias("root")
+    )
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rooted.join(least, "root").select("bits", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per input row.
 
@@ -245,23 +254,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     marked = checkpointed(fingerprints(docs, doc_id, text))
     codes = checkpointed(marked.groupBy("bits").agg(F.min("doc_id").alias("least_id")))
-    roots = star_roots(links(codes.select("bits")))
-    rooted = codes.join(roots, codes.bits == roots.node, "left").select(
-        "bits", "least_id", F.coalesce("root", "bits").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_code = rooted.join(least, "root").select("bits", "component_id")
+    of_code = least_ids(codes, star_roots(links(codes.select("bits"))))
     return marked.join(of_code, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component; of equal ids the smallest text.
 
-    Rows without an id have no component of their own to stand for and stay. Columns are as they came.
+    ``found`` has ``doc_id, component_id`` of all rows; without it those of ``near_duplicates`` are taken. Rows without an id have no component of their own to stand for and stay. Columns are as they came.
     """
-    found = near_duplicates(docs).filter("doc_id IS NOT NULL")
+    found = (near_duplicates(docs) if found is None else found).filter("doc_id IS NOT NULL")
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
     # Only ids that go or repeat are written, the smaller side. A document that the Bloom filter of these ids
     # lets through stays without a shuffle of its text; the others are joined exactly.
