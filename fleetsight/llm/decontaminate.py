@@ -34,6 +34,7 @@ TABLE_BITS = 22
 ALIGNED_AT_ONCE = 512
 # Stands between texts; no q-gram of a segment holds it.
 _GAP = "￿"
+_GAP_CODE = ord(_GAP)
 _DOUBLE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -140,7 +141,7 @@ def banded(
 
     A band has ``2 * edits + 1`` diagonals from ``first`` on, and ``edits`` more on each side; all patterns
     are aligned side by side, row by row, a lane for each diagonal. Start is free along the first row and
-    end along the last; None if more than ``edits`` are needed.
+    end along the last; None if more than ``edits`` are needed. No alignment goes over the gap between texts.
     """
     sizes = np.array([codes.size for codes in patterns])
     allowed = np.maximum(edits, 1)
@@ -160,14 +161,17 @@ def banded(
         inside = valid & (at >= 0) & (at <= text.size)
         known = inside & (at >= 1)
         letter = text[np.where(known, at - 1, 0)]
-        take = np.where(known, cost + (letter != letter_at[:, row - 1 : row]), far)
+        gap = known & (letter == _GAP_CODE)
+        take = np.where(known & ~gap, cost + (letter != letter_at[:, row - 1 : row]), far)
         skip = np.concatenate([cost[:, 1:], edge], axis=1) + 1  # a letter of the pattern is missing in the text
         begin = np.where(skip < take, np.concatenate([start[:, 1:], edge], axis=1), start)
         # Letters of the text that the pattern lacks: lanes further right at one edit each.
-        run = np.where(inside, np.minimum(take, skip), far) - lane
+        # Each gap lowers all that follows it by more than any cost, so that nothing before it is taken over.
+        lower = lane + (np.cumsum(gap, axis=1) << 42)
+        run = np.where(inside, np.minimum(take, skip), far) - lower
         least = np.minimum.accumulate(run, axis=1)
         source = np.maximum.accumulate(np.where(run == least, lane, 0), axis=1)
-        cost = np.where(inside, least + lane, far)
+        cost = np.where(inside, least + lower, far)
         start = np.take_along_axis(begin, source, axis=1)
         for k in np.flatnonzero(sizes == row).tolist():
             best = int(np.argmin(cost[k]))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from fleetsight.llm import near_copies
+from fleetsight.llm import decontaminate, near_copies
 
 
 def brute_set(text, size=5):
@@ -41,3 +41,12 @@ def test_near_copies_stage_drops_what_is_four_fifths_alike(spark):
     assert got == {number: root(number) for number in sets}
     kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert kept == sorted({root(number) for number in sets}) and len(kept) < 0.7 * len(rows)
+
+
+def test_an_item_without_its_first_letters_is_found_in_the_text_that_holds_it():
+    item = "which of these words stands first in the list that the teacher wrote on the board this morning"
+    index = decontaminate.Index(decontaminate.segments([(1, item)]))
+    for missing in (1, 2, 3, 4, 6, 7):  # a blank at the start would go too
+        for clean in ("a clean text", "a clean text that ends in " + item[:missing], "x" * 200, ""):
+            got = list(decontaminate.find([clean, item[missing:] + " and more", clean], index))
+            assert [row[:3] for row in got] == [(1, 1, missing)] and got[0][3] == 0
