@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping segments of up to ``SEGMENT`` characters. A segment of ``m``
+Benchmark items are cut into overlapping segments of up to ``SEGMENT`` characters and, for quotes of a part, into
+passages of ``PASSAGE`` characters every ``PASSAGE_STEP``: ``SURE`` verbatim characters of an item, or all of a
+shorter one, are surely found, however they lie in it. A segment of ``m``
 characters that lies in a text with at most ``e`` edits shares at least ``m - q + 1 - q * e`` of its
 character q-grams with it, and they lie within ``e`` diagonals. So: text places whose window holds too few
 benchmark q-grams are skipped; for the others the hits are looked up and counted in overlapping diagonal
@@ -27,6 +29,11 @@ from pyspark.sql import functions as F
 Q = 8
 SEGMENT = 160
 STEP = 80
+# Passages: short segments, for quotes of a part of an item.
+PASSAGE = 64
+PASSAGE_STEP = 12
+# Characters of an item that are surely found wherever they begin and end, if they are verbatim.
+SURE = PASSAGE + PASSAGE_STEP - 1
 EDIT_SHARE = 0.08
 SEGMENTS_AT_ONCE = 20_000
 CHARS_AT_ONCE = 1 << 20
@@ -76,6 +83,17 @@ def segments(items: Sequence[tuple[int, str]]) -> list[tuple[int, str]]:
     return out
 
 
+def passages(items: Sequence[tuple[int, str]]) -> list[tuple[int, str]]:
+    """(item, piece of its plain text): ``PASSAGE`` characters every ``PASSAGE_STEP`` and the last; none of items that short."""
+    out = []
+    for item, text in items:
+        text = plain(text)
+        last = len(text) - PASSAGE
+        if last > 0:
+            out.extend((item, text[start : start + PASSAGE]) for start in [*range(0, last, PASSAGE_STEP), last])
+    return out
+
+
 class Patterns:
     """Segments of about equal length with their q-gram index."""
 
@@ -236,7 +254,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Index]:
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().orderBy("item_id", "text")
     for item, text in rows.toLocalIterator():
         if item is not None:
-            held.extend(segments([(item, text)]))
+            held.extend(segments([(item, text)]) + passages([(item, text)]))
         while len(held) >= SEGMENTS_AT_ONCE:
             yield Index(held[:SEGMENTS_AT_ONCE])
             held = held[SEGMENTS_AT_ONCE:]

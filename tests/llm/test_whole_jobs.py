@@ -50,3 +50,17 @@ def test_an_item_without_its_first_letters_is_found_in_the_text_that_holds_it():
         for clean in ("a clean text", "a clean text that ends in " + item[:missing], "x" * 200, ""):
             got = list(decontaminate.find([clean, item[missing:] + " and more", clean], index))
             assert [row[:3] for row in got] == [(1, 1, missing)] and got[0][3] == 0
+
+
+def test_a_verbatim_quote_of_a_part_is_found_wherever_it_lies(spark):
+    rnd = random.Random(6)
+    line = lambda n: " ".join("".join(rnd.choices("etaoinshr", k=rnd.randint(2, 8))) for _ in range(n))
+    sure = 75
+    items = [(k, line(80)[:size].strip() + "z") for k, size in enumerate((76, 100, 150, 159, 161, 230, 400))]
+    quotes = [(item, text[at : at + sure]) for item, text in items for at in range(0, len(text) - sure + 1)]
+    quotes = [(item, quote) for item, quote in quotes if quote == quote.strip()]
+    docs = [(k, f"{line(6)} {quote} {line(6)}") for k, (_, quote) in enumerate(quotes)] + [(-1, line(300))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(k, item) for k, (item, _) in enumerate(quotes)]
+    assert all(r.edits == 0 for r in found)
