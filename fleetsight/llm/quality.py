@@ -243,9 +243,14 @@ def _people(labels: DataFrame) -> DataFrame:
     )
 
 
-def _share(frame: DataFrame, wanted: int, total: int) -> DataFrame:
-    """About ``wanted`` rows of ``total``, always the same ones."""
-    return frame.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < -(-wanted * 1_000_003 // max(1, total)))
+def _thinned(rows: DataFrame, wanted: int, total: int) -> DataFrame:
+    """``rows`` (``doc_id, mark, n``) with ``copies`` > 0 that add up to about ``wanted`` of ``total``, always the same ones.
+
+    A row that stands n times gives its share of n, rounded up or down by its hash.
+    """
+    share = min(1.0, wanted / max(1, total))
+    chance = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(1_000_003)) / 1_000_003
+    return rows.withColumn("copies", F.floor(F.col("n") * share + chance).cast("int")).filter("copies > 0")
 
 
 def train(texts: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.ndarray, float]], Scorer]:
@@ -264,10 +269,19 @@ def train(texts: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.ndarray, f
             counts[row[question]] = counts.get(row[question], 0) + row["count"]
         models.append(fit_labellers(counts, size) if counts else (np.full((2, size), 0.5), 0.5))
 
-    known = _share(people, SAMPLE // 2, people.count())
-    picked = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "junk_label", "abuse_label")  # SAMPLE // 2 rows at most
+    # Ids and hashes of texts with their number: null, repeated and equal rows are thinned like others.
+    marked = texts.withColumn("mark", F.xxhash64("text"))
+    counted = checkpointed(marked.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")))
+    known = counted.join(people, "doc_id")
+    known = _thinned(known, SAMPLE // 2, known.agg(F.sum("n")).first()[0] or 0)
     zero = F.lit(0).cast("long")
-    picked = picked.unionByName(_share(texts, SAMPLE // 2, total).select("doc_id", "text", zero.alias("junk_label"), zero.alias("abuse_label")))
+    every = _thinned(counted, SAMPLE // 2, total).withColumns({"junk_label": zero, "abuse_label": zero})
+    columns = ["doc_id", "mark", "junk_label", "abuse_label", "copies"]
+    keys = checkpointed(known.select(columns).unionByName(every.select(columns)))  # about SAMPLE rows at most
+    keys = F.broadcast(keys.withColumnsRenamed({"doc_id": "key_id", "mark": "key_mark"}))
+    picked = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("mark") == F.col("key_mark")))
+    picked = picked.groupBy(columns).agg(F.first("text").alias("text"))
+    picked = picked.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "text", "junk_label", "abuse_label")
     sample = checkpointed(picked.mapInArrow(_labelled(models), "doc_id long, junk double, abuse double, features binary"))
     strength = sample.mapInArrow(_summed, "feature long, n double, junk double, abuse double")
     strength = strength.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *QUESTIONS)])
@@ -280,7 +294,7 @@ def train(texts: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.ndarray, f
         for row in strength.filter("n >= 4").orderBy(tell.desc(), "feature").limit(FEATURES // 2).collect()
     ]
     chosen = np.array(sorted(set(top)), dtype=np.int64)
-    rows = sample.mapInArrow(_narrowed(chosen), sample.schema).collect()  # SAMPLE rows of FEATURES numbers at most
+    rows = sample.mapInArrow(_narrowed(chosen), sample.schema).collect()  # about SAMPLE rows of FEATURES numbers at most
     rows.sort(key=lambda row: (row["doc_id"] is not None, row["doc_id"] or 0, bytes(row["features"]), row["junk"], row["abuse"]))
     present = [np.frombuffer(row["features"], np.int16) for row in rows]
     weights = [fit_scorer(present, np.array([row[q] for row in rows]), chosen.size) for q in QUESTIONS]

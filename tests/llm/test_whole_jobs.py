@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from fleetsight.llm import decontaminate, near_copies
+from fleetsight.llm import decontaminate, near_copies, quality
 
 
 def brute_set(text, size=5):
@@ -64,3 +64,17 @@ def test_a_verbatim_quote_of_a_part_is_found_wherever_it_lies(spark):
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == [(k, item) for k, (item, _) in enumerate(quotes)]
     assert all(r.edits == 0 for r in found)
+
+
+def test_the_sample_is_bounded_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 200)
+    sizes, fit = [], quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda present, *rest: sizes.append(len(present)) or fit(present, *rest))
+    rnd = random.Random(3)
+    line = lambda: " ".join(rnd.choice(["plain", "words", "of", "a", "text", "zzz", "!!!", "one", "two"]) for _ in range(30))
+    same = line()
+    rows = [(None, line()) for _ in range(1500)] + [(7, line()) for _ in range(1500)] + [(8, same)] * 1500 + [(100 + k, line()) for k in range(1500)]
+    labels = [(7, 1, 0), (8, 0, 1), *[(100 + k, k % 2, 0) for k in range(300)]]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert quality.classify(docs, labels).count() == len(rows)
+    assert sizes and all(140 <= size <= 260 for size in sizes)
