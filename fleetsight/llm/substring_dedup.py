@@ -1,6 +1,6 @@
 """Exact substring de-duplication with fixed-block anchors.
 
-Documents are taken in batches of neighbouring ids. Every batch lists its reference blocks (the
+Documents are taken in batches of neighbouring ids, cut by size. Every batch lists its reference blocks (the
 non-overlapping blocks of ``block`` words of each document) and all its rolling windows of ``block``
 words, by hash. Hash buckets tell a batch which of its reference blocks some other batch's rolling
 windows hit. Any repeat of at least ``2 * block - 1`` words holds a whole reference block of each of its
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,24 +41,85 @@ _WINDOWS = "bucket long, batch long, high binary, low binary"
 _EMPTY = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("body", pa.binary())])
 
 
+def _pieces(frame: DataFrame, limit: int) -> list[tuple[int | None, str | None, int]]:
+    """(id, text, size) of the first of neighbouring rows that hold ``limit`` at most, in order; a larger row stands alone.
+
+    ``frame`` has distinct ``id, text`` with a ``size``; a piece with texts is of one id. Only piece starts come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        for batch in batches:
+            for number, text, size in zip(*(batch.column(name).to_pylist() for name in ("id", "text", "size"))):
+                if held and held[-1][2] + size <= limit and (text is None or held[-1][0] == number):
+                    held[-1][2] += size
+                else:
+                    held.append([number, text, size])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row[k] for row in held], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64()))], ["id", "text", "size"]
+        )
+
+    dealt = frame.select("id", "text", "size").repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    rows = [tuple(row) for row in dealt.mapInArrow(run, "id long, text string, size long").collect()]
+    rows.sort(key=lambda row: (row[0] is not None, row[0] or 0, (row[1] or "").encode()))
+    out: list[tuple[int | None, str | None, int]] = []
+    for number, text, size in rows:  # the ends of partitions
+        if out and out[-1][2] + size <= limit and (text is None or out[-1][0] == number):
+            out[-1] = (*out[-1][:2], out[-1][2] + size)
+        else:
+            out.append((number, text, size))
+    return out
+
+
 class Layout:
-    """How documents are cut into batches and hashes into buckets; from the size of the corpus."""
+    """How documents are cut into batches and hashes into buckets; from the sizes of ids and of the corpus.
+
+    Batches follow the order of ids and hold about the same number of bytes, however ids are spread. An id that is
+    larger than a batch, null too, is cut by text; equal rows that are larger are dealt out.
+    """
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str) -> None:
-        row = docs.agg(
-            F.count(F.lit(1)), F.sum(F.octet_length(F.col(text))), F.min(doc_id), F.max(doc_id)
-        ).first()
-        count, size, low, high = row[0], row[1] or 0, row[2] or 0, row[3] or 0
-        words = max(1, size // 6)
+        rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+        size = F.sum(F.octet_length("text") + 1).alias("size")
+        words = max(1, (rows.agg(size).first()[0] or 0) // 6)
         grown = int(math.sqrt(64 * words))
-        per_batch = max(BATCH_WORDS, grown)
-        documents = max(1.0, per_batch / (words / max(1, count)))
-        spacing = (high - low + 1) / max(1, count)
-        self.shift = min(62, max(0, int(math.log2(max(1.0, documents * spacing)))))
+        limit = 6 * max(BATCH_WORDS, grown)
         self.buckets = max(8, -(-words // max(BUCKET_WORDS, grown)))
-
-    def batch(self, doc_id: str) -> Column:
-        return F.coalesce(F.shiftright(F.col(doc_id).cast("long"), self.shift), F.lit(-(2**63)))
+        # A null id is a batch of its own, before all others.
+        found = _pieces(rows.filter("id IS NOT NULL").groupBy("id").agg(size).withColumn("text", F.lit(None).cast("string")), limit)
+        self.starts = np.array([number for number, _, _ in found], dtype=np.int64)
+        large = [number for number, _, held in found if held > limit]
+        self.is_large = lambda column: column.isin(large) if large else F.lit(False)
+        if (rows.filter("id IS NULL").agg(size).first()[0] or 0) > limit:
+            is_known = self.is_large
+            self.is_large = lambda column: column.isNull() | is_known(column)
+            large.append(None)
+        # Per large id: the texts that begin its parts, the first batch of each part and their number.
+        self.parts: dict[int | None, tuple[list[bytes], list[int], list[int]]] = {}
+        if large:
+            hot = rows.filter(self.is_large(F.col("id"))).groupBy("id", "text").agg(size)
+            for number, text, held in _pieces(hot, limit):
+                texts, firsts, widths = self.parts.setdefault(number, ([], [], []))
+                firsts.append(firsts[-1] + widths[-1] if firsts else 0)
+                widths.append(-(-held // limit))
+                texts.append(text.encode())
+
+    def batch(self, doc_id: str, text: str) -> Column:
+        starts, parts = self.starts, self.parts
+
+        def number(ids: pa.Array, texts: pa.Array) -> pa.Array:
+            known = np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            out = np.searchsorted(starts, known, side="right") << 24
+            out[ids.is_null().to_numpy(zero_copy_only=False)] = -1 << 24
+            for k in np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                begins, firsts, widths = parts[ids[k].as_py()]
+                part = max(0, bisect_right(begins, texts[k].as_py().encode()) - 1)
+                out[k] += firsts[part] + k % widths[part]
+            return pa.array(out)
+
+        wanted = F.col(doc_id).cast("long")
+        shown = F.when(self.is_large(wanted), F.coalesce(F.col(text).cast("string"), F.lit("")))
+        return F.arrow_udf(number, "long")(wanted, shown)
 
 
 class Batch:
@@ -274,7 +337,7 @@ def remove_repeats(
     block = (window + 1) // 2
     layout = Layout(docs, doc_id, text)
     columns = [
-        layout.batch(doc_id).alias("batch"),
+        layout.batch(doc_id, text).alias("batch"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
     ]

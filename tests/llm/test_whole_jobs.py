@@ -1,9 +1,11 @@
 """Cases that an operator once did less than whole."""
 
+import hashlib
 import random
+from collections import Counter
 
 import corpus_pipeline
-from fleetsight.llm import decontaminate, near_copies, quality
+from fleetsight.llm import decontaminate, near_copies, quality, substring_dedup
 
 
 def brute_set(text, size=5):
@@ -78,3 +80,32 @@ def test_the_sample_is_bounded_with_null_and_repeated_ids(spark, monkeypatch):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).count() == len(rows)
     assert sizes and all(140 <= size <= 260 for size in sizes)
+
+
+def test_batches_are_bounded_with_an_outlier_and_with_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BATCH_WORDS", 800)
+    monkeypatch.setattr(substring_dedup, "BUCKET_WORDS", 500)
+    rnd = random.Random(12)
+    line = lambda n: " ".join(f"w{rnd.randrange(1000, 9999)}" for _ in range(n))
+    passage, same = line(30), line(25)
+    body = lambda: line(20) + (" " + passage if rnd.random() < 0.3 else "") + " " + line(5)
+    rows = [(k, body()) for k in range(200)] + [(10**15, body()), (-(10**15), body())]
+    rows += [(None, body()) for _ in range(200)] + [(77, body()) for _ in range(200)] + [(78, same)] * 200 + [(79, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    layout = substring_dedup.Layout(docs, "doc_id", "text")
+    sizes = Counter()
+    for r in docs.withColumn("batch", layout.batch("doc_id", "text")).collect():
+        sizes[r.batch] += len((r.text or "").split())
+    assert max(sizes.values()) < 3 * max(800, (64 * sum(sizes.values())) ** 0.5) < sum(sizes.values()) / 4
+    seen, want = set(), Counter()
+    for number, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        words = (text or "").split()
+        gone = [False] * len(words)
+        for k in range(len(words) - 19):
+            window = tuple(words[k : k + 20])
+            if window in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(window)
+        kept = " ".join(word for word, out in zip(words, gone) if not out)
+        want[(number, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    assert Counter(map(tuple, substring_dedup.remove_repeats(docs).collect())) == want
