@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.llm import (
-    bpe, chat, decontaminate, lm_scoring, quality, simhash, spotsigs, substring_dedup, url_filter, warc,
+    bpe, chat, decontaminate, fill_middle, lm_scoring, quality, simhash, spotsigs, substring_dedup, url_filter, warc,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,11 +68,26 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, folder, "documents"))
+    output, form = F.col("output"), F.col("form")
+    found = fill_middle.parts(output, form)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length(found["prefix"]).cast("long").alias("prefix_chars"),
+        F.length(found["middle"]).cast("long").alias("middle_chars"),
+        F.sha2(output.cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(output, form).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_quality_classifier, op2_spotsigs, op3_decontamination, op4_warc, op5_chat_rotation, op6_url_filter,
-        op7_lm_scoring, op8_bpe, op9_simhash, op10_substring_dedup,
+        op7_lm_scoring, op8_bpe, op9_simhash, op10_substring_dedup, op13_fill_middle,
     )
 }
 
@@ -151,4 +166,16 @@ SQL: dict[str, str] = {
                CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
                     WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op13_fill_middle": r"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+        cut AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+                       list_transform(range(4), lambda k: ('0x' || substr(digest, (1 + 8 * k)::INT, 8))::BIGINT) AS h FROM docs),
+        chosen AS (SELECT *, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                               WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+        parts AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM chosen)
+        SELECT doc_id, len(units)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM parts""",
 }
