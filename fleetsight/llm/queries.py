@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.llm import (
-    bpe, chat, decontaminate, fill_middle, lm_scoring, quality, simhash, spotsigs, substring_dedup, url_filter, warc,
+    bpe, chat, collocations, decontaminate, fill_middle, lm_scoring, quality, simhash, spotsigs, substring_dedup,
+    url_filter, warc,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,6 +69,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fill_middle.transform(table(spark, folder, "documents"))
     output, form = F.col("output"), F.col("form")
@@ -87,7 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_quality_classifier, op2_spotsigs, op3_decontamination, op4_warc, op5_chat_rotation, op6_url_filter,
-        op7_lm_scoring, op8_bpe, op9_simhash, op10_substring_dedup, op13_fill_middle,
+        op7_lm_scoring, op8_bpe, op9_simhash, op10_substring_dedup, op12_collocations,
+        op13_fill_middle,
     )
 }
 
@@ -166,6 +172,26 @@ SQL: dict[str, str] = {
                CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
                     WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op12_collocations": r"""
+        WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+        worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+        sized AS (SELECT lang, w, i, unnest([1, 2, 3, 4]) AS size FROM placed),
+        counts AS (SELECT lang, w[i:i + size - 1] AS words, count(*) AS f FROM sized WHERE i + size - 1 <= len(w) GROUP BY ALL),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+        candidates AS (SELECT lang, words, f AS a FROM counts WHERE len(words) > 1 AND f >= 30),
+        cuts AS (SELECT c.lang, c.words, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+                 FROM (SELECT *, unnest(range(1, len(words))) AS k FROM candidates) c
+                 JOIN counts l ON l.lang = c.lang AND l.words = c.words[1:k] JOIN counts r ON r.lang = c.lang AND r.words = c.words[k + 1:]),
+        weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+        inner_parts AS (SELECT lang, a, words, unnest(range(1, len(words) + 1)) AS i FROM candidates),
+        inner_spans AS (SELECT lang, a, words, i, unnest(range(1, len(words))) AS size FROM inner_parts),
+        above AS (SELECT lang, words[i:i + size - 1] AS words, max(a) AS above FROM inner_spans WHERE i + size - 1 <= len(words) GROUP BY ALL),
+        kept AS (SELECT w.*, array_to_string(w.words, ' ') AS phrase FROM weakest w LEFT JOIN above b ON b.lang = w.lang AND b.words = w.words
+                 WHERE b.above IS NULL OR 100 * b.above < 80 * w.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
     "op13_fill_middle": r"""
         WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
         cut AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
