@@ -28,7 +28,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetsight.llm.flat import Flat, mix, window_hashes
@@ -41,6 +41,7 @@ BEST = 2000
 SCALE = 2_000_000
 
 CHUNK = 1 << 22
+MERGE_ROWS = 1 << 20
 CELL_BITS = 32
 FILTER_BITS = 27
 SLOTS = {0: 1, 1: 64, 2: 8, 3: 2}
@@ -183,11 +184,15 @@ class Frequent:
         return found
 
 
+def part_bits(spark: SparkSession) -> int:
+    """Parts that keys are dealt to, as a power of two: several for each task of a shuffle."""
+    return min(20, max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+
+
 def frequent_filter(texts: DataFrame, least: int) -> Frequent:
     """Filter that holds every word and pair of ``least`` or more occurrences in a language."""
-    spark = texts.sparkSession
-    part_bits = min(20, max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    sent = texts.mapInArrow(_cells(part_bits, least), _CELLS)
+    upper = part_bits(texts.sparkSession)
+    sent = texts.mapInArrow(_cells(upper, least), _CELLS)
     keys = checkpointed(sent.repartition("part").sortWithinPartitions("part").mapInArrow(_frequent(least), "key long"))
     bits = min(FILTER_BITS, max(16, math.ceil(math.log2(16 * keys.count() + 1))))
 
@@ -205,39 +210,36 @@ def frequent_filter(texts: DataFrame, least: int) -> Frequent:
     rows = keys.mapInArrow(fill, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
     filled = np.zeros(1 << (bits - 6), dtype=np.uint64)
     filled[rows.column("word").to_numpy()] = rows.column("held").to_numpy().view(np.uint64)
-    return Frequent(part_bits + CELL_BITS, bits, filled)
+    return Frequent(upper + CELL_BITS, bits, filled)
 
 
-STRIPE = "lang string, prefix string, slot int, total long, nexts array<string>, counts array<long>"
-_NAMES = ["lang", "prefix", "slot", "total", "nexts", "counts"]
+_PACKED = "part long, body binary"
+_NAMES = ["key", "total", "nexts", "counts"]
+_STRIPE = "lang string, prefix string, total long, nexts array<string>, counts array<long>"
 
 
-def _stripe_batch(words: Words, at: np.ndarray, prefixes: list[str], row: np.ndarray, slot: np.ndarray, total: np.ndarray, ends: np.ndarray, nexts: list[str], counts: np.ndarray) -> pa.RecordBatch:
-    langs = pa.array([words.langs[k] for k in words.owner[at].tolist()], pa.string())
+def _columns(words: Words, at: np.ndarray, keys: list[str], totals: np.ndarray, ends: np.ndarray, nexts: list[str], counts: np.ndarray) -> pa.Table:
+    """Stripes as a table; a key is a prefix, a line feed, which no prefix holds, and the language."""
+    langs = [words.langs[k] for k in words.owner[at].tolist()]
     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-    columns = [
-        langs.take(pa.array(row)), pa.array(prefixes, pa.string()).take(pa.array(row)), pa.array(slot.astype(np.int32)), pa.array(total),
-        pa.ListArray.from_arrays(offsets, pa.array(nexts, pa.string())), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
-    ]
-    return pa.RecordBatch.from_arrays(columns, _NAMES)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in (pa.array(nexts, pa.string()), counts.astype(np.int64))]
+    return pa.table([pa.array([f"{key}\n{lang}" for key, lang in zip(keys, langs)], pa.string()), pa.array(totals.astype(np.int64)), *lists], names=_NAMES)
 
 
-def _stripes(words: Words, known: Frequent, longest: int) -> Iterator[pa.RecordBatch]:
-    """The stripes of a chunk, one batch per prefix length.
+def _stripes(words: Words, known: Frequent, longest: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The stripes of a chunk by prefix length, with a hash that deals them out.
 
-    A prefix's total stands in the first of its parts, the others say zero.
+    A prefix's total stands in the first of its slots, the others say zero.
     """
-    langs, count = np.unique(np.array(words.langs)[words.owner], return_counts=True) if words.words.size else ([], [])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([str(x) for x in langs], pa.string()), pa.array([""] * len(langs), pa.string()), pa.array([0] * len(langs), pa.int32()),
-         pa.array([int(x) for x in count], pa.int64()), pa.array([[]] * len(langs), pa.list_(pa.string())), pa.array([[]] * len(langs), pa.list_(pa.int64()))], _NAMES,
-    )
+    none = np.zeros(0, dtype=np.int64)
+    langs, first, count = np.unique(np.array(words.langs)[words.owner], return_index=True, return_counts=True)
+    yield _columns(words, first, [""] * first.size, count, np.zeros(first.size, np.int64), [], none), np.zeros(first.size, np.uint64)
     hashes, inside = words.windows(1)
     passed = known.may_hold(hashes)
     for size in range(1, longest):
         longer, inside = words.windows(size + 1)
-        goes_on = inside & passed[:-1] & passed[1:] if longer.size else np.zeros(0, dtype=bool)
-        if size == 1 and longer.size:
+        goes_on = inside & passed[: longer.size] & passed[1 : longer.size + 1]
+        if size == 1:
             goes_on &= known.may_hold(longer)
         starts = np.flatnonzero(passed)
         keys, place, total = _counted(hashes[starts])
@@ -250,82 +252,100 @@ def _stripes(words: Words, known: Frequent, longest: int) -> Iterator[pa.RecordB
         order = np.lexsort((slot, owner))
         first, owner, slot, counts = first[order], owner[order], slot[order], counts[order]
         new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(slot, prepend=-1) != 0))
-        ends = np.append(new[1:], owner.size) if new.size else np.zeros(0, np.int64)
+        ends = np.append(new[1:], owner.size) if new.size else none
         alone = np.setdiff1d(np.arange(keys.size), owner)
         row = np.concatenate([owner[new], alone])
         leads = np.concatenate([np.diff(owner[new], prepend=-1) != 0, np.ones(alone.size, dtype=bool)])
-        yield _stripe_batch(
-            words, at, words.phrases(at, size), row, np.concatenate([slot[new], np.zeros(alone.size, np.int64)]),
-            np.where(leads, total[row], 0), np.concatenate([ends, np.full(alone.size, owner.size)]), words.phrases(first + size, 1), counts,
+        prefixes = words.phrases(at, size)
+        table = _columns(
+            words, at[row], [prefixes[k] for k in row.tolist()], np.where(leads, total[row], 0),
+            np.concatenate([ends, np.full(alone.size, owner.size)]), words.phrases(first + size, 1), counts,
         )
+        yield table, mix(keys[row] + np.concatenate([slot[new], np.zeros(alone.size, np.int64)]).astype(np.uint64))
         hashes, passed = longer, goes_on
 
 
-def merged_rows(table: pa.Table, least: int = 0) -> pa.Table:
-    """Stripes sorted by key: neighbours of one key are added up element by element."""
-    table = table.combine_chunks()
-    n = table.num_rows
-    new = np.zeros(n, dtype=bool)
-    new[0] = True
-    for name in ("lang", "prefix", "slot"):
-        column = table.column(name)
-        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy()
-    starts = np.flatnonzero(new)
-    key = np.cumsum(new) - 1
+def _packed(words: Words, known: Frequent, longest: int, part_bits: int) -> pa.RecordBatch:
+    """The stripes of a chunk, those of each part as one compressed body."""
+    tables, dealt = zip(*_stripes(words, known, longest))
+    table, part = pa.concat_tables(tables), (np.concatenate(dealt) >> np.uint64(64 - part_bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    table, part = table.take(pa.array(order)).combine_chunks(), part[order]
+    cut = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if part.size else np.zeros(1, np.int64)
+    bodies = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table.slice(a, b - a))
+        bodies.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(bodies, pa.binary())], ["part", "body"])
+
+
+def merged(table: pa.Table, least: int = 0) -> pa.Table:
+    """Stripes of equal keys, added up element by element."""
+    codes = table.column("key").combine_chunks().dictionary_encode()
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    code, keys = codes.indices.to_numpy(), codes.dictionary
+    total = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(total, code, table.column("total").to_numpy())
     lengths = pc.list_value_length(table.column("nexts")).to_numpy()
-    pairs = pa.table({"key": np.repeat(key, lengths), "next": pc.list_flatten(table.column("nexts")), "n": pc.list_flatten(table.column("counts"))})
+    pairs = pa.table({"key": np.repeat(code, lengths), "next": pc.list_flatten(table.column("nexts")), "n": pc.list_flatten(table.column("counts"))})
     pairs = pairs.group_by(["key", "next"], use_threads=False).aggregate([("n", "sum")])
-    pairs = pairs.filter(pc.greater_equal(pairs.column("n_sum"), least)).sort_by("key").combine_chunks()
-    offsets = pa.array(np.searchsorted(pairs.column("key").to_numpy(), np.arange(starts.size + 1)).astype(np.int32))
-    total = np.add.reduceat(table.column("total").to_numpy(), starts)
-    columns = [table.column(name).take(pa.array(starts)) for name in ("lang", "prefix", "slot")]
-    lists = [pa.ListArray.from_arrays(offsets, _flat(pairs.column(name))) for name in ("next", "n_sum")]
-    return pa.table([*columns, pa.array(total), *lists], names=_NAMES)
+    pairs = pairs.filter(pc.greater_equal(pairs.column("n_sum"), least)).sort_by("key")
+    offsets = pa.array(np.searchsorted(pairs.column("key").to_numpy(), np.arange(len(keys) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, _whole(pairs.column(name))) for name in ("next", "n_sum")]
+    return pa.table([keys, pa.array(total), *lists], names=_NAMES)
 
 
-def _flat(column: pa.ChunkedArray) -> pa.Array:
+def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def _merge(least: int):
-    """Whole stripes of rows sorted by key; next words of fewer than ``least`` occurrences are left out."""
+    """Rows sorted by part: its merged stripes; next words of fewer than ``least`` occurrences are left out."""
+
+    def out(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = merged(pa.concat_tables(held), least)
+        named = [key.split("\n", 1) for key in table.column("key").to_pylist()]
+        names = [pa.array([name[k] for name in named], pa.string()) for k in (1, 0)]
+        columns = [*names, *[table.column(name) for name in _NAMES[1:]]]
+        yield from pa.table(columns, names=["lang", "prefix", *_NAMES[1:]]).to_batches(max_chunksize=10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        now, held, size = None, [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch]).select(_NAMES)
-            table = table if held is None else pa.concat_tables([held, table])
-            if not table.num_rows:
-                continue
-            last = {name: table.column(name)[-1] for name in ("lang", "prefix", "slot")}
-            same = np.ones(table.num_rows, dtype=bool)
-            for name, value in last.items():
-                same &= pc.equal(table.column(name), value).to_numpy()
-            cut = int(np.argmax(same))
-            if cut:
-                yield from merged_rows(table.slice(0, cut), least).to_batches()
-            held = merged_rows(table.slice(cut))
-        if held is not None:
-            yield from merged_rows(held, least).to_batches()
+            for part, body in zip(batch.column("part").to_pylist(), batch.column("body")):
+                if part != now and held:
+                    yield from out(held)
+                    held, size = [], 0
+                now = part
+                held.append(pa.ipc.open_stream(body.as_buffer()).read_all())
+                size += held[-1].num_rows
+                if size > max(MERGE_ROWS, 2 * held[0].num_rows):
+                    held = [merged(pa.concat_tables(held))]
+                    size = held[0].num_rows
+        if held:
+            yield from out(held)
 
     return run
 
 
 def stripes(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST_COUNT, longest: int = LONGEST) -> DataFrame:
-    """``lang, prefix, slot, total, nexts, counts``: merged stripes with the next words found ``least`` times.
+    """``lang, prefix, total, nexts, counts``: merged stripes with the next words found ``least`` times.
 
-    Totals of a prefix add up over its slots. The empty prefix has the number of words of a language.
-    Prefixes that the filter shows to be rarer than ``least`` are absent.
+    A prefix has a row for each of its slots, whose totals and counters add up. The empty prefix has the
+    number of words of a language. Prefixes that the filter shows to be rarer than ``least`` are absent.
     """
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    known = texts.sparkSession.sparkContext.broadcast(frequent_filter(texts, least))
+    spark, bits = docs.sparkSession, part_bits(docs.sparkSession)
+    known = spark.sparkContext.broadcast(frequent_filter(texts, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _texts(batches):
-            yield from _stripes(words, known.value, longest)
+            yield _packed(words, known.value, longest, bits)
 
-    sent = texts.mapInArrow(run, STRIPE)
-    return sent.repartition("lang", "prefix", "slot").sortWithinPartitions("lang", "prefix", "slot").mapInArrow(_merge(least), STRIPE)
+    sent = texts.mapInArrow(run, _PACKED)
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(_merge(least), _STRIPE)
 
 
 def _cuts(words: Column, longest: int) -> Column:

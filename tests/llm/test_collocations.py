@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,7 @@ def texts(seed, count):
 @pytest.mark.parametrize("seed, least, best", [(1, 2, 2000), (2, 5, 2000), (3, 3, 7)])
 def test_equals_brute_force(spark, monkeypatch, seed, least, best):
     monkeypatch.setattr(C, "CHUNK", 1500)
+    monkeypatch.setattr(C, "MERGE_ROWS", 40)
     rows = list(texts(seed, 120)) + [("en", None), (None, ""), ("de", " \t "), ("en", "new york city hall " * 9), ("en", "new york city hall " * 9)]
     got = run(spark, rows, least, best=best)
     assert got == brute(rows, least, best) and len(got) > 10
@@ -82,12 +84,10 @@ def test_scores_beyond_64_bits(spark):
     assert frame.select(C._score(F.col("a"), F.col("p").cast("decimal(20,0)"))).first()[0] == 2_000_000 * a // parts
 
 
-def test_stripes_of_equal_keys_add_up(spark):
-    import pyarrow as pa
-
+def test_stripes_of_equal_keys_add_up():
     parts = pa.table({
-        "lang": ["en", "en", "en"], "prefix": ["a", "a", "b"], "slot": pa.array([0, 0, 0], pa.int32()), "total": [3, 2, 1],
-        "nexts": pa.array([["x", "y"], ["x"], []], pa.list_(pa.string())), "counts": pa.array([[1, 1], [2], []], pa.list_(pa.int64())),
+        "key": ["a\nen", "b\nen", "a\nen"], "total": [3, 1, 2],
+        "nexts": pa.array([["x", "y"], [], ["x"]], pa.list_(pa.string())), "counts": pa.array([[1, 1], [], [2]], pa.list_(pa.int64())),
     })
-    found = C.merged_rows(parts).to_pylist()
-    assert [(row["prefix"], row["total"], dict(zip(row["nexts"], row["counts"]))) for row in found] == [("a", 5, {"x": 3, "y": 1}), ("b", 1, {})]
+    found = C.merged(parts).to_pylist()
+    assert [(row["key"], row["total"], dict(zip(row["nexts"], row["counts"]))) for row in found] == [("a\nen", 5, {"x": 3, "y": 1}), ("b\nen", 1, {})]
