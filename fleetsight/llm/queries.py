@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.llm import (
-    bpe, chat, collocations, decontaminate, fill_middle, lm_scoring, quality, simhash, spotsigs, substring_dedup,
+    bpe, chat, collocations, cross_polytope, decontaminate, fill_middle, lm_scoring, quality, simhash, spotsigs, substring_dedup,
     url_filter, warc,
 )
 
@@ -69,6 +69,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+def op11_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, folder, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
@@ -92,8 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_quality_classifier, op2_spotsigs, op3_decontamination, op4_warc, op5_chat_rotation, op6_url_filter,
-        op7_lm_scoring, op8_bpe, op9_simhash, op10_substring_dedup, op12_collocations,
-        op13_fill_middle,
+        op7_lm_scoring, op8_bpe, op9_simhash, op10_substring_dedup, op11_cross_polytope,
+        op12_collocations, op13_fill_middle,
     )
 }
 
