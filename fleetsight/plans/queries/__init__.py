@@ -43,6 +43,7 @@ def collect() -> Queries:
         ingesting,
         merging,
         operations,
+        postings,
         reading,
         reporting,
         scoring,
@@ -53,6 +54,6 @@ def collect() -> Queries:
 
     modules = (
         statistics, functions, scoring, merging, alerting, searching, operations, reading, ingesting, changing,
-        reporting, streams,
+        reporting, streams, postings,
     )
     return Queries().merge(*[module.QUERIES for module in modules])
