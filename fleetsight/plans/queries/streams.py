@@ -10,8 +10,9 @@ from fleetsight.plans.queries import Queries
 from fleetsight.plans.queries.operations import JOBS_SQL, _STATES_SQL
 from fleetsight.plans.queries.sqltext import cte
 from fleetsight.session import scratch_folder
-from fleetsight.sources.tables import with_utc_times
+from fleetsight.sources.tables import load, with_utc_times
 from fleetsight.streaming import jobs as J
+from fleetsight.streaming import state
 
 QUERIES = Queries()
 
@@ -22,8 +23,8 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
     return with_utc_times(J.table_stream(spark, f"{folder}/events.parque[t]", columns))
 
 
-def _drain(stream: DataFrame, handle) -> None:
-    J.run_available(stream, scratch_folder(stream.sparkSession, "checkpoint"), handle).awaitTermination()
+def _drain(stream: DataFrame, handle, mode: str = "append") -> None:
+    J.run_available(stream, scratch_folder(stream.sparkSession, "checkpoint"), handle, mode).awaitTermination()
 
 
 @QUERIES.add("stream_intake_trend", "SELECT CAST(ts AS DATE) AS date, count(*) AS count FROM events GROUP BY 1")
@@ -48,16 +49,34 @@ def stream_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _arrivals(spark: SparkSession, folder: str, order, again=None) -> tuple[DataFrame, str]:
+    """The events in three files in a given order of arrival, some of them a second time in a fourth.
+
+    The stream takes one file a batch.
+    """
+    events, out = load(spark, folder, "events"), scratch_folder(spark, "arrivals")
+    for number in range(3):
+        events.filter(order == number).coalesce(1).write.mode("append").parquet(out)
+    if again is not None:
+        events.filter(again).coalesce(1).write.mode("append").parquet(out)
+    return J.table_stream(spark, out, events.schema, files_per_batch=1), out
+
+
+def _as_view(stream: DataFrame, name: str) -> DataFrame:
+    return stream.selectExpr(*[f"{expression} AS {column}" for column, expression in X.VIEWS[name][1].items()])
+
+
 @QUERIES.add(
     "stream_source_health",
-    JOBS_SQL + _STATES_SQL + "SELECT CAST(source_id AS STRING) AS source_id, cursor, consecutive_failures FROM states",
+    JOBS_SQL + _STATES_SQL + "SELECT source_id, cursor, status, last_run_us, consecutive_failures FROM states",
 )
 def stream_source_health(spark: SparkSession, folder: str) -> DataFrame:
-    columns = X.VIEWS["jobs"][1]
-    stream = _events(spark, folder).selectExpr(*[f"{expression} AS {name}" for name, expression in columns.items()])
-    health = J.SourceHealth(spark)
-    _drain(stream, health.handle)
-    return health.read().select("source_id", "cursor", "consecutive_failures")
+    """The newest runs arrive first, the oldest last, and every seventh comes again."""
+    tenth = F.floor(F.dayofmonth("ts") / 11)
+    stream, _ = _arrivals(spark, folder, 2 - F.least(tenth, F.lit(2)), F.col("event_id") % 7 == 0)
+    health = state.SourceHealth(spark)
+    _drain(state.source_health(_as_view(stream, "jobs")), health.handle, "update")
+    return health.states().select("source_id", "cursor", "status", F.unix_micros("last_run_at").alias("last_run_us"), "consecutive_failures")
 
 
 @QUERIES.add(
@@ -65,12 +84,12 @@ def stream_source_health(spark: SparkSession, folder: str) -> DataFrame:
     cte("alerts")
     + """
     , n AS (SELECT *, count(*) FILTER (risk_level IN ('high', 'critical')) OVER (PARTITION BY threat_intelligence_id ORDER BY triggered_at RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n FROM alerts)
-    SELECT id, 'vendor' AS scope, n AS match_count FROM n WHERE n >= 3""",
+    SELECT CAST(id AS VARCHAR) AS id, 'vendor' AS scope, epoch_us(triggered_at) AS time_us, n AS match_count FROM n WHERE n >= 3""",
 )
 def stream_bursts(spark: SparkSession, folder: str) -> DataFrame:
-    """Alert events as records whose vendor is the record they belong to."""
-    columns = X.VIEWS["alerts"][1]
-    stream = _events(spark, folder).selectExpr(*[f"{expression} AS {name}" for name, expression in columns.items()]).select(
+    """Alert events as records whose vendor is the record they belong to, in three batches that mix all days."""
+    stream, _ = _arrivals(spark, folder, F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    records = _as_view(stream, "alerts").select(
         "id",
         "risk_level",
         F.concat(F.lit("v"), F.col("threat_intelligence_id")).alias("affected_vendor"),
@@ -78,6 +97,6 @@ def stream_bursts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("attack_surface"),
         F.col("triggered_at").alias("first_seen_at"),
     )
-    detector = J.BurstDetector(spark, stream.schema)
-    _drain(stream, detector.handle)
-    return detector.read().select("id", "scope", "match_count")
+    detector = state.BurstDetector(spark)
+    _drain(state.burst_counts(records, "60 days"), detector.handle, "update")
+    return detector.bursts().select("id", "scope", F.unix_micros("first_seen_at").alias("time_us"), "match_count")

@@ -1,7 +1,7 @@
-"""Structured Streaming forms of the run: landing, de-duplication, merge, scores, alerts, trends, health.
+"""Structured Streaming forms of the run: landing, de-duplication, merge, scores, alerts, trends.
 
-State that has to be exact under a dominating key is not kept in one streaming group. Each
-micro-batch goes through the batch operators instead, which spread such keys.
+Merge, scores and alerts of a micro-batch go through the batch operators, which spread dominating keys;
+state by key is in :mod:`fleetsight.streaming.state`.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from fleetsight import schema
 from fleetsight.operators import alerts as A
 from fleetsight.operators import merge as M
 from fleetsight.operators import normalize as N
-from fleetsight.operators import ops as O
 from fleetsight.operators import score as S
 from fleetsight.session import checkpointed, prepare, scratch_folder
 from fleetsight.sources.tables import empty
@@ -37,10 +36,13 @@ def deduplicated(raw: DataFrame, delay: str = "7 days") -> DataFrame:
     return raw.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["raw_hash"])
 
 
-def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def run_available(
+    stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
+) -> StreamingQuery:
     """Process what has arrived and stop: the scheduled run."""
     return (
         stream.writeStream.foreachBatch(handle)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -100,12 +102,6 @@ class Pipeline:
         self.alerts.write(known.unionByName(fresh), batch_id)
 
 
-def intake_trend(stream: DataFrame, time: str, delay: str = "1 day") -> DataFrame:
-    """Rows per UTC day."""
-    timed = stream.withWatermark(time, delay)
-    return timed.groupBy(F.window(time, "1 day")).agg(F.count(F.lit(1)).alias("count"))
-
-
 class TrendTable:
     """Daily counts, added up per micro-batch; a repeated batch replaces its own counts."""
 
@@ -120,35 +116,3 @@ class TrendTable:
     def read(self) -> DataFrame:
         rows = self.spark.read.schema("date date, count long, batch int").parquet(self.folder)
         return rows.groupBy("date").agg(F.sum("count").alias("count"))
-
-
-class BurstDetector:
-    """Burst counts for the records of each micro-batch against everything seen so far."""
-
-    def __init__(self, spark: SparkSession, columns, folder: str | None = None) -> None:
-        self.spark, self.columns = spark, columns
-        folder = folder or scratch_folder(spark, "bursts")
-        self.seen, self.found = f"{folder}/seen", f"{folder}/found"
-
-    def handle(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.seen}/batch={batch_id}")
-        history = self.spark.read.schema(self.columns).parquet(self.seen)
-        mine = self.spark.read.schema(self.columns).parquet(f"{self.seen}/batch={batch_id}")
-        A.bursts(mine, history).write.mode("overwrite").parquet(f"{self.found}/batch={batch_id}")
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.found).drop("batch")
-
-
-class SourceHealth:
-    """Sync states advanced by the job rows of each micro-batch."""
-
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
-        self.states = VersionedTable(spark, folder or scratch_folder(spark, "health"), "sync_states")
-
-    def read(self) -> DataFrame:
-        return self.states.read()
-
-    def handle(self, jobs: DataFrame, batch_id: int) -> None:
-        named = jobs.withColumn("source_id", F.col("source_id").cast("string"))
-        self.states.write(O.advance_states(self.states.read(batch_id), named), batch_id)
