@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.url_filter import may_be_listed
 from fleetsight.session import checkpointed
 
 SHINGLE = 3
@@ -258,28 +257,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return marked.join(of_code, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component; of equal ids the smallest text.
-
-    ``found`` has ``doc_id, component_id`` of all rows; without it those of ``near_duplicates`` are taken. Rows without an id have no component of their own to stand for and stay. Columns are as they came.
-    """
-    found = (near_duplicates(docs) if found is None else found).filter("doc_id IS NOT NULL")
-    found = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    # Only ids that go or repeat are written, the smaller side. A document that the Bloom filter of these ids
-    # lets through stays without a shuffle of its text; the others are joined exactly.
-    found = checkpointed(found.filter("doc_id <> c OR n > 1"))
-    dropped = found.select(F.col("doc_id").alias("dropped_id"))
-    wrapped = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    probed = may_be_listed(wrapped, "key", dropped, "dropped_id", FILTER_BLOCKS)
-    unsure = probed.filter("possible").join(dropped, F.col("key") == F.col("dropped_id"), "left_anti")
-    kept = probed.filter("NOT possible").select("row.*").unionByName(unsure.select("row.*"))
-    repeated = found.filter("doc_id = c").select(F.col("doc_id").alias("kept_id"))
-    if not repeated.isEmpty():
-        rows = docs.join(repeated, docs.doc_id == repeated.kept_id, "left_semi")
-        row = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
-        least = rows.groupBy("doc_id").agg(F.min(row).alias("row"))
-        whole = [F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns]
-        kept = kept.unionByName(least.select(*whole))
-    return kept

@@ -109,3 +109,44 @@ def test_batches_are_bounded_with_an_outlier_and_with_hot_ids(spark, monkeypatch
         kept = " ".join(word for word, out in zip(words, gone) if not out)
         want[(number, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
     assert Counter(map(tuple, substring_dedup.remove_repeats(docs).collect())) == want
+
+
+def test_pages_of_one_template_lose_no_link(spark):
+    """150 pairs, over 0.8 alike within a pair and under it across: all in the same large buckets."""
+    rnd = random.Random(31)
+    line = lambda n: [f"w{rnd.randrange(100_000)}" for _ in range(n)]
+    template, rows = line(504), []
+    for pair in range(150):
+        own = line(58)
+        for member in range(2):
+            rows.append((2 * pair + member, " ".join(template + own + line(6))))
+    sets = [brute_set(text) for _, text in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 1) >= 0.8 > alike(0, 2) > 0.77
+    # A group of copies among them, large and near, one of its members by a second step only.
+    copies = template + line(300)
+    rows += [(1000 + k, " ".join(copies[: 790 + k % 9] + line(2))) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.components(docs).collect()}
+    assert all(got[2 * pair] == got[2 * pair + 1] == 2 * pair for pair in range(150))
+    assert {got[1000 + k] for k in range(90)} == {1000}
+    kept = sorted(r.doc_id for r in near_copies.keep_one(docs).collect())
+    assert kept == [2 * pair for pair in range(150)] + [1000]
+
+
+def test_prefix_pairs_hold_every_pair_that_is_alike(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    base, rows = rng.integers(0, 1 << 40, 60), []
+    for bits in range(80):
+        keep = rng.random(60) < rng.choice([0.85, 0.95, 1.0])
+        rows.append((bits, bits % 40, np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 40, rng.integers(0, 12))]))))
+    sets = spark.createDataFrame([(b, p, bytearray(found.astype("<i8").tobytes())) for b, p, found in rows], "bits long, part long, body binary")
+    got = {(r.a, r.b) for r in near_copies.prefix_pairs(sets).collect()}
+    for a, part, one in rows:
+        for b, other_part, other in rows[a + 1 :]:
+            both = np.intersect1d(one, other).size
+            if part != other_part and both / (one.size + other.size - both) >= 0.8:
+                assert (a, b) in got
+    assert all(a < b and rows[a][1] != rows[b][1] for a, b in got)
