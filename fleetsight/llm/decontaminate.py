@@ -6,7 +6,9 @@ shorter one, are surely found, however they lie in it. A segment of ``m``
 characters that lies in a text with at most ``e`` edits shares at least ``m - q + 1 - q * e`` of its
 character q-grams with it, and they lie within ``e`` diagonals. So: text places whose window holds too few
 benchmark q-grams are skipped; for the others the hits are looked up and counted in overlapping diagonal
-bands of ``2 e`` diagonals, ``e`` apart; bands that reach the bound are aligned, within the band only.
+bands of ``2 e`` diagonals, ``e`` apart; bands that reach the bound are aligned, within the band only. Segments that several items share are one, and
+a stretch that a text repeats is looked at once; index entries are taken a slice at a time, so that memory
+does not grow with a line that many items begin with.
 
 Texts and items are compared in lower case with white space runs as one blank. Segments are handled in
 blocks of ``SEGMENTS_AT_ONCE``, each a pass over the documents, so a large benchmark needs no large
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetsight.llm.flat import mix
+
 Q = 8
 SEGMENT = 160
 STEP = 80
@@ -39,6 +43,9 @@ SEGMENTS_AT_ONCE = 20_000
 CHARS_AT_ONCE = 1 << 20
 TABLE_BITS = 22
 ALIGNED_AT_ONCE = 512
+# Index entries that are looked at together, and bits of a place within a segment.
+ENTRIES = 1 << 20
+PLACE_BITS = 8
 # Stands between texts; no q-gram of a segment holds it.
 _GAP = "￿"
 _GAP_CODE = ord(_GAP)
@@ -94,12 +101,31 @@ def passages(items: Sequence[tuple[int, str]]) -> list[tuple[int, str]]:
     return out
 
 
+def first_places(hashes: np.ndarray, hit: np.ndarray, text: np.ndarray, reach: int) -> np.ndarray:
+    """Which hits are the first of their text between q-grams that are the same ``reach`` far on both sides.
+
+    What such a place can begin or end is found at the first one, with as few edits and further to the front.
+    """
+    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(hashes.size, _DOUBLE[1])]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
+    low, high = np.maximum(hit - reach, 0), np.minimum(hit + reach + 1, hashes.size)
+    around = (total[high] - total[low]) * power[hashes.size - low]
+    # At the edges of what is searched, places differ by what is cut off.
+    around ^= mix(mix(text.astype(np.uint64)) + ((hit - low) * (2 * reach + 2) + high - hit).astype(np.uint64))
+    first = np.zeros(hit.size, dtype=bool)
+    first[np.unique(around, return_index=True)[1]] = True
+    return first
+
+
 class Patterns:
-    """Segments of about equal length with their q-gram index."""
+    """Segments of about equal length with their q-gram index; equal segments of several items are one."""
 
     def __init__(self, pieces: list[tuple[int, str]]) -> None:
-        self.items = np.array([item for item, _ in pieces], dtype=np.int64)
-        self.codes = [letters(piece) for _, piece in pieces]
+        owners: dict[str, list[int]] = {}
+        for item, piece in pieces:
+            owners.setdefault(piece, []).append(item)
+        self.items = list(owners.values())
+        self.codes = [letters(piece) for piece in owners]
         self.sizes = np.array([codes.size for codes in self.codes])
         self.edits = np.array([budget(size) for size in self.sizes])
         self.bound = self.sizes - Q + 1 - Q * self.edits
@@ -113,10 +139,10 @@ class Patterns:
         self.window = int((self.sizes - Q + 1 + self.edits).max())
         self.least = int(self.bound.min())
 
-    def matches(self, text: np.ndarray, hashes: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: np.ndarray, hashes: np.ndarray, hit: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(segment, edits, start, end) of the best alignment per segment and band; ``hit``: likely q-grams."""
         if hit.size < self.least:
-            return []
+            return
         # A hit counts if some window of the text with enough hits covers it.
         reach = np.searchsorted(hit, hit + self.window) - np.arange(hit.size)
         edge = np.zeros(hit.size + 1, dtype=np.int64)
@@ -124,32 +150,39 @@ class Patterns:
         np.add.at(edge, dense, 1)
         np.add.at(edge, dense + reach[dense], -1)
         hit = hit[np.cumsum(edge[:-1]) > 0]
+        hit = hit[first_places(hashes, hit, np.searchsorted(ends, hit, side="right"), self.window)]
         low, high = np.searchsorted(self.hashes, hashes[hit], "left"), np.searchsorted(self.hashes, hashes[hit], "right")
+        found = np.cumsum(high - low)
+        at = 0
+        # A slice has ENTRIES index entries, and those of the window behind it.
+        while at < hit.size:
+            before = found[at - 1] if at else 0
+            core = max(at + 1, int(np.searchsorted(found, before + ENTRIES, "right")))
+            end = int(np.searchsorted(hit, hit[core - 1] + self.window, "right")) if core < hit.size else core
+            yield from self._aligned(text, hit[at:end], low[at:end], high[at:end])
+            at = core
+
+    def _aligned(self, text: np.ndarray, hit: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         counts = high - low
         if not counts.sum():
-            return []
+            return
         entry = np.arange(int(counts.sum())) + np.repeat(low - (np.cumsum(counts) - counts), counts)
-        owner = self.owner[entry]
-        diagonal = np.repeat(hit, counts) - self.place[entry] + SEGMENT
-        step = np.maximum(self.edits[owner], 1)
+        owner, gram = self.owner[entry], self.place[entry]
         # Each diagonal lies in two bands; a q-gram of the segment counts once in a band.
-        bands = np.concatenate([diagonal // step, diagonal // step - 1])
-        owner, gram = np.tile(owner, 2), np.tile(self.place[entry], 2)
-        order = np.lexsort((gram, bands, owner))
-        owner, bands, gram = owner[order], bands[order], gram[order]
-        fresh = np.ones(owner.size, dtype=bool)
-        fresh[1:] = (owner[1:] != owner[:-1]) | (bands[1:] != bands[:-1]) | (gram[1:] != gram[:-1])
-        owner, bands = owner[fresh], bands[fresh]
-        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (bands[1:] != bands[:-1])))
-        enough = np.diff(np.append(new, owner.size)) >= self.bound[owner[new]]
-        which, band = owner[new][enough], bands[new][enough]
-        out = []
+        band = (np.repeat(hit, counts) - gram + SEGMENT) // np.maximum(self.edits[owner], 1)
+        width = int(band.max()) + 2
+        key = ((owner * width + band + 1) << PLACE_BITS) | gram
+        key = np.sort(np.concatenate([key, key - (1 << PLACE_BITS)]))
+        key = key[np.diff(key, prepend=-1) != 0] >> PLACE_BITS
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        which, band = np.divmod(key[new], width)
+        enough = np.diff(np.append(new, key.size)) >= self.bound[which]
+        which, band = which[enough], band[enough] - 1
         for at in range(0, which.size, ALIGNED_AT_ONCE):
             some, edits = which[at : at + ALIGNED_AT_ONCE], self.edits[which[at : at + ALIGNED_AT_ONCE]]
             first = band[at : at + ALIGNED_AT_ONCE] * np.maximum(edits, 1) - SEGMENT
             places = banded([self.codes[k] for k in some.tolist()], text, first, edits)
-            out.extend((k, *found) for k, found in zip(some.tolist(), places) if found is not None)
-        return out
+            yield from ((k, *found) for k, found in zip(some.tolist(), places) if found is not None)
 
 
 def banded(
@@ -211,15 +244,16 @@ class Index:
         for bit, patterns in enumerate(self.classes):
             self.table[np.unique(patterns.hashes >> np.uint64(64 - TABLE_BITS))] |= np.uint8(1 << bit)
 
-    def matches(self, text: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, edits, start, end) per segment and band that reach the bound."""
+    def matches(self, text: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, edits, start, end) per segment and band that reach the bound; texts end before ``ends``."""
         hashes = gram_hashes(text)
         bits = self.table[(hashes >> np.uint64(64 - TABLE_BITS)).view(np.int64)]
         hit = np.flatnonzero(bits)
         bits = bits[hit]
         for bit, patterns in enumerate(self.classes):
-            for which, *found in patterns.matches(text, hashes, hit[bits & (1 << bit) != 0]):
-                yield (int(patterns.items[which]), *found)
+            for which, *found in patterns.matches(text, hashes, hit[bits & (1 << bit) != 0], ends):
+                for item in patterns.items[which]:
+                    yield (item, *found)
 
 
 def _chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -239,7 +273,7 @@ def find(texts: Sequence[str | None], index: Index) -> Iterator[tuple[int, int,
     for first, part in _chunks(texts):
         ends = np.cumsum([len(text) + 1 for text in part])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for item, edits, start, end in index.matches(letters(_GAP.join(part) + _GAP)):
+        for item, edits, start, end in index.matches(letters(_GAP.join(part) + _GAP), ends):
             number = int(np.searchsorted(ends, start, side="right"))
             begin = int(ends[number]) - len(part[number]) - 1
             key, found = (first + number, item), (edits, start - begin, end - begin)

@@ -150,3 +150,35 @@ def test_prefix_pairs_hold_every_pair_that_is_alike(spark):
             if part != other_part and both / (one.size + other.size - both) >= 0.8:
                 assert (a, b) in got
     assert all(a < b and rows[a][1] != rows[b][1] for a, b in got)
+
+
+def test_a_line_that_many_items_share_and_a_text_repeats(spark):
+    """Items begin with one line; texts hold it once, often, changed, or beside an item of its own."""
+    rnd = random.Random(41)
+    word = lambda: "".join(rnd.choices("etaoinshr", k=6))
+    line = "answer the following question and choose the one best option that is given below"
+    items = [(k, line + " " + " ".join(word() for _ in range(12))) for k in range(60)]
+    near = line.replace("best", "bost")
+    docs = [(1, " ".join([line] * 120)), (2, " ".join([near] * 120)), (3, " ".join(word() for _ in range(80))), (4, "start " + items[7][1] + " end " + line), (5, None)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    found = decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    got = {(r.doc_id, r.item_id): (r.edits, r.start_char) for r in found}
+    assert all(got[1, k] == (0, 0) and got[2, k][0] == 1 for k in range(60))
+    assert all(got[4, k][0] == 0 for k in range(60)) and got[4, 7][1] == 6
+    assert {doc for doc, _ in got} == {1, 2, 4}
+
+
+def test_several_blocks_of_the_benchmark_give_what_one_gives(spark, monkeypatch):
+    rnd = random.Random(43)
+    words = lambda n: " ".join("".join(rnd.choices("etaoinshr", k=5)) for _ in range(n))
+    items = [(k, words(40)) for k in range(30)]
+    docs = [(k, words(20) + " " + items[k][1][30:150] + " " + words(20)) for k in range(0, 30, 3)] + [(100, words(60)), (101, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted(tuple(r) for r in decontaminate.contaminated(table, benchmark).collect())
+    kept = sorted(r.doc_id for r in decontaminate.drop_contaminated(table, benchmark).collect())
+    monkeypatch.setattr(decontaminate, "SEGMENTS_AT_ONCE", 100)
+    assert sorted(tuple(r) for r in decontaminate.contaminated(table, benchmark).collect()) == whole
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(table, benchmark).collect()) == kept == [100, 101]
+    assert [row[:2] for row in whole] == [(k, k) for k in range(0, 30, 3)]
+    assert decontaminate.contaminated(table.limit(0), benchmark).count() == 0
