@@ -139,9 +139,9 @@ def test_prefix_pairs_hold_every_pair_that_is_alike(spark):
 
     rng = np.random.default_rng(7)
     base, rows = rng.integers(0, 1 << 40, 60), []
-    for bits in range(80):
+    for bits in range(30):
         keep = rng.random(60) < rng.choice([0.85, 0.95, 1.0])
-        rows.append((bits, bits % 40, np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 40, rng.integers(0, 12))]))))
+        rows.append((bits, bits % 20, np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 40, rng.integers(0, 12))]))))
     sets = spark.createDataFrame([(b, p, bytearray(found.astype("<i8").tobytes())) for b, p, found in rows], "bits long, part long, body binary")
     got = {(r.a, r.b) for r in near_copies.prefix_pairs(sets).collect()}
     for a, part, one in rows:
@@ -152,6 +152,16 @@ def test_prefix_pairs_hold_every_pair_that_is_alike(spark):
     assert all(a < b and rows[a][1] != rows[b][1] for a, b in got)
 
 
+def test_pairs_of_a_large_group_grow_with_its_members(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 40, 200)
+    rows = [(bits, bits, bytearray(np.unique(np.concatenate([base[rng.random(200) < 0.9], rng.integers(0, 1 << 40, 4)])).astype("<i8").tobytes())) for bits in range(600)]
+    sets = spark.createDataFrame(rows, "bits long, part long, body binary")
+    assert near_copies.prefix_pairs(sets).count() < 40 * len(rows)
+
+
 def test_a_line_that_many_items_share_and_a_text_repeats(spark):
     """Items begin with one line; texts hold it once, often, changed, or beside an item of its own."""
     rnd = random.Random(41)
