@@ -35,7 +35,7 @@ from fleetsight.session import checkpointed
 
 ORDER = 5
 SMOOTHING = 4.0
-CHUNK = 1 << 22
+CHUNK = 3 << 20
 BYTES = 256
 TARGET = -1
 
