@@ -35,7 +35,7 @@ from fleetsight.session import checkpointed
 
 ORDER = 5
 SMOOTHING = 4.0
-CHUNK = 3 << 20
+CHUNK = 1 << 21
 BYTES = 256
 TARGET = -1
 
@@ -46,12 +46,15 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     A text is preceded by four zero bytes, which only serve as context.
     """
     pad = b"\0" * (ORDER - 1)
-    data = np.frombuffer(b"".join(pad + text for text in texts), np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(pad + text for text in texts), np.uint8)
     sizes = np.array([len(text) for text in texts], dtype=np.int64)
     if data.size < ORDER:
         return np.zeros(0, np.int64), sizes
-    two = (data[:-1] << 8) | data[1:]
-    five = (((two[:-2] << 16) | two[2:])[:-1] << 8) | data[ORDER - 1 :]
+    count = data.size - ORDER + 1
+    five = data[:count].astype(np.int64)
+    for k in range(1, ORDER):
+        five <<= 8
+        five |= data[k : k + count]
     own = np.ones(five.size, dtype=bool)
     starts = np.cumsum(sizes + ORDER - 1)[:-1]  # where the zero bytes of the next text begin
     for k in range(ORDER - 1):
