@@ -162,6 +162,63 @@ def test_pairs_of_a_large_group_grow_with_its_members(spark):
     assert near_copies.prefix_pairs(sets).count() < 40 * len(rows)
 
 
+def test_no_link_of_a_large_group_is_lost(spark):
+    """Sets around one base, whose shared shingles are frequent, each in a part of its own or a few large parts."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    base, rows = rng.integers(0, 1 << 40, 120), []
+    for bits in range(300):
+        kept = base[rng.random(120) < rng.choice([0.84, 0.9, 0.97])]
+        rows.append((bits, bits % 7 if bits % 3 else bits, np.unique(np.concatenate([kept, rng.integers(0, 1 << 40, rng.integers(0, 9))]))))
+    sets = spark.createDataFrame([(b, p, bytearray(found.astype("<i8").tobytes())) for b, p, found in rows], "bits long, part long, body binary")
+    rare = near_copies.rare_shingles(sets)
+    alike = set()
+    for a, part, one in rows:
+        for b, other_part, other in rows[a + 1 :]:
+            both = np.intersect1d(one, other).size
+            if part != other_part and both / (one.size + other.size - both) >= 0.8:
+                alike.add((a, b))
+    got = [(r.a, r.b) for r in near_copies.remaining_pairs(rare).collect()]
+    assert len(alike) > 1000 and alike <= set(got) and len(got) == len(set(got))
+    assert all(a < b and rows[a][1] != rows[b][1] for a, b in got)
+    assert not alike <= {(r.a, r.b) for r in near_copies.first_pairs(rare).collect()}
+    # The same where a shingle's members are dealt over several blocks.
+    before, near_copies.BLOCK = near_copies.BLOCK, 20
+    try:
+        assert {(r.a, r.b) for r in near_copies.remaining_pairs(rare).collect()} == set(got)
+    finally:
+        near_copies.BLOCK = before
+
+
+def test_components_of_a_page_family_equal_brute_force(spark):
+    """Pages of one stem with sections left out: links run through members that no star stands for."""
+    rnd = random.Random(29)
+    sections = [" ".join("".join(rnd.choices("etaoinshr", k=6)) for _ in range(14)) for _ in range(24)]
+    texts = sorted({" ".join(s for s in sections if rnd.random() > 0.16) for _ in range(160)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    sets, root = [shingles(text) for text in texts], list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    got = {r.doc_id: r.component_id for r in near_copies.components(docs).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+    assert 1 < len(set(got.values())) < len(texts)
+
+
 def test_a_line_that_many_items_share_and_a_text_repeats(spark):
     """Items begin with one line; texts hold it once, often, changed, or beside an item of its own."""
     rnd = random.Random(41)
