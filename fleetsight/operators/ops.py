@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsight import constants as K
@@ -13,6 +13,8 @@ from fleetsight.functions.urls import safe_url
 from fleetsight.operators.score import unscored
 from fleetsight.sources.envelope import string_map
 
+HOUR_MICROS = 3_600_000_000
+
 
 # --- job filters ------------------------------------------------------------
 def retried(expected: bool = True) -> Column:
@@ -112,56 +114,69 @@ def _run_order() -> Column:
     return F.struct(_micros("finished_at").alias("finished"), F.col("id"))
 
 
-def sync_states(jobs: DataFrame) -> DataFrame:
-    """State per source after all its runs: failures since the last success, cursor, last run.
+def _run_summaries(jobs: DataFrame) -> DataFrame:
+    """``source_id, cursor, status, last_run_at, failures, any_success`` of all runs of a source.
 
-    A success resets the counter, a failure adds one, a skipped run changes neither counter
-    nor cursor. No window is needed: the last success is a maximum, and what failed after it
-    is counted. The second pass reads failures only.
+    Runs are summed up by source and hour, and the hours of a source in their order: what a stretch of runs
+    leaves behind is whether it had a success and the failures after its last one. Runs are read once and are
+    not joined back, and no group holds more than the runs of an hour or the hours of a source.
     """
-    runs = with_job_facts(jobs.filter(F.col("source_id").isNotNull())).withColumns(
-        {"ord": _run_order(), "next_cursor": job_text("metadata", "next_cursor")}
+    runs = with_job_facts(jobs.filter(F.col("source_id").isNotNull())).select(
+        "source_id",
+        F.floor(_micros("finished_at") / HOUR_MICROS).alias("hour"),
+        _run_order().alias("ord"),
+        "finished_at",
+        F.coalesce(F.col("run_status") == "success", F.lit(False)).alias("succeeded"),
+        F.coalesce(F.col("run_status") == "failed", F.lit(False)).alias("failed"),
+        job_text("metadata", "next_cursor").alias("next_cursor"),
     )
-    succeeded, failed = F.col("run_status") == "success", F.col("run_status") == "failed"
-    state = runs.groupBy("source_id").agg(
-        F.max(F.when(succeeded, F.col("ord"))).alias("last_success"),
-        F.max_by("next_cursor", F.when(succeeded & F.col("next_cursor").isNotNull(), F.col("ord"))).alias("cursor"),
-        F.max_by(F.when(failed, F.lit("failed")).otherwise(F.lit("success")), "ord").alias("status"),
-        F.max("finished_at").alias("last_run_at"),
+    onwards = Window.partitionBy("source_id", "hour").orderBy(F.desc("ord"))
+    hours = (
+        runs.withColumn("ended", F.max("succeeded").over(onwards))
+        .groupBy("source_id", "hour")
+        .agg(
+            F.count_if(F.col("failed") & ~F.col("ended")).alias("failures"),
+            F.max("succeeded").alias("any_success"),
+            F.max_by("next_cursor", F.when(F.col("succeeded") & F.col("next_cursor").isNotNull(), F.col("ord"))).alias("cursor"),
+            F.max_by(F.when(F.col("failed"), F.lit("failed")).otherwise(F.lit("success")), "ord").alias("status"),
+            F.max("finished_at").alias("last_run_at"),
+        )
     )
-    since_success = (
-        runs.filter(failed)
-        .select("source_id", "ord")
-        .join(state.select("source_id", "last_success"), "source_id")
-        .filter(F.col("last_success").isNull() | (F.col("ord") > F.col("last_success")))
+    later = Window.partitionBy("source_id").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        hours.withColumn("ended", F.coalesce(F.max("any_success").over(later), F.lit(False)))
         .groupBy("source_id")
-        .agg(F.count(F.lit(1)).alias("failures"))
+        .agg(
+            F.max_by("cursor", F.when(F.col("cursor").isNotNull(), F.col("hour"))).alias("cursor"),
+            F.max_by("status", "hour").alias("status"),
+            F.max("last_run_at").alias("last_run_at"),
+            F.sum(F.when(F.col("ended"), F.lit(0)).otherwise(F.col("failures"))).alias("failures"),
+            F.max("any_success").alias("any_success"),
+        )
     )
-    return state.join(since_success, "source_id", "left").select(
-        "source_id", "cursor", "status", "last_run_at", F.coalesce("failures", F.lit(0)).alias("consecutive_failures")
+
+
+def sync_states(jobs: DataFrame) -> DataFrame:
+    """State per source after all its runs: failures since the last success, cursor, last run.
+
+    A success resets the counter, a failure adds one, a skipped run changes neither counter nor cursor.
+    """
+    return _run_summaries(jobs).select(
+        "source_id", "cursor", "status", "last_run_at", F.col("failures").alias("consecutive_failures")
     )
 
 
 def advance_states(states: DataFrame, jobs: DataFrame) -> DataFrame:
     """States after further runs: the incremental form of :func:`sync_states`."""
-    fresh = sync_states(jobs).withColumnsRenamed(
-        {name: f"new_{name}" for name in ("cursor", "status", "last_run_at", "consecutive_failures")}
-    )
-    reset = (
-        with_job_facts(jobs)
-        .filter(F.col("run_status") == "success")
-        .select("source_id")
-        .distinct()
-        .withColumn("was_reset", F.lit(True))
-    )
-    joined = states.join(fresh, "source_id", "full_outer").join(reset, "source_id", "left")
-    carried = F.when(F.col("was_reset"), F.lit(0)).otherwise(F.coalesce("consecutive_failures", F.lit(0)))
+    fresh = _run_summaries(jobs).withColumnsRenamed({name: f"new_{name}" for name in ("cursor", "status", "last_run_at")})
+    joined = states.join(fresh, "source_id", "full_outer")
+    carried = F.when(F.col("any_success"), F.lit(0)).otherwise(F.coalesce("consecutive_failures", F.lit(0)))
     return joined.select(
         "source_id",
         F.coalesce("new_cursor", "cursor").alias("cursor"),
         F.coalesce("new_status", "status").alias("status"),
         F.greatest("new_last_run_at", "last_run_at").alias("last_run_at"),
-        (carried + F.coalesce("new_consecutive_failures", F.lit(0))).alias("consecutive_failures"),
+        (carried + F.coalesce("failures", F.lit(0))).alias("consecutive_failures"),
     )
 
 

@@ -12,6 +12,8 @@ from fleetsight.plans import fixtures as X
 from fleetsight.plans.queries import Queries
 from fleetsight.plans.queries.functions import _hint_sql
 from fleetsight.plans.queries.sqltext import any_term, cte, normalized, squeeze
+from fleetsight.session import scratch_folder
+from fleetsight.sources.buckets import BucketTable
 
 QUERIES = Queries()
 
@@ -198,21 +200,26 @@ def merged_values(spark: SparkSession, folder: str) -> DataFrame:
     return M.record_values(rows).select("dedup_key", "kind", "name", "value", (-first_doc).alias("first_order"))
 
 
-@QUERIES.add(
-    "merged_records",
-    NORMALIZED_SQL
-    + """
+def records_sql(good: str) -> str:
+    """The merged records of the normalised rows in ``good``."""
+    return f"""
     , firsts AS (SELECT dedup_key, kind, value, max(doc_id) AS doc, min(spot) AS spot FROM (
-        SELECT dedup_key, doc_id, 'name' AS kind, source_name AS value, 0 AS spot FROM good UNION ALL SELECT dedup_key, doc_id, 'url', url, 0 FROM good
-        UNION ALL SELECT dedup_key, doc_id, 'tag', unnest(tags), unnest(generate_series(1, len(tags))) FROM good) GROUP BY dedup_key, kind, value),
-    spots AS (SELECT f.dedup_key, f.kind, f.value, f.doc, CASE WHEN f.kind = 'tag' THEN list_position(g.tags, f.value) ELSE 0 END AS spot FROM firsts f JOIN good g ON g.doc_id = f.doc),
+        SELECT dedup_key, doc_id, 'name' AS kind, source_name AS value, 0 AS spot FROM {good} UNION ALL SELECT dedup_key, doc_id, 'url', url, 0 FROM {good}
+        UNION ALL SELECT dedup_key, doc_id, 'tag', unnest(tags), unnest(generate_series(1, len(tags))) FROM {good}) GROUP BY dedup_key, kind, value),
+    spots AS (SELECT f.dedup_key, f.kind, f.value, f.doc, CASE WHEN f.kind = 'tag' THEN list_position(g.tags, f.value) ELSE 0 END AS spot FROM firsts f JOIN {good} g ON g.doc_id = f.doc),
     lists AS (SELECT dedup_key, string_agg(value, '|' ORDER BY doc DESC) FILTER (kind = 'name') AS names, string_agg(value, '|' ORDER BY doc DESC) FILTER (kind = 'url') AS urls,
         string_agg(value, '|' ORDER BY doc DESC, spot) FILTER (kind = 'tag') AS tag_text FROM spots GROUP BY dedup_key),
-    sizes AS (SELECT dedup_key, count(*) AS n, least(count(*) - 1, 20) AS n_sightings FROM good GROUP BY dedup_key)
-    SELECT sha256('record:' || l.dedup_key) AS id, l.dedup_key, names, urls, tag_text, n_sightings FROM lists l JOIN sizes s ON s.dedup_key = l.dedup_key""",
-)
+    sizes AS (SELECT dedup_key, count(*) AS n, least(count(*) - 1, 20) AS n_sightings FROM {good} GROUP BY dedup_key)
+    SELECT sha256('record:' || l.dedup_key) AS id, l.dedup_key, names, urls, tag_text, n_sightings FROM lists l JOIN sizes s ON s.dedup_key = l.dedup_key"""
+
+
+@QUERIES.add("merged_records", NORMALIZED_SQL + records_sql("good"))
 def merged_records(spark: SparkSession, folder: str) -> DataFrame:
-    merged = M.merge_records(_good(spark, folder))
+    return record_rows(M.merge_records(_good(spark, folder)))
+
+
+def record_rows(merged: DataFrame) -> DataFrame:
+    """Records as the check compares them."""
     sightings = F.from_json(F.try_element_at("metadata", F.lit("sightings")), "array<string>")
     return merged.select(
         "id",
@@ -258,3 +265,37 @@ def attributions(spark: SparkSession, folder: str) -> DataFrame:
         "external_id",
         F.unix_micros("last_seen_at").alias("last_us"),
     )
+
+
+_LINK_SQL = """
+    SELECT sha256('record:' || dedup_key) AS threat_intelligence_id, url AS source_url, epoch_us(min(first_at)) AS first_us, arg_max(source_name, ({order})) AS source_name,
+        arg_max(external_id, ({order})) AS external_id, epoch_us(arg_max(fetched_at, ({order}))) AS last_us FROM {good} GROUP BY dedup_key, url"""
+
+
+def links_sql(good: str, order: str) -> str:
+    """Links of the rows in ``good``, with the other fields of the row that is last by ``order``."""
+    return _LINK_SQL.format(good=good, order=order)
+
+
+def link_columns(links: DataFrame) -> DataFrame:
+    return links.select(
+        "threat_intelligence_id",
+        "source_url",
+        F.unix_micros("first_seen_at").alias("first_us"),
+        "source_name",
+        "external_id",
+        F.unix_micros("last_seen_at").alias("last_us"),
+    )
+
+
+@QUERIES.add("upsert_links", NORMALIZED_SQL + links_sql("good", "CASE WHEN language = 'en' THEN 1 ELSE 0 END, -doc_id"))
+def upsert_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of the English documents put into the buckets of a table that holds those of the other languages."""
+    raw = X.raw(spark, folder)
+    language = raw.select(F.col("id").alias("raw_intelligence_id"), "language")
+    rows = N.normalize_stage(raw)[0].join(language, "raw_intelligence_id")
+    table = BucketTable(spark, scratch_folder(spark, "tables"), "threat_intelligence_sources")
+    for number, english in enumerate((False, True)):
+        batch = M.link_rows(rows.filter((F.col("language") == "en") == english))
+        table.upsert(batch.select(M.link_id().alias("id")), lambda known, batch=batch: M.add_links(known, batch), str(number))
+    return link_columns(table.read())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetsight.plans import fixtures as X
 from fleetsight.plans.queries import Queries
+from fleetsight.plans.queries.merging import NORMALIZED_SQL, link_columns, links_sql, record_rows, records_sql
 from fleetsight.plans.queries.operations import JOBS_SQL, _STATES_SQL
 from fleetsight.plans.queries.sqltext import cte
 from fleetsight.session import scratch_folder
@@ -62,6 +63,43 @@ def _arrivals(spark: SparkSession, folder: str, order, again=None) -> tuple[Data
     return J.table_stream(spark, out, events.schema, files_per_batch=1), out
 
 
+_PENDING_SQL = (
+    NORMALIZED_SQL
+    + """
+    , ends AS (SELECT min(epoch(fetched_at)) AS low, max(epoch(fetched_at)) AS high FROM normal),
+    sent AS (SELECT g.*, floor((high - epoch(fetched_at)) * 3 / (high - low + 1)) AS batch FROM good g, ends WHERE processing_status IN ('pending', 'collected'))"""
+)
+
+
+def _piped(spark: SparkSession, folder: str) -> J.Pipeline:
+    """All raw rows through the run in three micro-batches, the newest first, as the fold order of one batch has them.
+
+    Rows of a failed status and rows that do not normalise are among them.
+    """
+    raw, out = X.raw(spark, folder), scratch_folder(spark, "landed")
+    low, high = raw.agg(F.min("fetched_at").cast("long"), F.max("fetched_at").cast("long")).first()
+    part = F.floor((F.lit(high) - F.col("fetched_at").cast("long")) * 3 / (high - low + 1)) if high is not None else F.lit(0)
+    raw = raw.withColumn("part", part)
+    for number in range(3):
+        raw.filter(F.col("part") == number).drop("part").write.mode("append").parquet(f"{out}/in-{number}")
+    run = J.Pipeline(spark, scratch_folder(spark, "tables"), F.lit("2024-03-01").cast("timestamp"))
+    checkpoint = scratch_folder(spark, "checkpoint")
+    for number in range(3):
+        stream = J.table_stream(spark, f"{out}/in-[0-{number}]", raw.drop("part").schema)
+        J.run_available(stream, checkpoint, run.handle).awaitTermination()
+    return run
+
+
+@QUERIES.add("stream_pipeline_records", _PENDING_SQL + records_sql("sent"))
+def stream_pipeline_records(spark: SparkSession, folder: str) -> DataFrame:
+    return record_rows(_piped(spark, folder).records.read())
+
+
+@QUERIES.add("stream_pipeline_links", _PENDING_SQL + links_sql("sent", "batch, -doc_id"))
+def stream_pipeline_links(spark: SparkSession, folder: str) -> DataFrame:
+    return link_columns(_piped(spark, folder).links.read())
+
+
 def _as_view(stream: DataFrame, name: str) -> DataFrame:
     return stream.selectExpr(*[f"{expression} AS {column}" for column, expression in X.VIEWS[name][1].items()])
 

@@ -18,7 +18,7 @@ from fleetsight.operators import merge as M
 from fleetsight.operators import normalize as N
 from fleetsight.operators import score as S
 from fleetsight.session import checkpointed, prepare, scratch_folder
-from fleetsight.sources.tables import empty
+from fleetsight.sources.buckets import BUCKETS, BucketTable
 
 
 def landing_stream(spark: SparkSession, folder: str, columns: str = schema.RAW, files_per_batch: int = 1000) -> DataFrame:
@@ -49,57 +49,44 @@ def run_available(
     )
 
 
-def finished_versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions below a folder that were written completely."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    return sorted(int(status.getPath().getParent().getName()[1:]) for status in found)
-
-
-class VersionedTable:
-    """A table kept as one folder per micro-batch.
+class Pipeline:
+    """Normalise, merge, score and alert per micro-batch, in tables of which a batch rewrites the buckets it touches.
 
-    A batch reads the newest version below its own id and writes the version with its id, so a
-    batch that is run again after a failure reads and writes the same as before, and a new
-    process finds where the last one ended. On a cluster with a table format this is its MERGE.
+    Only records of these buckets are merged and scored: all others are scored already. A batch that is run again
+    leaves the same tables.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, name: str) -> None:
-        self.spark, self.path, self.name = spark, f"{folder}/{name}", name
-
-    def read(self, before: int | None = None) -> DataFrame:
-        versions = [version for version in finished_versions(self.spark, self.path) if before is None or version < before]
-        if not versions:
-            return empty(self.spark, self.name)
-        return self.spark.read.schema(schema.TABLES[self.name]).parquet(f"{self.path}/v{versions[-1]}")
-
-    def write(self, frame: DataFrame, version: int) -> None:
-        columns = empty(self.spark, self.name).columns
-        frame.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-
-
-class Pipeline:
-    """Normalise, merge, score and alert per micro-batch."""
-
     def __init__(
-        self, spark: SparkSession, folder: str, now: Column, registry: N.Registry | None = None, rules=A.RULES
+        self,
+        spark: SparkSession,
+        folder: str,
+        now: Column,
+        registry: N.Registry | None = None,
+        rules=A.RULES,
+        buckets: int = BUCKETS,
     ) -> None:
         self.now, self.registry, self.rules = now, registry, rules
-        self.records = VersionedTable(spark, folder, "threat_intelligence")
-        self.links = VersionedTable(spark, folder, "threat_intelligence_sources")
-        self.alerts = VersionedTable(spark, folder, "alerts")
+        self.records = BucketTable(spark, folder, "threat_intelligence", "dedup_key", buckets)
+        self.links = BucketTable(spark, folder, "threat_intelligence_sources", "id", buckets)
+        self.alerts = BucketTable(spark, folder, "alerts", "id", buckets)
+        self.failures = f"{folder}/normalize_failures"
+
+    def _merged(self, known: DataFrame, good: DataFrame) -> DataFrame:
+        merged = M.upsert_records(known, good, self.now).drop("action")
+        return S.score_table(checkpointed(merged), now=self.now).drop("score_action")
 
     def handle(self, raw: DataFrame, batch_id: int) -> None:
-        good, _failed = N.normalize_stage(N.pending(raw), self.registry)
-        merged = M.upsert_records(self.records.read(batch_id), good, self.now).drop("action")
-        self.records.write(S.score_table(checkpointed(merged), now=self.now).drop("score_action"), batch_id)
-        records = self.records.read(batch_id + 1)
-        self.links.write(M.upsert_links(self.links.read(batch_id), good, records), batch_id)
+        run = str(batch_id)
+        good, failed = N.normalize_stage(N.pending(raw), self.registry)
+        failed.write.mode("overwrite").parquet(f"{self.failures}/batch={batch_id}")
+        self.records.upsert(good, lambda known: self._merged(known, good), run)
+        records = self.records.read()
+        mine = self.records.read_buckets(self.records.touched(good))
+        rows = checkpointed(M.link_rows(good, mine))
+        self.links.upsert(rows.select(M.link_id().alias("id")), lambda known: M.add_links(known, rows), run)
         # Cross-record rules can fire for old records too, so all are candidates.
-        known = self.alerts.read(batch_id)
-        fresh = A.evaluate_alerts(records, self.links.read(batch_id + 1), known, self.now, rules=self.rules)
-        self.alerts.write(known.unionByName(fresh), batch_id)
+        fresh = checkpointed(A.evaluate_alerts(records, self.links.read(), self.alerts.read(), self.now, rules=self.rules))
+        self.alerts.upsert(fresh, lambda known: known.unionByName(fresh.select(*known.columns)), run)
 
 
 class TrendTable:
