@@ -249,6 +249,28 @@ def run_outcomes(configs: DataFrame, connectors: list[str]) -> DataFrame:
     return configs.withColumn("skip_reason", reason)
 
 
+def source_runs(configs: DataFrame, incoming: DataFrame, started: Column, finished: Column, cursor: str = "fetched_at") -> DataFrame:
+    """One run per configured source, from what it collected.
+
+    ``configs`` has source_id, skip_reason, error_message and attempts. A source with a reason is skipped, one with an
+    error failed; neither has seen anything nor moves its cursor, the highest ``cursor`` value seen.
+    """
+    seen = incoming.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.max(cursor).cast("string").alias("highest"))
+    ran = F.col("status") == "success"
+    status = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("error_message").isNotNull(), "failed").otherwise("success")
+    return configs.join(seen, "source_id", "left").withColumn("status", status).select(
+        "source_id",
+        "status",
+        "attempts",
+        F.when(ran, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).alias("items_seen"),
+        F.when(ran, F.col("highest")).alias("next_cursor"),
+        F.col("skip_reason").alias("reason"),
+        F.when(F.col("status") == "failed", F.col("error_message")).alias("error_message"),
+        started.alias("started_at"),
+        finished.alias("finished_at"),
+    )
+
+
 def job_log(runs: DataFrame, actions: DataFrame, now: Column, job_name: str = K.SYNC_JOB) -> DataFrame:
     """One log row per source run.
 

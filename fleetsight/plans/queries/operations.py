@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetsight.functions.nested import job_text
 from fleetsight.operators import ops as O
 from fleetsight.operators import search as S
+from fleetsight.operators.raw_upsert import upsert_raw
 from fleetsight.plans import fixtures as X
+from fleetsight.plans.pipeline import persist_runs
 from fleetsight.plans.queries import Queries
 from fleetsight.plans.queries.sqltext import cte, sensitive
+from fleetsight.sources.tables import empty
 
 QUERIES = Queries()
 
@@ -223,3 +227,85 @@ def stage_summary(spark: SparkSession, folder: str) -> DataFrame:
 def run_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     configs = X.sources(spark, folder).select("id", "name", F.col("source_type").alias("connector"), (F.col("status") == "enabled").alias("enabled"))
     return O.run_outcomes(configs, ["rss", "api"]).select("id", "skip_reason")
+
+
+# Sources of the documents as configured ones: some are disabled, some fail, some need a third attempt.
+_RUNS_SQL = (
+    cte("raw")
+    + """
+    , timed AS (SELECT *, make_timestamp((1700000000 + doc_id * 60) * 1000000) AS fetched_at, TRY_CAST(substr(source_id, 4) AS INTEGER) % 5 AS turn FROM raw WHERE source_id IS NOT NULL),
+    runs AS (SELECT source_id, CASE WHEN turn = 2 THEN 'skipped' WHEN turn = 1 THEN 'failed' ELSE 'success' END AS run_status, CASE WHEN turn = 3 THEN 3 ELSE 1 END AS attempts,
+        count(*) AS n, max(fetched_at) AS newest FROM timed GROUP BY 1, 2, 3),
+    held AS (SELECT DISTINCT source_id, external_id FROM raw WHERE doc_id % 2 = 0),
+    came AS (SELECT DISTINCT source_id, external_id FROM raw WHERE error_message IS NULL),
+    items AS (SELECT c.source_id, count(*) FILTER (h.source_id IS NULL) AS created, count(h.source_id) AS updated
+        FROM came c LEFT JOIN held h ON h.source_id = c.source_id AND h.external_id = c.external_id GROUP BY 1)
+    """
+)
+
+
+def _persisted(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All documents collected on top of the even ones, by sources that failed twice before."""
+    raw = X.raw(spark, folder)
+    held = upsert_raw(raw.limit(0), raw.filter(F.col("doc_id") % 2 == 0)).drop("action")
+    turn = F.expr("try_cast(substr(source_id, 4) AS int) % 5")
+    names = raw.select("source_id").dropna().distinct()
+    configs = names.select(
+        "source_id",
+        F.when(turn == 2, F.lit("disabled")).alias("skip_reason"),
+        F.when(turn == 1, F.lit("feed gives no answer")).alias("error_message"),
+        F.when(turn == 3, F.lit(3)).otherwise(F.lit(1)).alias("attempts"),
+    )
+    moment, never = F.lit("2024-06-01").cast("timestamp"), F.lit(None).cast("timestamp")
+    sources = names.select(
+        F.col("source_id").alias("id"), F.lit("enabled").alias("status"), never.alias("last_success_at"),
+        never.alias("last_error_at"), F.lit("old trouble").alias("last_error_message"), never.alias("updated_at"),
+    )
+    states = names.select(
+        "source_id", F.lit("start").alias("cursor"), F.lit("failed").alias("status"),
+        F.lit("2023-01-01").cast("timestamp").alias("last_run_at"), F.lit(2).cast("long").alias("consecutive_failures"),
+    )
+    tables = {"raw_intelligence": held, "job_logs": empty(spark, "job_logs"), "sources": sources, "sync_states": states}
+    return persist_runs(tables, raw, O.source_runs(configs, raw, moment, moment), moment)
+
+
+@QUERIES.add(
+    "run_job_log",
+    _RUNS_SQL
+    + """
+    SELECT r.source_id AS source_id, CASE run_status WHEN 'failed' THEN 'failed' ELSE 'success' END AS status, run_status, attempts, CASE run_status WHEN 'success' THEN n ELSE 0 END AS items_seen,
+        CASE run_status WHEN 'success' THEN coalesce(created, 0) ELSE 0 END AS items_created, CASE run_status WHEN 'success' THEN coalesce(updated, 0) ELSE 0 END AS items_updated,
+        CASE run_status WHEN 'failed' THEN 'feed gives no answer' END AS error_message, CASE run_status WHEN 'success' THEN CAST(newest AS VARCHAR) END AS next_cursor,
+        CASE run_status WHEN 'skipped' THEN 'disabled' END AS reason
+    FROM runs r LEFT JOIN items i ON i.source_id = r.source_id""",
+)
+def run_job_log(spark: SparkSession, folder: str) -> DataFrame:
+    log = O.with_job_facts(_persisted(spark, folder)["job_logs"])
+    return log.select(
+        "source_id", "status", "run_status", "attempts", "items_seen", "items_created", "items_updated", "error_message",
+        job_text("metadata", "next_cursor").alias("next_cursor"), job_text("metadata", "reason").alias("reason"),
+    )
+
+
+@QUERIES.add(
+    "run_sync_states",
+    _RUNS_SQL
+    + """
+    SELECT source_id, CASE run_status WHEN 'success' THEN CAST(newest AS VARCHAR) ELSE 'start' END AS cursor, CASE run_status WHEN 'failed' THEN 'failed' ELSE 'success' END AS status,
+        CASE run_status WHEN 'success' THEN 0 WHEN 'failed' THEN 3 ELSE 2 END AS consecutive_failures FROM runs""",
+)
+def run_sync_states(spark: SparkSession, folder: str) -> DataFrame:
+    return _persisted(spark, folder)["sync_states"].select("source_id", "cursor", "status", "consecutive_failures")
+
+
+@QUERIES.add(
+    "run_source_status",
+    _RUNS_SQL
+    + """
+    SELECT source_id AS id, CASE run_status WHEN 'success' THEN 'enabled' WHEN 'failed' THEN 'error' ELSE 'disabled' END AS status, run_status = 'success' AS has_success, run_status = 'failed' AS has_error,
+        CASE run_status WHEN 'failed' THEN 'feed gives no answer' WHEN 'skipped' THEN 'old trouble' END AS last_error_message FROM runs""",
+)
+def run_source_status(spark: SparkSession, folder: str) -> DataFrame:
+    return _persisted(spark, folder)["sources"].select(
+        "id", "status", F.col("last_success_at").isNotNull().alias("has_success"), F.col("last_error_at").isNotNull().alias("has_error"), "last_error_message"
+    )
