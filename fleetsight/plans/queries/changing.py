@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.operators import changes as C
@@ -99,9 +99,22 @@ _PATCH_SQL = (
 )
 
 
-def _patched(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+# The same patches with a new CVE id of few values, so that many want the key of another one.
+_CVE_PATCH_SQL = (
+    cte("records")
+    + """
+    , p AS (SELECT id, status, 'Patched ' || (id % 50) AS title, CASE WHEN id % 3 = 0 THEN 'dismissed' ELSE status END AS next_status,
+        'manual:cve:CVE-2031-' || (4000 + id % 90) AS wanted FROM records WHERE list_contains(tags, 'manual')),
+    judged AS (SELECT *, id = min(id) OVER (PARTITION BY wanted) AS accepted FROM p)
+    """
+)
+
+
+def _patched(spark: SparkSession, folder: str, cve_id: Column | None = None) -> dict[str, DataFrame]:
     records = X.records(spark, folder)
     supplied = F.when(F.col("id") % 3 == 0, F.array(F.lit("title"), F.lit("status"))).otherwise(F.array(F.lit("title")))
+    if cve_id is not None:
+        supplied = F.concat(supplied, F.array(F.lit("cve_id")))
     patches = records.withColumns(
         {
             "arrival": F.col("id"),
@@ -111,6 +124,7 @@ def _patched(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             "source_name": F.lit(None).cast("string"),
             "source_url": F.lit(None).cast("string"),
             "tags": F.array().cast("array<string>"),
+            "cve_id": F.col("cve_id") if cve_id is None else cve_id,
         }
     )
     raw = X.raw(spark, folder).limit(0)
@@ -141,3 +155,24 @@ def manual_patch_collisions(spark: SparkSession, folder: str) -> DataFrame:
 )
 def manual_patch_audit(spark: SparkSession, folder: str) -> DataFrame:
     return _patched(spark, folder)["audit"].select("entity_id", "action")
+
+
+def _cve_patched(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return _patched(spark, folder, F.concat(F.lit("cve-2031-"), 4000 + F.col("id") % 90))
+
+
+@QUERIES.add("manual_patch_cve_collisions", _CVE_PATCH_SQL + "SELECT id, wanted AS wanted_key FROM judged WHERE NOT accepted")
+def manual_patch_cve_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    return _cve_patched(spark, folder)["rejected"].select("id", "wanted_key")
+
+
+@QUERIES.add(
+    "manual_patch_cve_records",
+    _CVE_PATCH_SQL
+    + """
+    SELECT r.id AS id, CASE WHEN j.accepted THEN j.title ELSE r.title END AS title, CASE WHEN j.accepted THEN j.next_status ELSE r.status END AS status,
+        CASE WHEN j.accepted THEN j.wanted ELSE r.dedup_key END AS dedup_key FROM records r LEFT JOIN judged j ON j.id = r.id""",
+)
+def manual_patch_cve_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Patches that lose their key change nothing."""
+    return _cve_patched(spark, folder)["records"].select("id", "title", "status", "dedup_key")

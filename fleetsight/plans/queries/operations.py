@@ -13,7 +13,8 @@ from fleetsight.plans import fixtures as X
 from fleetsight.plans.pipeline import persist_runs
 from fleetsight.plans.queries import Queries
 from fleetsight.plans.queries.sqltext import cte, sensitive
-from fleetsight.sources.tables import empty
+from fleetsight.session import scratch_folder
+from fleetsight.sources.tables import empty, scan, write
 
 QUERIES = Queries()
 
@@ -309,3 +310,19 @@ def run_source_status(spark: SparkSession, folder: str) -> DataFrame:
     return _persisted(spark, folder)["sources"].select(
         "id", "status", F.col("last_success_at").isNotNull().alias("has_success"), F.col("last_error_at").isNotNull().alias("has_error"), "last_error_message"
     )
+
+
+@QUERIES.add(
+    "jobs_of_days",
+    cte("jobs")
+    + """
+    SELECT status, CAST(finished_at AS DATE) AS day, count(*) AS n, CAST(sum(items_seen) AS BIGINT) AS items_seen FROM jobs
+    WHERE CAST(finished_at AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-12' GROUP BY 1, 2""",
+)
+def jobs_of_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The job log as the engine's own table in folders of days; the scan reads the folders of five."""
+    out = scratch_folder(spark, "tables")
+    columns = [F.col(field.name).cast(field.dataType) for field in empty(spark, "job_logs").schema]
+    write(X.jobs(spark, folder).select(*columns), out, "job_logs")
+    days = scan(spark, out, "job_logs").filter(F.col("day").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-12").cast("date")))
+    return days.groupBy("status", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("items_seen").alias("items_seen"))

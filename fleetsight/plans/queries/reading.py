@@ -305,6 +305,29 @@ def recalls_not_seen(spark: SparkSession, folder: str) -> DataFrame:
     return recalls.recall_items(_recall_pages(spark, folder), seen=seen).select("external_id")
 
 
+@QUERIES.add(
+    "recalls_that_do_not_parse",
+    _RECALL_SQL
+    + """
+    SELECT DISTINCT campaign AS external_id, CAST(NULL AS VARCHAR) AS page, CAST(NULL AS VARCHAR) AS error_message FROM wanted WHERE p_partkey % 7 <> 0
+    UNION ALL SELECT NULL, 'https://landing.test/' || p_partkey, 'page does not parse' FROM part WHERE p_partkey % 7 = 0""",
+)
+def recalls_that_do_not_parse(spark: SparkSession, folder: str) -> DataFrame:
+    part = load(spark, folder, "part").withColumn("id", F.col("p_partkey"))
+    whole = F.concat(F.lit('{"Count":1,"Results":['), template(_RECALL), F.lit("]}"))
+    cut = F.when(F.col("id") % 7 == 0, F.concat(F.lit('{"Count":1,"Results":["'), "p_name")).otherwise(whole)
+    pages_ = part.select(
+        F.col("p_brand").alias("make"),
+        F.col("p_name").alias("model"),
+        (F.lit(2020) + F.col("p_size") % 4).alias("model_year"),
+        F.concat(F.lit("https://landing.test/"), "id").alias("url"),
+        F.lit(FETCHED).cast("timestamp").alias("fetched_at"),
+        F.inline(F.array(F.from_json(cut, schema.RECALL_PAGE))),
+    )
+    page = F.when(F.col("error_message").isNotNull(), F.col("source_url"))
+    return recalls.recall_items(pages_).select("external_id", page.alias("page"), "error_message")
+
+
 @QUERIES.add("vehicle_years", "SELECT p_partkey AS id, unnest([2021, 2022, 2023, 2024]) AS model_year FROM part")
 def vehicle_years(spark: SparkSession, folder: str) -> DataFrame:
     return recalls.vehicle_years(load(spark, folder, "part").select(F.col("p_partkey").alias("id")), 2024)

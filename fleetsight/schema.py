@@ -78,7 +78,7 @@ CVE_ENTRY = f"""
     >
 """
 KEV_PAGE = "vulnerabilities array<string>, _corrupt_record string"
-RECALL_PAGE = "Count int, Results array<string>"
+RECALL_PAGE = "Count int, Results array<string>, _corrupt_record string"
 _LINK = "array<struct<_href: string, _rel: string>>"
 FEED = f"""
     channel struct<item: array<struct<

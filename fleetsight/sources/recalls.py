@@ -9,7 +9,7 @@ from fleetsight import constants as K
 from fleetsight import schema
 from fleetsight.functions.dates import bool_value, parse_when
 from fleetsight.functions.text import snippet, software_related
-from fleetsight.sources.envelope import SourceInfo, string_map, to_raw
+from fleetsight.sources.envelope import PAGE_ERROR, SourceInfo, string_map, to_raw
 from fleetsight.sources.kev import first_value
 
 SOURCE = SourceInfo("nhtsa-recalls", "api", "https://api.nhtsa.gov/recalls/recallsByVehicle")
@@ -60,7 +60,23 @@ def first_per_campaign(entries: DataFrame, seen: DataFrame | None = None) -> Dat
     return wanted.groupBy("campaign").agg(F.min_by(F.struct(*others), order).alias("first")).select("campaign", "first.*")
 
 
+def unread_items(responses: DataFrame) -> DataFrame:
+    """Responses that do not parse, each as one item with an error."""
+    unread = responses.filter(F.col("Results").isNull() & F.col("_corrupt_record").isNotNull())
+    texts = [F.lit(None).cast("string").alias(name) for name in ("external_id", "title", "summary", "snippet", "raw_content")]
+    vehicle = {name: F.col(name) for name in ("make", "model", "model_year")}
+    return unread.select(
+        F.col("url").alias("source_url"),
+        *texts,
+        F.lit(None).cast("timestamp").alias("first_seen_at"),
+        "fetched_at",
+        string_map({**vehicle, "response_url": F.col("url")}).alias("metadata"),
+        F.lit(PAGE_ERROR).alias("error_message"),
+    )
+
+
 def recall_items(responses: DataFrame, source: SourceInfo = SOURCE, seen: DataFrame | None = None) -> DataFrame:
+    """Raw rows of the campaigns, and one with an error for each response that does not parse."""
     recalls = first_per_campaign(recall_entries(responses), seen)
     fields = F.col("fields")
     given = F.map_filter(fields, lambda key, value: key.isin(*K.RECALL_CONTENT_KEYS) & value.isNotNull())
@@ -102,6 +118,9 @@ def recall_items(responses: DataFrame, source: SourceInfo = SOURCE, seen: DataFr
             }
         ).alias("metadata"),
     )
+    if "_corrupt_record" in responses.columns:
+        none = F.lit(None).cast("string")
+        items = items.withColumn("error_message", none).unionByName(unread_items(responses))
     return to_raw(items, source)
 
 
