@@ -52,17 +52,28 @@ def _last(changes: DataFrame, name: str, supplied: Column | None = None) -> Colu
     return F.max_by(name, order).alias(f"new_{name}")
 
 
-def apply_alert_status(alerts: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+def unknown_ids(entities: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes to entities that are not there, which nothing else would name; a null id is none."""
+    return changes.join(entities.select("id"), "id", "left_anti")
+
+
+NOTES_LENGTH = 2000
+
+
+def apply_alert_status(
+    alerts: DataFrame, changes: DataFrame, now: Column, sizes: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(alerts, audit events, rejected changes).
 
     ``changes`` has id, status, notes, notes_supplied and arrival. Notes are replaced only when
-    supplied, and a supplied null clears them. Notes that look like credentials, notes over 2,000
-    characters and unknown statuses are rejected.
+    supplied, and a supplied null clears them. Notes that look like credentials and unknown statuses are
+    rejected, with ``sizes`` also notes over ``NOTES_LENGTH`` characters. Changes to ids that no alert has
+    change nothing; :func:`unknown_ids` lists them.
     """
     cleaned = changes.withColumn("notes", strip_to_null("notes"))
     bad = (
         looks_sensitive("notes")
-        | F.coalesce(F.length("notes") > 2000, F.lit(False))
+        | F.coalesce(F.lit(sizes) & (F.length("notes") > NOTES_LENGTH), F.lit(False))
         | ~F.coalesce(F.col("status").isin("open", "acknowledged", "closed"), F.lit(False))
     )
     rejected, valid = cleaned.filter(bad), cleaned.filter(~bad)
@@ -99,9 +110,20 @@ def apply_alert_status(alerts: DataFrame, changes: DataFrame, now: Column) -> tu
     return after, events, rejected
 
 
+def _source_status_known() -> Column:
+    return F.coalesce(F.col("status").isin("enabled", "disabled", "error"), F.lit(False))
+
+
+def rejected_source_status(sources: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes that :func:`apply_source_status` does not apply, each once with its ``problem``."""
+    odd = changes.filter(~_source_status_known()).withColumn("problem", F.lit("unknown status"))
+    lost = unknown_ids(sources, changes.filter(_source_status_known())).withColumn("problem", F.lit("unknown source"))
+    return odd.unionByName(lost)
+
+
 def apply_source_status(sources: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(sources, audit events). ``changes`` has id, status, reason and arrival; the error text survives only ``error``."""
-    valid = changes.filter(F.col("status").isin("enabled", "disabled", "error"))
+    valid = changes.filter(_source_status_known())
     folded = valid.groupBy("id").agg(_last(valid, "status"), _last(valid, "reason"))
     joined = sources.join(folded, "id", "left").withColumn("next_status", F.coalesce("new_status", "status"))
     changed = F.col("new_status").isNotNull()

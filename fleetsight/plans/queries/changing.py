@@ -176,3 +176,30 @@ def manual_patch_cve_collisions(spark: SparkSession, folder: str) -> DataFrame:
 def manual_patch_cve_records(spark: SparkSession, folder: str) -> DataFrame:
     """Patches that lose their key change nothing."""
     return _cve_patched(spark, folder)["records"].select("id", "title", "status", "dedup_key")
+
+
+@QUERIES.add(
+    "source_status_rejected",
+    cte("sources")
+    + """
+    , c AS (SELECT event_id AS arrival, user_id % 60 AS id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'disabled' WHEN 'signup' THEN 'paused' WHEN 'purchase' THEN NULL ELSE 'enabled' END AS status FROM events)
+    SELECT arrival, CASE WHEN status IS NULL OR status = 'paused' THEN 'unknown status' ELSE 'unknown source' END AS problem FROM c
+    WHERE status IS NULL OR status = 'paused' OR id NOT IN (SELECT id FROM sources)""",
+)
+def source_status_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "error").when(kind == "view", "disabled").when(kind == "signup", "paused")
+    changes = load(spark, folder, "events").select(
+        F.col("event_id").alias("arrival"),
+        (F.col("user_id") % 60).alias("id"),
+        status.when(kind == "purchase", F.lit(None)).otherwise("enabled").alias("status"),
+    )
+    return C.rejected_source_status(X.sources(spark, folder), changes).select("arrival", "problem")
+
+
+@QUERIES.add("alert_changes_of_unknown_ids", "SELECT user_id AS arrival FROM events WHERE user_id NOT IN (SELECT event_id FROM events WHERE event_type <> 'click')")
+def alert_changes_of_unknown_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes to the alerts whose ids are user ids, of which those of clicks are gone."""
+    known = X.alerts(spark, folder).filter(F.col("triggering_rule") != "vehicle-critical-tbox")
+    changes = load(spark, folder, "events").select(F.col("user_id").alias("arrival"), F.col("user_id").alias("id"))
+    return C.unknown_ids(known, changes).select("arrival")

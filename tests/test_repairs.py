@@ -59,3 +59,17 @@ def test_pages_that_do_not_parse_give_a_row_with_an_error(spark, tmp_path):
         assert len(rows) == 2 and len({row.id for row in rows}) == 2
         failed = [row for row in rows if row.error_message == envelope.PAGE_ERROR]
         assert len(failed) == 1 and failed[0].source_url.endswith("cut.json") and failed[0].external_id is None
+
+
+def test_long_notes_are_refused_only_if_asked_for(spark):
+    from fleetsight.operators import changes as C
+
+    alerts = spark.createDataFrame([("a", "open", None, "r", "t")], "id string, status string, notes string, triggering_rule string, threat_intelligence_id string")
+    columns = "id string, status string, notes string, notes_supplied boolean, arrival int"
+    changes = spark.createDataFrame([("a", "closed", "x" * 5000, True, 1), ("z", "open", None, False, 2)], columns)
+    now = F.lit("2026-01-01").cast("timestamp")
+    after, _, rejected = C.apply_alert_status(alerts, changes, now)
+    assert after.first().status == "closed" and len(after.first().notes) == 5000 and rejected.isEmpty()
+    after, _, rejected = C.apply_alert_status(alerts, changes, now, sizes=True)
+    assert after.first().status == "open" and [row.arrival for row in rejected.collect()] == [1]
+    assert [row.arrival for row in C.unknown_ids(alerts, changes).collect()] == [2]
