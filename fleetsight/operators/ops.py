@@ -57,15 +57,23 @@ def filter_jobs(
     return jobs
 
 
-def with_job_facts(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumns(
+JOB_FACTS = ("run_status", "attempts", "retried", "skipped", "reason", "next_cursor")
+
+
+def with_job_facts(jobs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Jobs with run status, attempts and flags from their JSON metadata, which is parsed once; ``also`` names further keys."""
+    parsed = jobs.select("*", F.json_tuple("metadata", *JOB_FACTS).alias(*[f"_{name}" for name in JOB_FACTS]))
+    flag = lambda name: F.coalesce(F.col(name).try_cast("boolean"), F.lit(False))
+    attempts = F.col("_attempts").try_cast("int")
+    return parsed.withColumns(
         {
-            "run_status": job_text("metadata", "run_status"),
-            "attempts": job_int("metadata", "attempts"),
-            "is_retried": retried(),
-            "is_skipped": skipped(),
+            "run_status": F.col("_run_status"),
+            "attempts": attempts,
+            "is_retried": flag("_retried") | F.coalesce(attempts > 1, F.lit(False)),
+            "is_skipped": flag("_skipped") | F.coalesce(F.col("_run_status") == "skipped", F.lit(False)),
+            **{name: F.col(f"_{name}") for name in also},
         }
-    )
+    ).drop(*[f"_{name}" for name in JOB_FACTS])
 
 
 def job_rows(jobs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -121,14 +129,14 @@ def _run_summaries(jobs: DataFrame) -> DataFrame:
     leaves behind is whether it had a success and the failures after its last one. Runs are read once and are
     not joined back, and no group holds more than the runs of an hour or the hours of a source.
     """
-    runs = with_job_facts(jobs.filter(F.col("source_id").isNotNull())).select(
+    runs = with_job_facts(jobs.filter(F.col("source_id").isNotNull()), ("next_cursor",)).select(
         "source_id",
         F.floor(_micros("finished_at") / HOUR_MICROS).alias("hour"),
         _run_order().alias("ord"),
         "finished_at",
         F.coalesce(F.col("run_status") == "success", F.lit(False)).alias("succeeded"),
         F.coalesce(F.col("run_status") == "failed", F.lit(False)).alias("failed"),
-        job_text("metadata", "next_cursor").alias("next_cursor"),
+        "next_cursor",
     )
     onwards = Window.partitionBy("source_id", "hour").orderBy(F.desc("ord"))
     hours = (
@@ -182,9 +190,7 @@ def advance_states(states: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def update_sources(sources: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """Sources with status, last success and last error taken from their runs."""
-    runs = with_job_facts(jobs.filter(F.col("source_id").isNotNull())).withColumns(
-        {"ord": _run_order(), "reason": job_text("metadata", "reason")}
-    )
+    runs = with_job_facts(jobs.filter(F.col("source_id").isNotNull()), ("reason",)).withColumn("ord", _run_order())
     succeeded, failed = F.col("run_status") == "success", F.col("run_status") == "failed"
     disabled = (F.col("run_status") == "skipped") & (F.col("reason") == "disabled")
     after = (
