@@ -247,7 +247,8 @@ _RUNS_SQL = (
 
 def _persisted(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All documents collected on top of the even ones, by sources that failed twice before."""
-    raw = X.raw(spark, folder)
+    # The columns of the raw table; the view has the document's text and length beside them.
+    raw = X.raw(spark, folder).select(*empty(spark, "raw_intelligence").columns, "doc_id")
     held = upsert_raw(raw.limit(0), raw.filter(F.col("doc_id") % 2 == 0)).drop("action")
     turn = F.expr("try_cast(substr(source_id, 4) AS int) % 5")
     names = raw.select("source_id").dropna().distinct()
