@@ -1,9 +1,12 @@
 """Inverted tables behind text search: words and three-character grams to ids.
 
-A postings row says that a field of a row holds a term. Rows lie in a folder per bucket of the term's hash,
-in order of terms, so that a search reads the buckets of its own terms only, and within these the row groups
-that can hold them. A term of very many rows is written by ``SLOTS`` tasks and read in parallel, as its rows
-lie in several files. Batches are added as rows arrive; a batch that is written again replaces itself.
+A postings row says which rows of a block hold a term in a field; its ids are packed as steps from one to the
+next. Blocks are cut where the rows lie, up to ``BLOCK_ROWS`` rows or ``BLOCK_CHARS`` characters each, so what
+is shuffled and stored is about a byte per id and next to nothing for a term that all rows have. Rows lie in a
+folder per bucket of the term's hash, in order of terms, so that a search reads the buckets of its own terms
+only, and within these the row groups that can hold them. A term of very many rows is written by ``SLOTS``
+tasks and read in parallel, as its blocks lie in several files. Batches are added as rows arrive; a batch that
+is written again replaces itself.
 
 Postings give candidates, and the exact test of :mod:`fleetsight.operators.search` decides among them. So rows
 that changed need no removal here: what an old posting brings too much, the test throws out. A text that
@@ -13,10 +16,15 @@ gram and scan.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetsight.functions.text import let
 from fleetsight.operators import search as S
@@ -25,6 +33,9 @@ from fleetsight.session import prepare
 GRAM = 3
 BUCKETS = 16
 SLOTS = 2
+BLOCK_ROWS = 1 << 16
+BLOCK_CHARS = 1 << 22
+PIECES = 4
 WORD_KIND, GRAM_KIND = "word", "gram"
 
 
@@ -49,33 +60,195 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+# --- packed ids -------------------------------------------------------------------
+_WIDTHS = ("<u1", "<u2", "<u4", "<u8")
+_SHORT = 64
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """Ascending 64-bit ids: the first, the width of the steps, the steps."""
+    steps = np.diff(ids).view(np.uint64)
+    most = int(steps.max()) if steps.size else 0
+    width = 0 if most < 1 << 8 else 1 if most < 1 << 16 else 2 if most < 1 << 32 else 3
+    body = steps.astype(_WIDTHS[width]).tobytes()
+    if len(body) > _SHORT:
+        width, body = width + 4, zlib.compress(body, 1)
+    return ids[:1].tobytes() + bytes([width]) + body
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    body = zlib.decompress(packed[9:]) if packed[8] > 3 else packed[9:]
+    ids = np.empty(1 + len(body) // (1 << packed[8] % 4), dtype=np.int64)
+    ids[0] = np.frombuffer(packed, "<i8", 1)[0]
+    ids[1:] = np.frombuffer(body, _WIDTHS[packed[8] % 4]).astype(np.uint64).view(np.int64)
+    return np.cumsum(ids)
+
+
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _layout(id_type: T.DataType) -> T.StructType:
+    """Integer ids are packed; ids of other types, and null, stand in ``ids``."""
+    return T.StructType().add("kind", "string").add("field", "string").add("term", "string").add("block", "long").add(
+        "piece", "integer").add("n", "integer").add("packed", "binary").add("ids", T.ArrayType(id_type))
+
+
+def _stored(ids: list | np.ndarray) -> tuple[bytes | None, list | None]:
+    return (pack(ids), None) if isinstance(ids, np.ndarray) else (None, ids)
+
+
+def _gram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row, code) of each gram, rows in order; the gram of each code."""
+    sizes = np.array([len(text or "") for text in texts], dtype=np.int64)
+    chars = np.frombuffer("".join(text or "" for text in texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    whole = np.flatnonzero(owner[2:] == owner[:-2])
+    found = pa.array(chars[whole] | chars[whole + 1] << 21 | chars[whole + 2] << 42).dictionary_encode()
+    mask = (1 << 21) - 1
+    named = ["".join(chr(key >> at & mask) for at in (0, 21, 42)) for key in found.dictionary.to_pylist()]
+    return owner[whole], found.indices.to_numpy(), named
+
+
+def _word_codes(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    sizes = np.array([len(some or ()) for some in lists.to_pylist()], dtype=np.int64)
+    found = lists.flatten().dictionary_encode()
+    return np.repeat(np.arange(sizes.size), sizes), found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
+def _block(rows: pa.Table, columns: list[tuple[str, str, str]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The postings of a block of rows, in ``PIECES`` runs of neighbouring ids."""
+    ids = rows.column("id").combine_chunks()
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        values = ids.to_numpy().astype(np.int64)
+        order = np.argsort(values, kind="stable")
+        rows, values = rows.take(pa.array(order)), values[order]
+        name = values.tobytes()
+    else:
+        values, name = ids.to_pylist(), repr(ids.to_pylist()).encode()
+    block = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True)
+    for column, kind, field in columns:
+        cells = rows.column(column).combine_chunks()
+        owner, code, terms = _gram_codes(cells.to_pylist()) if kind == GRAM_KIND else _word_codes(cells)
+        if not terms:
+            continue
+        order = np.argsort(code.astype(np.uint16) if len(terms) <= 1 << 16 else code, kind="stable")
+        owner, code = owner[order], code[order]
+        new = np.ones(owner.size, dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+        owner, code = owner[new], code[new]
+        piece = owner * PIECES // rows.num_rows
+        starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])]))
+        ends = np.append(starts[1:], owner.size)
+        out = []
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            held = values[owner[a:b]] if isinstance(values, np.ndarray) else [values[k] for k in owner[a:b].tolist()]
+            out.append(_stored(np.unique(held) if isinstance(held, np.ndarray) else held))
+        made = {
+            "kind": [kind] * len(out), "field": [field] * len(out), "term": [terms[k] for k in code[starts].tolist()],
+            "block": [block] * len(out), "piece": piece[starts], "n": ends - starts,
+            "packed": [packed for packed, _ in out], "ids": [plain for _, plain in out],
+        }
+        yield from pa.table({name: pa.array(made[name], schema.field(name).type) for name in schema.names}, schema).to_batches(1 << 12)
+
+
+def _blocks(columns: list[tuple[str, str, str]], schema: pa.Schema) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, chars = [], 0, 0
+        for batch in batches:
+            ends, start = np.cumsum(batch.column("chars").to_numpy()), 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                fits = int(np.searchsorted(ends, before + BLOCK_CHARS - chars, side="right")) - start
+                take = min(batch.num_rows - start, BLOCK_ROWS - rows, fits if rows else max(fits, 1))
+                if take:
+                    held.append(batch.slice(start, take))
+                    rows, chars, start = rows + take, chars + int(ends[start + take - 1]) - before, start + take
+                if start < batch.num_rows:
+                    yield from _block(pa.Table.from_batches(held), columns, schema)
+                    held, rows, chars = [], 0, 0
+        if rows:
+            yield from _block(pa.Table.from_batches(held), columns, schema)
+
+    return run
+
+
 def postings(rows: DataFrame, id_column: str, fields: Mapping[str, Mapping[str, Column]]) -> DataFrame:
-    """``kind, field, term, id``: one row per term of a field. ``fields`` has texts by kind and field name.
+    """``kind, field, term, block, piece, n, packed, ids``: which rows of a piece of a block have a term in a field.
 
-    A null text has no terms.
+    ``fields`` has texts by kind and field name. A null text has no terms.
     """
-    texts = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"), _TERMS[kind](text).alias("terms"))
-        for kind, named in fields.items() for name, text in named.items()
-    ])
-    placed = rows.select(F.col(id_column).alias("id"), F.inline(texts))
-    return placed.select("kind", "field", F.explode("terms").alias("term"), "id")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    columns, cells, chars = [], [], F.lit(0).cast("long")
+    for kind, named in fields.items():
+        for name, text in named.items():
+            columns.append((f"c{len(columns)}", kind, name))
+            cells.append((F.lower(text) if kind == GRAM_KIND else S.tokens(text)).alias(columns[-1][0]))
+            chars = chars + F.coalesce(F.length(text), F.lit(0))
+    layout = _layout(rows.schema[id_column].dataType)
+    run = _blocks(columns, to_arrow_schema(layout))
+    return rows.select(F.col(id_column).alias("id"), chars.alias("chars"), *cells).mapInArrow(run, layout)
 
 
 def add_batch(found: DataFrame, folder: str, batch: str, buckets: int = BUCKETS, slots: int = SLOTS) -> None:
     """Write the postings of a batch, laid out by bucket and ordered by term."""
-    placed = found.withColumns({"bucket": bucket_of(F.col("term"), buckets), "slot": F.pmod(F.xxhash64("id"), F.lit(slots))})
-    dealt = placed.repartition(buckets * slots, "bucket", "slot").sortWithinPartitions("bucket", "kind", "term").drop("slot")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch}")
+    slot = F.pmod(F.col("piece") + PIECES * F.pmod(F.xxhash64("block"), F.lit(1 << 20)), F.lit(slots))
+    placed = found.withColumns({"bucket": bucket_of(F.col("term"), buckets), "slot": slot})
+    order = ("bucket", "kind", "term", "field", "block", "piece")
+    dealt = placed.repartition(buckets * slots, "bucket", "slot").sortWithinPartitions(*order).drop("slot")
+    dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/batch={batch}")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     return prepare(spark).read.option("basePath", folder).parquet(folder)
 
 
+def _id_type(table: DataFrame) -> T.DataType:
+    return table.schema["ids"].dataType.elementType
+
+
+def _listed(lists: list[dict]) -> set | np.ndarray:
+    """All ids of some postings."""
+    if all(row["packed"] is not None for row in lists):
+        found = [unpack(row["packed"]) for row in lists]
+        return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+    return {id_ for row in lists for id_ in (unpack(row["packed"]).tolist() if row["packed"] is not None else row["ids"])}
+
+
+def flat(table: DataFrame) -> DataFrame:
+    """Postings as rows: ``kind, field, term, block, piece, id``."""
+    id_type = pa_type(_id_type(table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                held = _listed([row])
+                n, ids = len(held), pa.array(list(held) if isinstance(held, set) else held, id_type)
+                named = [pa.array([row[name]] * n, batch.schema.field(name).type) for name in ("kind", "field", "term", "block", "piece")]
+                yield pa.RecordBatch.from_arrays([*named, ids], ["kind", "field", "term", "block", "piece", "id"])
+
+    layout = T.StructType([*_layout(_id_type(table)).fields[:5], T.StructField("id", _id_type(table))])
+    return table.select("kind", "field", "term", "block", "piece", "packed", "ids").mapInArrow(run, layout)
+
+
+def pa_type(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
 def compact(spark: SparkSession, folder: str, into: str, buckets: int = BUCKETS, slots: int = SLOTS) -> None:
-    """All batches as one in another folder, each posting once."""
-    add_batch(read(spark, folder).select("kind", "field", "term", "id").distinct(), into, "all", buckets, slots)
+    """All batches as one in another folder, each posting once, in one of its blocks."""
+    table = read(spark, folder)
+    once = flat(table).groupBy("kind", "field", "term", "id").agg(F.min(F.struct("block", "piece")).alias("at"))
+    lists = once.groupBy("kind", "field", "term", "at").agg(F.sort_array(F.collect_list(F.struct("id")))["id"].alias("ids"), F.count(F.lit(1)).cast("int").alias("n"), F.count("id").alias("known"))
+    if isinstance(_id_type(table), _INTEGERS):
+        packer = F.udf(lambda ids: pack(np.array(ids, dtype=np.int64)), "binary")
+        full = F.col("n") == F.col("known")
+        lists = lists.withColumns({"packed": F.when(full, packer(F.when(full, F.col("ids")).otherwise(F.array()))), "ids": F.when(~full, F.col("ids"))})
+    else:
+        lists = lists.withColumn("packed", F.lit(None).cast("binary"))
+    add_batch(lists.select("kind", "field", "term", "at.block", "at.piece", "n", "packed", "ids"), into, "all", buckets, slots)
 
 
 def _wanted(spark: SparkSession, kind: str, text: str, buckets: int) -> list[tuple[int, str]]:
@@ -84,19 +257,43 @@ def _wanted(spark: SparkSession, kind: str, text: str, buckets: int) -> list[tup
     return [tuple(row) for row in terms.select(bucket_of(F.col("term"), buckets), "term").collect()]
 
 
+def _common(terms: int, id_type: pa.DataType) -> Callable:
+    """The ids that all terms of a group list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lists in batch.column("lists"):
+                by_term = {}
+                for row in lists.as_py():
+                    by_term.setdefault(row["term"], []).append(row)
+                if len(by_term) < terms:
+                    continue
+                kept, *others = (_listed(rows) for rows in sorted(by_term.values(), key=lambda rows: sum(row["n"] for row in rows)))
+                for more in others:
+                    if isinstance(kept, np.ndarray) and isinstance(more, np.ndarray):
+                        kept = np.intersect1d(kept, more, assume_unique=True)
+                    else:
+                        kept = set(kept if isinstance(kept, set) else kept.tolist()) & set(more if isinstance(more, set) else more.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(list(kept) if isinstance(kept, set) else kept, id_type)], ["id"])
+
+    return run
+
+
 def ids_with_all(table: DataFrame, kind: str, text: str, fields: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """``id`` of rows of which one field holds all terms of the text.
 
-    The buckets are constants of the plan, so others are not listed; terms are a filter of the scan. Hits are
-    counted by id, which spreads the rows of a frequent term.
+    The buckets are constants of the plan, so others are not listed; terms are a filter of the scan. The lists
+    of a piece of a block meet and are intersected, which takes no row per hit.
     """
     wanted = _wanted(table.sparkSession, kind, text, buckets)
     hits = table.filter(F.col("bucket").isin(*{bucket for bucket, _ in wanted}) & (F.col("kind") == kind))
     hits = hits.filter(F.col("term").isin(*[term for _, term in wanted]))
     if fields is not None:
         hits = hits.filter(F.col("field").isin(*fields))
-    counted = hits.groupBy("field", "id").agg(F.count_distinct("term").alias("n"))
-    return counted.filter(F.col("n") == len(wanted)).select("id").distinct()
+    met = hits.groupBy("batch", "field", "block", "piece").agg(F.collect_list(F.struct("term", "n", "packed", "ids")).alias("lists"))
+    met = met.filter(F.size("lists") >= len(wanted)).select("lists")
+    id_type = _id_type(table)
+    return met.mapInArrow(_common(len(wanted), pa_type(id_type)), T.StructType([T.StructField("id", id_type)])).distinct()
 
 
 def has_gram(needle: str) -> bool:

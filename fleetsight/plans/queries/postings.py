@@ -45,9 +45,8 @@ def _matches(q: str) -> str:
 def search_by_postings(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with both words: ids by postings of all texts, no text read in the search."""
     documents, out = load(spark, folder, "documents"), scratch_folder(spark, "postings")
-    found = P.postings(documents, "doc_id", {P.WORD_KIND: {"text": F.col("text")}})
-    P.add_batch(found.filter(F.col("id") % 3 == 0), out, "0")
-    P.add_batch(found.filter(F.col("id") % 3 != 0), out, "1")
+    for batch, rows in (("0", documents.filter(F.col("doc_id") % 3 == 0)), ("1", documents.filter(F.col("doc_id") % 3 != 0))):
+        P.add_batch(P.postings(rows, "doc_id", {P.WORD_KIND: {"text": F.col("text")}}), out, batch)
     return P.ids_with_all(P.read(spark, out), P.WORD_KIND, "The IS the").withColumnRenamed("id", "doc_id")
 
 

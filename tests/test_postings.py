@@ -91,3 +91,33 @@ def test_rows_that_changed_are_thrown_out_by_the_exact_test(spark, tmp_path):
     old = records.filter(F.col("id") == some[1]).first()["title"]
     assert some[1] not in ids(index.search(changed, links, S.SearchParams(q=old)))
 
+
+def test_postings_take_about_a_byte_an_id(spark, tmp_path):
+    rows_ = spark.range(0, 20000, 1, 1).select("id", F.concat(F.lit("common w"), F.col("id") % 40).alias("text"))
+    found = P.postings(rows_, "id", {P.WORD_KIND: {"text": F.col("text")}, P.GRAM_KIND: {"text": F.col("text")}})
+    whole = found.agg(F.sum("n").alias("ids"), F.sum(F.length("packed")).alias("bytes"), F.count("*").alias("rows")).first()
+    assert whole["ids"] > 40_000 and whole["bytes"] < whole["ids"] // 4 and whole["rows"] < 1_000
+    P.add_batch(found, str(tmp_path), "0")
+    table = P.read(spark, str(tmp_path))
+    assert ids(P.ids_with_all(table, P.WORD_KIND, "common w7")) == list(range(7, 20000, 40))
+    assert P.flat(table).count() == whole["ids"]
+
+
+@pytest.mark.parametrize("given", [[0], [-5, 0, 1, 1 << 40], list(range(0, 9000, 3)), [-(1 << 63), (1 << 63) - 1]])
+def test_ids_come_back_from_their_packed_form(given):
+    import numpy as np
+
+    assert P.unpack(P.pack(np.array(given, dtype=np.int64))).tolist() == given
+
+
+def test_ids_of_any_type_and_null(spark, tmp_path):
+    named = spark.createDataFrame([("a", "red fox"), ("b", "red"), (None, "red fox"), ("a", "fox")], "id string, text string")
+    P.add_batch(P.postings(named, "id", {P.WORD_KIND: {"text": F.col("text")}}), str(tmp_path / "s"), "0")
+    found = P.ids_with_all(P.read(spark, str(tmp_path / "s")), P.WORD_KIND, "fox red").collect()
+    assert {row["id"] for row in found} == {"a", None} and len(found) == 2
+    numbered = spark.createDataFrame([(1, "red fox"), (None, "red fox"), (3, "fox")], "id long, text string").coalesce(1)
+    P.add_batch(P.postings(numbered, "id", {P.WORD_KIND: {"text": F.col("text")}}), str(tmp_path / "n"), "0")
+    P.compact(spark, str(tmp_path / "n"), str(tmp_path / "c"))
+    for folder in ("n", "c"):
+        found = P.ids_with_all(P.read(spark, str(tmp_path / folder)), P.WORD_KIND, "fox red").collect()
+        assert {row["id"] for row in found} == {1, None} and len(found) == 2
