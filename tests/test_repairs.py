@@ -73,3 +73,24 @@ def test_long_notes_are_refused_only_if_asked_for(spark):
     after, _, rejected = C.apply_alert_status(alerts, changes, now, sizes=True)
     assert after.first().status == "open" and [row.arrival for row in rejected.collect()] == [1]
     assert [row.arrival for row in C.unknown_ids(alerts, changes).collect()] == [2]
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from fleetsight.operators.raw_upsert import with_matches
+
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("row_id"), F.when(F.col("id") % 50 == 0, F.col("id")).alias("key"))
+    found = spark.range(0, 4000, 100).select(F.col("id").alias("key"), (-F.col("id")).alias("hit"))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = with_matches(rows, found, ["key"], "row_id").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep[1])
+    assert len(got) == 4000
+    assert all(row["hit"] == (None if row["key"] is None or row["key"] % 100 else -row["key"]) for row in got)
+    tasks = [row["task"] for row in got if row["key"] is None]
+    assert max(tasks.count(task) for task in set(tasks)) < len(tasks) // 2
