@@ -15,7 +15,8 @@ from fleetsight import constants as K
 
 # Unicode white space and the four separators next to it.
 BLANK = r"\s\x1c-\x1f"
-BLANKS = f"(?U)[{BLANK}]+"
+# Runs of blanks except a single space, which is what they become.
+BLANKS = f"(?U)[{BLANK}&&[^ ]][{BLANK}]*| [{BLANK}]+"
 EDGE_BLANKS = f"(?U)^[{BLANK}]+|[{BLANK}]+$"
 CVE_PATTERN = r"(?iU)\bCVE-\d{4}-\d{4,}\b"
 CWE_PATTERN = r"(?iU)\bCWE-\d+\b"
@@ -75,8 +76,14 @@ def join_text(*values: Column | str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(col(value).cast("string"), F.lit("")) for value in values])
 
 
+def _identifier(value: Column | str, prefix: str, pattern: str) -> Column:
+    """The first match in upper case. The pattern runs on text with the prefix in it only, as most has none."""
+    text = col(value).cast("string")
+    return F.upper(none_if_blank(F.when(F.contains(F.lower(text), F.lit(prefix)), F.regexp_extract(text, pattern, 0))))
+
+
 def extract_cve(value: Column | str) -> Column:
-    return F.upper(none_if_blank(F.regexp_extract(col(value).cast("string"), CVE_PATTERN, 0)))
+    return _identifier(value, "cve-", CVE_PATTERN)
 
 
 def find_cve(*values: Column | str) -> Column:
@@ -84,7 +91,7 @@ def find_cve(*values: Column | str) -> Column:
 
 
 def extract_cwe(value: Column | str) -> Column:
-    return F.upper(none_if_blank(F.regexp_extract(col(value).cast("string"), CWE_PATTERN, 0)))
+    return _identifier(value, "cwe-", CWE_PATTERN)
 
 
 def extract_cwe_from_list(values: Column | str) -> Column:
