@@ -157,17 +157,17 @@ def select_list(view: str) -> str:
     return ", ".join(f"{expression} AS {name}" for name, expression in VIEWS[view][1].items())
 
 
-def view(spark: SparkSession, folder: str, name: str, deal: tuple[str, ...] = ()) -> DataFrame:
-    """A view; ``deal`` names columns of the table by whose hash its rows are spread over all tasks."""
+def view(spark: SparkSession, folder: str, name: str, deal: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """A view; ``deal`` names columns of the table by whose hash its rows are spread over all tasks, or over ``parts``."""
     table, columns = VIEWS[name]
     rows = load(spark, folder, table)
-    rows = dealt(rows, *deal) if deal else rows
+    rows = dealt(rows, *deal, parts=parts) if deal else rows
     return rows.selectExpr(*[f"{expression} AS {column}" for column, expression in columns.items()])
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """Core records from ``orders``, with list and map columns."""
-    frame = view(spark, folder, "records")
+def records(spark: SparkSession, folder: str, parts: int | None = None) -> DataFrame:
+    """Core records from ``orders``, with list and map columns; with ``parts`` dealt by id before anything is computed."""
+    frame = view(spark, folder, "records", deal=("o_orderkey",) if parts else (), parts=parts)
     lists = {name: F.array_compact(F.array(*[F.col(part) for part in parts])) for name, parts in ARRAYS.items()}
     no_ids = F.create_map().cast("map<string,array<string>>")
     metadata = F.map_filter(
@@ -185,8 +185,8 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     ).drop(*[part for parts in ARRAYS.values() for part in parts], "origin", "date_added")
 
 
-def links(spark: SparkSession, folder: str) -> DataFrame:
-    return view(spark, folder, "links")
+def links(spark: SparkSession, folder: str, parts: int | None = None) -> DataFrame:
+    return view(spark, folder, "links", deal=("l_orderkey",) if parts else (), parts=parts)
 
 
 def sources(spark: SparkSession, folder: str) -> DataFrame:

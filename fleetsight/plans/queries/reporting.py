@@ -12,6 +12,7 @@ from fleetsight.plans import fixtures as X
 from fleetsight.plans.queries import Queries
 from fleetsight.plans.queries.searching import _CLEAN_URL
 from fleetsight.plans.queries.sqltext import cte, rank, safe
+from fleetsight.sources.tables import parts_for
 
 QUERIES = Queries()
 
@@ -60,6 +61,13 @@ def alert_export(spark: SparkSession, folder: str) -> DataFrame:
     return exported.drop(K.ALERT_CSV_HEADERS["triggered_at"])
 
 
+def _report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of all reports; records and links lie by record id in parts that grow in number, not in rows."""
+    parts = parts_for(spark, folder, "orders", "lineitem")
+    links = X.links(spark, folder, parts).withColumn("raw_intelligence_id", F.lit(None).cast("string"))
+    return E.report_lines(X.records(spark, folder, parts), links, X.alerts(spark, folder))
+
+
 @QUERIES.add(
     "report_line_counts",
     cte("records", "links", "alerts")
@@ -68,8 +76,7 @@ def alert_export(spark: SparkSession, folder: str) -> DataFrame:
     SELECT r.id AS id, 17 + 3 + coalesce(s.n, len(r.source_names)) + coalesce(a.n, 1) AS n_lines FROM records r LEFT JOIN s ON s.id = r.id LEFT JOIN a ON a.id = r.id""",
 )
 def report_line_counts(spark: SparkSession, folder: str) -> DataFrame:
-    links = X.links(spark, folder).withColumn("raw_intelligence_id", F.lit(None).cast("string"))
-    lines = E.report_lines(X.records(spark, folder), links, X.alerts(spark, folder))
+    lines = _report_lines(spark, folder)
     return lines.groupBy("id").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -82,8 +89,7 @@ def report_line_counts(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT r.id, '- 暂无' FROM records r WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.threat_intelligence_id = r.id)""",
 )
 def report_alert_lines(spark: SparkSession, folder: str) -> DataFrame:
-    links = X.links(spark, folder).withColumn("raw_intelligence_id", F.lit(None).cast("string"))
-    lines = E.report_lines(X.records(spark, folder), links, X.alerts(spark, folder))
+    lines = _report_lines(spark, folder)
     return lines.filter(F.col("section") == E.ALERT_SECTION).select("id", "line")
 
 

@@ -25,12 +25,24 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return with_utc_times(prepare(spark).read.parquet(f"{folder}/{name}.parquet"))
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows spread over all tasks by narrow columns, for work that costs far more than moving them.
+# Rows of a part, and the most parts: up to that many Spark's shuffle writes parts as they come and holds no rows.
+PART_ROWS = 100_000
+MOST_PARTS = 200
+
+
+def dealt(rows: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """Rows spread over all tasks, or over ``parts``, by narrow columns, for work that costs far more than moving them.
 
     A scan has no more tasks than its files have row groups, and a file may have one. Only columns that are used move.
+    Without ``parts`` Spark joins small parts by their packed bytes, and narrow rows pack so well that a part can be millions.
     """
-    return rows.repartition(*keys)
+    return rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+
+
+def parts_for(spark: SparkSession, folder: str, *names: str) -> int:
+    """Parts of about ``PART_ROWS`` rows of the named tables together; the rows are counted from the files' footers."""
+    rows = sum(load(spark, folder, name).count() for name in names)
+    return max(1, min(MOST_PARTS, -(-rows // PART_ROWS)))
 
 
 def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:

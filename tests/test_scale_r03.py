@@ -9,7 +9,8 @@ from fleetsight import schema
 from fleetsight.functions import text as T
 from fleetsight.operators import normalize as N
 from fleetsight.plans import fixtures as X
-from fleetsight.sources import cve
+from fleetsight.plans.queries import reporting
+from fleetsight.sources import cve, tables
 
 ENTRY = (
     '{"cve":{"id":"CVE-2024-10001","references":"{\\"referenceData\\":[{\\"url\\":\\"https://poc.test/1\\"}]}",'
@@ -57,3 +58,35 @@ def test_documents_of_one_row_group_are_dealt(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     raw = X.raw(spark, str(tmp_path))
     assert "RepartitionByExpression" in _plan(raw) and raw.count() == 50
+
+
+def test_reports_are_counted_in_parts_of_bounded_rows(spark, tmp_path, monkeypatch):
+    day = "timestamp_ntz '2024-05-01 00:00:00'"
+    orders = spark.range(40).selectExpr(
+        "IF(id = 39, NULL, id DIV 2 * 2) AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1.0D AS o_totalprice",
+        f"{day} AS o_orderdate", "'5-LOW' AS o_orderpriority",
+    )
+    lines = spark.range(90).selectExpr(
+        "IF(id % 9 = 0, NULL, id % 30) AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "1.0D AS l_quantity",
+        f"{day} AS l_shipdate",
+    )
+    events = spark.range(30).selectExpr("id % 5 * 2 AS event_id", f"{day} AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value")
+    for name, rows in (("orders", orders), ("lineitem", lines), ("events", events)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = []
+    for rows in (1_000, 13):
+        monkeypatch.setattr(tables, "PART_ROWS", rows)
+        frame = reporting.report_line_counts(spark, str(tmp_path))
+        parts = -(-130 // rows)
+        # Rows of one file are dealt by id before anything is counted or joined.
+        dealt = re.findall(r"RepartitionByExpression \[([ol])_orderkey#\d+L\], (\d+)", _plan(frame))
+        assert set(dealt) == {("o", str(parts)), ("l", str(parts))}
+        found.append(sorted(frame.collect(), key=str))
+    assert found[0] == found[1] and len(found[0]) == 21
+    # Every id but the last stands twice: headers and headings, its links or the names of both rows, its alerts or two lines.
+    counts = {row["id"]: row["n_lines"] for row in found[0]}
+    linked = [n for n in range(90) if n % 9]
+    for key in range(0, 38, 2):
+        own = [n for n in linked if n % 30 == key]
+        names = sum(1 + (cust % 5 == 0) for cust in (key, key + 1))
+        assert counts[key] == 40 + (len(own) or names) + (6 if key < 10 else 2), key
