@@ -1,7 +1,10 @@
-"""Near copies by sets of word shingles: MinHash bands find pairs, their exact Jaccard likeness decides.
+"""Near copies by sets of word shingles: SimHash and MinHash find pairs, their exact Jaccard likeness decides.
 
-Texts with the same set are one class. ``BANDS`` bands of ``ROWS`` minima put a class into as many buckets;
-two sets of likeness 0.8 share none with a chance of 4 in 10,000, likelier ones with less. Pairs of a bucket
+Texts with the same set are one class. A class has the SimHash fingerprint of its set; ``simhash.links``, the Gray-order
+index of op9, finds the fingerprints at ``NEAR`` or fewer differing bits, and star contraction makes groups of them. The
+classes of a group are a bucket. Sets of likeness 0.8 differ in some ten bits of 64 as a rule, more than any index by
+equal bits can carry, so buckets of MinHash bands stand beside the groups for what these miss. ``BANDS`` bands of
+``ROWS`` minima put a class into as many buckets; two sets of likeness 0.8 share none with a chance of 4 in 10,000, likelier ones with less. Pairs of a bucket
 are held against each other by their whole sets, of which only the texts in pairs are read again.
 
 In a bucket of more than ``SMALL`` classes each is first paired with the smallest, the largest and two more that
@@ -30,12 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsight.llm.flat import Flat, chunks, mix, whole_windows, window_hashes, window_hashes_at
-from fleetsight.llm.simhash import FILTER_BLOCKS, least_ids, star_roots
+from fleetsight.llm.simhash import FILTER_BLOCKS, least_ids, links, set_fingerprints, star_roots
 from fleetsight.llm.url_filter import may_be_listed
 from fleetsight.session import checkpointed
 
 SHINGLE = 5
 LIKENESS = 0.8
+NEAR = 3
 BANDS = 20
 ROWS = 5
 SMALL = 32
@@ -78,18 +82,19 @@ def band_values(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def _marks(size: int):
-    """The class of each text, by its set, and the bands."""
+    """The class of each text, by its set, with the set's fingerprint and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in chunks(batch.column("text").to_pylist()):
                 hashes, cuts = shingle_sets(texts, size)
-                codes = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=8).digest() for a, b in zip(cuts[:-1], cuts[1:])]
+                names = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=8).digest() for a, b in zip(cuts[:-1], cuts[1:])]
                 ends = np.concatenate([[0], np.cumsum(np.diff(cuts) > 0)]) * BANDS
                 bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_values(hashes, cuts).reshape(-1).view(np.int64)))
                 kept = [batch.column(name).slice(start, len(texts)) for name in ("doc_id", "mark")]
-                codes = pa.array(np.frombuffer(b"".join(codes), "<i8"))
-                yield pa.RecordBatch.from_arrays([*kept, codes, bands], ["doc_id", "mark", "bits", "bands"])
+                names = pa.array(np.frombuffer(b"".join(names), "<i8"))
+                codes = pa.array(set_fingerprints(hashes, cuts).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*kept, names, codes, bands], ["doc_id", "mark", "bits", "code", "bands"])
 
     return run
 
@@ -229,10 +234,10 @@ def _unsettled(classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, text, mark`` of every row; ``doc_id, mark, bits, bands``); the mark is a hash of the text."""
+    """(``doc_id, text, mark`` of every row; ``doc_id, mark, bits, code, bands``); the mark is a hash of the text."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    return rows, checkpointed(rows.mapInArrow(_marks(shingle), "doc_id long, mark long, bits long, bands array<long>"))
+    return rows, checkpointed(rows.mapInArrow(_marks(shingle), "doc_id long, mark long, bits long, code long, bands array<long>"))
 
 
 def _joined(roots: DataFrame, further: DataFrame) -> DataFrame:
@@ -242,11 +247,21 @@ def _joined(roots: DataFrame, further: DataFrame) -> DataFrame:
     return star_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further))
 
 
+def with_groups(classes: DataFrame, distance: int = NEAR) -> DataFrame:
+    """``classes`` with one more band: the group of their fingerprint ``code`` by links of ``distance`` or fewer bits."""
+    codes = checkpointed(classes.select(F.col("code").alias("bits")).distinct())
+    grouped = classes.join(star_roots(links(codes, distance)), F.col("code") == F.col("node"), "left")
+    group = F.array(F.coalesce("root", "code"))
+    return grouped.select(*[name for name in classes.columns if name != "bands"], F.concat("bands", group).alias("bands"))
+
+
 def _rooted(rows: DataFrame, marked: DataFrame, shingle: int, likeness: float) -> tuple[DataFrame, DataFrame]:
     """(classes with a mark of one of their texts and their smallest row; ``node, root`` of linked classes)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
-    # Equal sets have equal bands; the mark finds one of the class's texts again.
-    classes = checkpointed(marked.groupBy("bits").agg(first, F.min("mark").alias("mark"), F.first("bands").alias("bands")))
+    # Equal sets have equal fingerprints and bands; the mark finds one of the class's texts again.
+    same = [F.first(name).alias(name) for name in ("code", "bands")]
+    classes = checkpointed(marked.groupBy("bits").agg(first, F.min("mark").alias("mark"), *same))
+    classes = checkpointed(with_groups(classes))
     pairs = checkpointed(bucket_pairs(classes))
     paired = pairs.select(F.col("a").alias("bits")).unionByName(pairs.select(F.col("b").alias("bits"))).distinct()
     wanted = checkpointed(classes.join(paired, "bits", "left_semi").select("bits", F.col("mark").alias("wanted")))

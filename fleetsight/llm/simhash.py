@@ -1,8 +1,8 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Equal fingerprints count once. Two fingerprints at ``DISTANCE`` or fewer differing bits agree on at least
-one of ``DISTANCE + 1`` bit blocks, so every fingerprint goes into one group per block; the shared block is
-the group's uppermost node. In a group fingerprints are sorted by Gray rank, which puts similar patterns
+Equal fingerprints count once. Two fingerprints at ``DISTANCE`` or fewer differing bits (or another distance that
+a caller of ``links`` names) agree on at least one of ``DISTANCE + 1`` bit blocks, so every fingerprint goes into one
+group per block; the shared block is the group's uppermost node. In a group fingerprints are sorted by Gray rank, which puts similar patterns
 side by side; runs of ``FANOUT`` become nodes that hold the bits all members share, and a node keeps only
 the bits that its parent does not hold yet. A search adds up differing bits from node to node and drops a
 whole node once the sum passes the limit. A group of more than ``GROUP_LIMIT`` members is split by further
@@ -60,6 +60,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > hashes.size, bitorder="little").view("<u8")[0])
 
 
+def set_fingerprints(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each set ``hashes[cuts[k] : cuts[k + 1]]`` of shingle hashes; zero for an empty one."""
+    sizes = np.diff(cuts)
+    held = np.flatnonzero(sizes)
+    out = np.zeros(sizes.size, dtype=np.uint64)
+    for bit in range(64 if held.size else 0):
+        ones = np.add.reduceat((hashes >> np.uint64(bit) & np.uint64(1)).astype(np.int64), cuts[held])
+        out[held] |= (ones * 2 > sizes[held]).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, bits``: the fingerprint as a signed long. A null or blank text has fingerprint zero."""
 
@@ -76,19 +87,19 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _finer(mask: int) -> list[int]:
-    """The mask with one of ``DISTANCE + 1`` equal parts of its free bits added, for each part."""
+def _finer(mask: int, distance: int) -> list[int]:
+    """The mask with one of ``distance + 1`` equal parts of its free bits added, for each part."""
     free = [bit for bit in range(64) if not mask >> bit & 1]
-    parts = DISTANCE + 1
+    parts = distance + 1
     edges = [len(free) * k // parts for k in range(parts + 1)]
     return [mask | sum(1 << bit for bit in free[a:b]) for a, b in zip(edges, edges[1:])]
 
 
-def _grouped(rows: DataFrame, masks: list[int]) -> DataFrame:
+def _grouped(rows: DataFrame, masks: list[int], distance: int) -> DataFrame:
     """Rows ``bits, mask`` once for every finer mask of theirs, with the group's value under that mask."""
     choice = F.lit(None).cast("array<long>")
     for mask in masks:
-        choice = F.when(F.col("mask") == _signed(mask), F.array(*[F.lit(_signed(m)) for m in _finer(mask)])).otherwise(choice)
+        choice = F.when(F.col("mask") == _signed(mask), F.array(*[F.lit(_signed(m)) for m in _finer(mask, distance)])).otherwise(choice)
     return rows.select("bits", F.explode(choice).alias("mask")).withColumn("value", F.col("bits").bitwiseAND(F.col("mask")))
 
 
@@ -133,63 +144,66 @@ class Index:
         roots = self.levels[-1][4]
         self.root_of = np.searchsorted(roots, group)
 
-    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (a < b) in one group at ``DISTANCE`` or fewer bits."""
+    def links(self, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places (a < b) in one group at ``distance`` or fewer bits."""
         for at in range(0, self.codes.size, SEARCHES_AT_ONCE):
             who = np.arange(at, min(at + SEARCHES_AT_ONCE, self.codes.size))
             node, spent = self.root_of[who], np.zeros(who.size, dtype=np.int64)
             for depth in range(len(self.levels) - 1, -1, -1):
                 first, end, _, values, _ = self.levels[depth]
                 spent = spent + np.bitwise_count((self.codes[who] ^ values[node]) & self.own[depth][node])
-                keep = (spent <= DISTANCE) & (self.last[depth][node] > who + 1)
+                keep = (spent <= distance) & (self.last[depth][node] > who + 1)
                 who, node, spent = who[keep], node[keep], spent[keep]
                 sizes = end[node] - first[node]
                 offset = np.cumsum(sizes) - sizes
                 below = np.arange(int(sizes.sum())) + np.repeat(first[node] - offset, sizes)
                 who, spent, node = np.repeat(who, sizes), np.repeat(spent, sizes), below
             spent = spent + np.bitwise_count((self.codes[who] ^ self.codes[node]) & self.item_own[node])
-            keep = (spent <= DISTANCE) & (node > who)
+            keep = (spent <= distance) & (node > who)
             yield who[keep], node[keep]
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (mask, value): index and search several whole groups at a time."""
-
-    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if rows.shape[1] < 2:
-            return
-        _, group = np.unique(rows[:2], axis=1, return_inverse=True)
-        group = group.reshape(-1)
-        codes = rows[2].view(np.uint64)
-        order = np.lexsort((gray_rank(codes), group))
-        codes, group = codes[order], group[order]
-        alone = np.bincount(group)[group] < 2
-        codes, group = codes[~alone], group[~alone]
-        if codes.size:
-            for a, b in Index(codes, group).links():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes[a].view(np.int64)), pa.array(codes[b].view(np.int64))], ["a", "b"]
-                )
-
-    held = np.zeros((3, 0), dtype=np.int64)
-    for batch in batches:
-        rows = np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in ("mask", "value", "bits")])
-        held = np.concatenate([held, rows], axis=1)
-        if held.shape[1] >= ROWS_AT_ONCE:
-            same = (held[0] == held[0, -1]) & (held[1] == held[1, -1])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            yield from found(held[:, :cut])
-            held = held[:, cut:]
-    yield from found(held)
-
-
-def links(codes: DataFrame) -> DataFrame:
-    """``a, b``: different fingerprints of ``codes`` (distinct ``bits``) at ``DISTANCE`` or fewer bits.
+def _search(distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (mask, value): index and search several whole groups at a time."""
+
+        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if rows.shape[1] < 2:
+                return
+            _, group = np.unique(rows[:2], axis=1, return_inverse=True)
+            group = group.reshape(-1)
+            codes = rows[2].view(np.uint64)
+            order = np.lexsort((gray_rank(codes), group))
+            codes, group = codes[order], group[order]
+            alone = np.bincount(group)[group] < 2
+            codes, group = codes[~alone], group[~alone]
+            if codes.size:
+                for a, b in Index(codes, group).links(distance):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(codes[a].view(np.int64)), pa.array(codes[b].view(np.int64))], ["a", "b"]
+                    )
+
+        held = np.zeros((3, 0), dtype=np.int64)
+        for batch in batches:
+            rows = np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in ("mask", "value", "bits")])
+            held = np.concatenate([held, rows], axis=1)
+            if held.shape[1] >= ROWS_AT_ONCE:
+                same = (held[0] == held[0, -1]) & (held[1] == held[1, -1])
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                yield from found(held[:, :cut])
+                held = held[:, cut:]
+        yield from found(held)
+
+    return run
+
+
+def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``a, b``: different fingerprints of ``codes`` (distinct ``bits``) at ``distance`` or fewer bits.
 
     A pair that agrees on several blocks is found in each of them.
     """
-    level = _grouped(codes.select("bits", F.lit(0).cast("long").alias("mask")), [0])
-    masks = _finer(0)
+    level = _grouped(codes.select("bits", F.lit(0).cast("long").alias("mask")), [0], distance)
+    masks = _finer(0, distance)
     ready = None
     for depth in range(DEPTH):
         hot = None
@@ -202,10 +216,10 @@ def links(codes: DataFrame) -> DataFrame:
         if hot is None:
             break
         # Two masks may be refined to the same one; a fingerprint is in a group once.
-        level = _grouped(level.join(hot, ["mask", "value"], "left_semi").select("bits", "mask"), masks).distinct()
-        masks = [finer for mask in masks for finer in _finer(mask)]
+        level = _grouped(level.join(hot, ["mask", "value"], "left_semi").select("bits", "mask"), masks, distance).distinct()
+        masks = [finer for mask in masks for finer in _finer(mask, distance)]
     dealt = ready.repartition("mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.select("mask", "value", "bits").mapInArrow(_search, "a long, b long")
+    return dealt.select("mask", "value", "bits").mapInArrow(_search(distance), "a long, b long")
 
 
 def star_roots(edges: DataFrame) -> DataFrame:

@@ -249,3 +249,64 @@ def test_several_blocks_of_the_benchmark_give_what_one_gives(spark, monkeypatch)
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(table, benchmark).collect()) == kept == [100, 101]
     assert [row[:2] for row in whole] == [(k, k) for k in range(0, 30, 3)]
     assert decontaminate.contaminated(table.limit(0), benchmark).count() == 0
+
+
+def test_the_stage_pairs_by_the_fingerprint_index_too(spark):
+    """Without a band of MinHash, groups of the Gray-order index link what is alike; the exact likeness decides."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from fleetsight.llm import simhash
+
+    rnd = random.Random(47)
+    line = lambda n: [f"w{rnd.randrange(10_000)}" for _ in range(n)]
+    rows = []
+    for family in range(30):
+        base = line(400)
+        rows += [(10 * family + member, " ".join(base + line(member))) for member in range(4)]
+    rows += [(900 + family, " ".join(["same"] * 300 + line(4))) for family in range(20)] + [(990, ""), (991, None), (992, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {number: brute_set(text) for number, text in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or sets[a] == sets[b]
+    whole, marked = near_copies._marked(docs, 5)
+    codes = {r.doc_id: r.code & (2**64 - 1) for r in marked.collect()}
+    parent = {number: number for number in sets}
+
+    def root(number):
+        while parent[number] != number:
+            number = parent[number]
+        return number
+
+    for a in sets:
+        for b in sets:
+            if a < b and alike(a, b) and (codes[a] ^ codes[b]).bit_count() <= near_copies.NEAR:
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    bare = marked.withColumn("bands", F.expr("filter(bands, band -> false)"))
+    classes, roots = near_copies._rooted(whole, bare, 5, 0.8)
+    least = simhash.least_ids(classes.select("bits", F.col("first.doc_id").alias("least_id")), roots)
+    got = {r.doc_id: r.component_id for r in marked.join(least, "bits").collect()}
+    assert got == {number: root(number) for number in sets}
+    assert len(set(got.values())) < len(sets) - 60
+    assert near_copies.keep_one(docs).count() == 30 + len({root(number) for number in sets if number >= 900})
+
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, 12, dtype=np.uint64)
+    found = simhash.set_fingerprints(hashes, np.array([0, 0, 5, 5, 12, 12]))
+    majority = lambda part: sum(1 << bit for bit in range(64) if 2 * sum(int(h) >> bit & 1 for h in part) > len(part))
+    assert found.tolist() == [majority(hashes[a:b]) for a, b in ((0, 0), (0, 5), (5, 5), (5, 12), (12, 12))]
+
+
+def test_the_index_finds_all_links_at_other_distances(spark):
+    import numpy as np
+
+    from fleetsight.llm import simhash
+
+    rng = np.random.default_rng(11)
+    codes = set()
+    for base in rng.integers(0, 1 << 63, 40).tolist():
+        for _ in range(12):
+            codes.add(base ^ sum({1 << int(bit) for bit in rng.integers(0, 63, rng.integers(0, 5))}))
+    frame = spark.createDataFrame([(code,) for code in codes], "bits long")
+    for distance in (2, 3):
+        got = {tuple(sorted((r.a, r.b))) for r in simhash.links(frame, distance).collect()}
+        assert got == {(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= distance}
