@@ -250,7 +250,7 @@ def _joined(roots: DataFrame, further: DataFrame) -> DataFrame:
 def with_groups(classes: DataFrame, distance: int = NEAR) -> DataFrame:
     """``classes`` with one more band: the group of their fingerprint ``code`` by links of ``distance`` or fewer bits."""
     codes = checkpointed(classes.select(F.col("code").alias("bits")).distinct())
-    grouped = classes.join(star_roots(links(codes, distance)), F.col("code") == F.col("node"), "left")
+    grouped = classes.join(star_roots(links(codes, distance, trees=True)), F.col("code") == F.col("node"), "left")
     group = F.array(F.coalesce("root", "code"))
     return grouped.select(*[name for name in classes.columns if name != "bands"], F.concat("bands", group).alias("bands"))
 

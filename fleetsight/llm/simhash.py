@@ -163,7 +163,22 @@ class Index:
             yield who[keep], node[keep]
 
 
-def _search(distance: int):
+def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``count`` places those that the pairs join with a smaller one, and the smallest place of their component."""
+    least = np.arange(count)
+    for a, b in pairs:
+        while a.size:
+            low, high = np.minimum(least[a], least[b]), np.maximum(least[a], least[b])
+            apart = low < high
+            a, b = a[apart], b[apart]
+            np.minimum.at(least, high[apart], low[apart])
+            while (least[least] < least).any():
+                least = least[least]
+    joined = np.flatnonzero(least < np.arange(count))
+    return joined, least[joined]
+
+
+def _search(distance: int, trees: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (mask, value): index and search several whole groups at a time."""
 
@@ -178,7 +193,8 @@ def _search(distance: int):
             alone = np.bincount(group)[group] < 2
             codes, group = codes[~alone], group[~alone]
             if codes.size:
-                for a, b in Index(codes, group).links(distance):
+                pairs = Index(codes, group).links(distance)
+                for a, b in [forest(pairs, codes.size)] if trees else pairs:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(codes[a].view(np.int64)), pa.array(codes[b].view(np.int64))], ["a", "b"]
                     )
@@ -197,10 +213,11 @@ def _search(distance: int):
     return run
 
 
-def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(codes: DataFrame, distance: int = DISTANCE, trees: bool = False) -> DataFrame:
     """``a, b``: different fingerprints of ``codes`` (distinct ``bits``) at ``distance`` or fewer bits.
 
-    A pair that agrees on several blocks is found in each of them.
+    A pair that agrees on several blocks is found in each of them. With ``trees`` a group gives, for the pairs found
+    in it, one edge from each fingerprint to the first of its component: the same components by no more edges than rows.
     """
     level = _grouped(codes.select("bits", F.lit(0).cast("long").alias("mask")), [0], distance)
     masks = _finer(0, distance)
@@ -219,7 +236,7 @@ def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         level = _grouped(level.join(hot, ["mask", "value"], "left_semi").select("bits", "mask"), masks, distance).distinct()
         masks = [finer for mask in masks for finer in _finer(mask, distance)]
     dealt = ready.repartition("mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.select("mask", "value", "bits").mapInArrow(_search(distance), "a long, b long")
+    return dealt.select("mask", "value", "bits").mapInArrow(_search(distance, trees), "a long, b long")
 
 
 def star_roots(edges: DataFrame) -> DataFrame:

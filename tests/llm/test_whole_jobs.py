@@ -310,3 +310,22 @@ def test_the_index_finds_all_links_at_other_distances(spark):
     for distance in (2, 3):
         got = {tuple(sorted((r.a, r.b))) for r in simhash.links(frame, distance).collect()}
         assert got == {(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= distance}
+        trees = simhash.links(frame, distance, trees=True)
+        roots = lambda edges: sorted(tuple(r) for r in simhash.star_roots(edges).collect())
+        assert roots(trees) == roots(simhash.links(frame, distance)) and trees.count() <= (distance + 1) * len(codes)
+
+
+def test_trees_join_what_pairs_of_several_parts_join():
+    import numpy as np
+
+    from fleetsight.llm import simhash
+
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = np.sort(rng.integers(0, 60, (2, 45)), axis=0)
+        least = np.arange(60)
+        for _ in range(60):
+            np.minimum.at(least, a, least[b]), np.minimum.at(least, b, least[a])
+        cuts = [0, 9, 9, 30, 45]
+        places, first = simhash.forest(((a[i:k], b[i:k]) for i, k in zip(cuts, cuts[1:])), 60)
+        assert places.tolist() == np.flatnonzero(least < np.arange(60)).tolist() and first.tolist() == least[places].tolist()
