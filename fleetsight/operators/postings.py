@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,15 +66,35 @@ _WIDTHS = ("<u1", "<u2", "<u4", "<u8")
 _SHORT = 64
 
 
+def pack_all(ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Runs of ascending 64-bit ids, each from its start to the next: the first, the width of the steps, the steps.
+
+    An id that a run repeats is packed once. Steps and widths of all runs are found at once, as most runs are short.
+    """
+    first = np.ones(ids.size, dtype=bool)
+    first[1:] = ids[1:] != ids[:-1]
+    first[starts] = True
+    if not first.all():
+        ids, starts = ids[first], (np.cumsum(first) - 1)[starts]
+    ends = np.append(starts[1:], ids.size) - 1
+    steps = np.zeros(ids.size, dtype=np.uint64)
+    steps[:-1] = np.diff(ids).view(np.uint64)
+    steps[ends] = 0
+    most = np.maximum.reduceat(steps, starts)
+    widths = (most >= 1 << 8).astype(np.uint8) + (most >= 1 << 16) + (most >= 1 << 32)
+    bodies = {width: steps.astype(_WIDTHS[width]).tobytes() for width in np.unique(widths).tolist()}
+    heads, marks = ids[starts].tobytes(), [bytes([width]) for width in range(8)]
+    out = []
+    for at, (a, b, width) in enumerate(zip(starts.tolist(), ends.tolist(), widths.tolist())):
+        body = bodies[width][a << width : b << width]
+        if len(body) > _SHORT:
+            width, body = width + 4, zlib.compress(body, 1)
+        out.append(heads[8 * at : 8 * at + 8] + marks[width] + body)
+    return out
+
+
 def pack(ids: np.ndarray) -> bytes:
-    """Ascending 64-bit ids: the first, the width of the steps, the steps."""
-    steps = np.diff(ids).view(np.uint64)
-    most = int(steps.max()) if steps.size else 0
-    width = 0 if most < 1 << 8 else 1 if most < 1 << 16 else 2 if most < 1 << 32 else 3
-    body = steps.astype(_WIDTHS[width]).tobytes()
-    if len(body) > _SHORT:
-        width, body = width + 4, zlib.compress(body, 1)
-    return ids[:1].tobytes() + bytes([width]) + body
+    return bytes(1) if not ids.size else pack_all(ids, np.zeros(1, dtype=np.int64))[0]
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -93,26 +114,45 @@ def _layout(id_type: T.DataType) -> T.StructType:
         "piece", "integer").add("n", "integer").add("packed", "binary").add("ids", T.ArrayType(id_type))
 
 
-def _stored(ids: list | np.ndarray) -> tuple[bytes | None, list | None]:
-    return (pack(ids), None) if isinstance(ids, np.ndarray) else (None, ids)
+def _cells(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Bytes of each text, and all of them in a row; a null is empty."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64, count=len(texts) + 1, offset=8 * texts.offset)
+    return np.diff(ends), memoryview(data if data is not None else b"")[ends[0] : ends[-1]]
 
 
-def _gram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _gram_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(row, code) of each gram, rows in order; the gram of each code."""
-    sizes = np.array([len(text or "") for text in texts], dtype=np.int64)
-    chars = np.frombuffer("".join(text or "" for text in texts).encode("utf-32-le"), "<u4").astype(np.int64)
-    owner = np.repeat(np.arange(sizes.size), sizes)
-    whole = np.flatnonzero(owner[2:] == owner[:-2])
-    found = pa.array(chars[whole] | chars[whole + 1] << 21 | chars[whole + 2] << 42).dictionary_encode()
-    mask = (1 << 21) - 1
-    named = ["".join(chr(key >> at & mask) for at in (0, 21, 42)) for key in found.dictionary.to_pylist()]
-    return owner[whole], found.indices.to_numpy(), named
+    sizes, data = _cells(texts)
+    chars = np.frombuffer(data, dtype=np.uint8)
+    plain = not chars.size or chars.max() < 128
+    if not plain:
+        chars = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)
+    whole = owner[2:] == owner[:-2]
+    bits = 7 if plain else 21
+    keys = chars.astype(np.int32 if plain else np.int64)
+    keys = (keys[:-2] | keys[1:-1] << bits | keys[2:] << 2 * bits)[whole]
+    if plain:
+        seen = np.zeros(1 << 3 * bits, dtype=bool)
+        seen[keys] = True
+        named = np.flatnonzero(seen)
+        codes = np.zeros(1 << 3 * bits, dtype=np.int32)
+        codes[named] = np.arange(named.size, dtype=np.int32)
+        codes, named = codes[keys], named.tolist()
+    else:
+        found = pa.array(keys).dictionary_encode()
+        codes, named = found.indices.to_numpy(), found.dictionary.to_pylist()
+    mask = (1 << bits) - 1
+    return owner[:-2][whole], codes, ["".join(chr(key >> at & mask) for at in (0, bits, 2 * bits)) for key in named]
 
 
 def _word_codes(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    sizes = np.array([len(some or ()) for some in lists.to_pylist()], dtype=np.int64)
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
     found = lists.flatten().dictionary_encode()
-    return np.repeat(np.arange(sizes.size), sizes), found.indices.to_numpy(), found.dictionary.to_pylist()
+    return np.repeat(np.arange(sizes.size, dtype=np.int32), sizes), found.indices.to_numpy(), found.dictionary.to_pylist()
 
 
 def _block(rows: pa.Table, columns: list[tuple[str, str, str]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -128,7 +168,7 @@ def _block(rows: pa.Table, columns: list[tuple[str, str, str]], schema: pa.Schem
     block = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True)
     for column, kind, field in columns:
         cells = rows.column(column).combine_chunks()
-        owner, code, terms = _gram_codes(cells.to_pylist()) if kind == GRAM_KIND else _word_codes(cells)
+        owner, code, terms = _gram_codes(cells) if kind == GRAM_KIND else _word_codes(cells)
         if not terms:
             continue
         order = np.argsort(code.astype(np.uint16) if len(terms) <= 1 << 16 else code, kind="stable")
@@ -136,19 +176,19 @@ def _block(rows: pa.Table, columns: list[tuple[str, str, str]], schema: pa.Schem
         new = np.ones(owner.size, dtype=bool)
         new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
         owner, code = owner[new], code[new]
-        piece = owner * PIECES // rows.num_rows
+        piece = (np.arange(rows.num_rows) * PIECES // rows.num_rows).astype(np.int32)[owner]
         starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])]))
         ends = np.append(starts[1:], owner.size)
-        out = []
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            held = values[owner[a:b]] if isinstance(values, np.ndarray) else [values[k] for k in owner[a:b].tolist()]
-            out.append(_stored(np.unique(held) if isinstance(held, np.ndarray) else held))
+        n, whole = starts.size, isinstance(values, np.ndarray)
+        plain = [[values[k] for k in owner[a:b].tolist()] for a, b in zip(starts.tolist(), ends.tolist())] if not whole else None
         made = {
-            "kind": [kind] * len(out), "field": [field] * len(out), "term": [terms[k] for k in code[starts].tolist()],
-            "block": [block] * len(out), "piece": piece[starts], "n": ends - starts,
-            "packed": [packed for packed, _ in out], "ids": [plain for _, plain in out],
+            "kind": pa.repeat(pa.scalar(kind), n), "field": pa.repeat(pa.scalar(field), n),
+            "term": pa.array(terms, pa.string()).take(pa.array(code[starts])), "block": pa.repeat(pa.scalar(block), n),
+            "piece": pa.array(piece[starts]), "n": pa.array((ends - starts).astype(np.int32)),
+            "packed": pack_all(values[owner], starts) if whole else [None] * n, "ids": plain or pa.nulls(n, schema.field("ids").type),
         }
-        yield from pa.table({name: pa.array(made[name], schema.field(name).type) for name in schema.names}, schema).to_batches(1 << 12)
+        columns_ = [v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in ((f, made[f.name]) for f in schema)]
+        yield from pa.table(columns_, schema=schema).to_batches(1 << 12)
 
 
 def _blocks(columns: list[tuple[str, str, str]], schema: pa.Schema) -> Callable:
@@ -310,6 +350,16 @@ def record_text() -> Column:
     return F.concat_ws(" ", *S.TEXT_COLUMNS, _joined("tags"))
 
 
+def holds_words(text: Column, q: str, wanted: list[str]) -> Column:
+    """Whether a text has all words of ``q``, which are ``wanted``. Only a text that holds each as characters is cut into words."""
+    if not wanted:
+        return F.lit(False)
+    found = F.lit(True)
+    for word in wanted:
+        found = found & F.contains(F.lower(text), F.lit(word))
+    return found & S.matches_tokens(words(text), q)
+
+
 TEXT_FIELDS = (*S.TEXT_COLUMNS, "tags")
 SOURCE_FIELDS = ("source_names", "source_urls", "canonical_source_url")
 LINK_FIELDS = ("source_name", "source_url", "external_id")
@@ -357,7 +407,7 @@ def search(records: DataFrame, links: DataFrame, table: DataFrame, of_links: Dat
             found = found.join(ids, "id", "left_semi")
     exact = S.record_filter(S.SearchParams(**(vars(params) | {"q": None})))
     if q:
-        exact = exact & (S.matches_text(q) | S.matches_tokens(words(record_text()), q))
+        exact = exact & (S.matches_text(q) | holds_words(record_text(), q, [term for _, term in _wanted(records.sparkSession, WORD_KIND, q, buckets)]))
     found = found.filter(exact)
     if source:
         near = links if linked is None else links.join(linked.withColumnRenamed("id", "threat_intelligence_id"), "threat_intelligence_id", "left_semi")

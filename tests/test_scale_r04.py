@@ -2,11 +2,15 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fleetsight.functions import keys, redact, text as T, urls
 from fleetsight.operators import ingest as G
+from fleetsight.operators import postings as P
+from fleetsight.operators import search as S
 from fleetsight.plans.queries.reading import external_batch
 
 
@@ -82,3 +86,29 @@ def test_texts_and_json_are_looked_at_once(spark):
     escaped = rows.select(keys.escape_non_ascii(F.col("t"))).collect()
     assert escaped[3][0] == "a\\u00e9\\ud83d\\ude00" and escaped[0][0] is None
     assert "to_json(array(" not in _plan(rows.select(keys.canonical_json({"b": F.col("t"), "a": F.col("t")})))
+
+
+def test_runs_of_ids_are_packed_at_once():
+    runs = [[5], [5, 5, 5], [-3, 0, 1 << 40], [1, 2, 300], list(range(0, 400, 2)), [7, 7, 70_000], [-(1 << 63), (1 << 63) - 1]]
+    starts = np.cumsum([0] + [len(run) for run in runs[:-1]])
+    packed = P.pack_all(np.array([id_ for run in runs for id_ in run], dtype=np.int64), starts)
+    assert [P.unpack(one).tolist() for one in packed] == [sorted(set(run)) for run in runs]
+    assert packed == [P.pack(np.array(sorted(set(run)), dtype=np.int64)) for run in runs]
+
+
+@pytest.mark.parametrize("texts", [[], [None, ""], ["ab", "abc", None, "abcabc", "\x00\x7f1"], ["aé日", None, "😀😀😀", "ab", "xyz"]])
+def test_gram_codes_of_plain_and_other_text(texts):
+    owner, code, named = P._gram_codes(pa.array(texts, pa.string()))
+    expected = [(row, text[k : k + 3]) for row, text in enumerate(texts) for k in range(len(text or "") - 2)]
+    assert list(zip(owner.tolist(), [named[k] for k in code.tolist()])) == expected
+
+
+def test_a_text_is_cut_into_words_only_if_it_holds_them(spark):
+    texts = [None, "", "bypass of AUTH", "authbypass", "auth", "Auth, bypass!", "xauth bypass"]
+    rows = spark.createDataFrame([(text,) for text in texts], "t string")
+    test = P.holds_words(F.col("t"), "Auth Bypass", ["auth", "bypass"])
+    plan = _plan(rows.filter(test))
+    assert plan.index("Contains(lower(t") < plan.index("split(lower(t")
+    found = rows.select("t", F.coalesce(test, F.lit(False)), S.matches_tokens(P.words(F.col("t")), "Auth Bypass")).collect()
+    assert [row[1] for row in found] == [row[2] for row in found] == [text in ("bypass of AUTH", "Auth, bypass!") for text in texts]
+    assert rows.filter(P.holds_words(F.col("t"), "-", [])).count() == 0
